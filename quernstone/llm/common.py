@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shipping import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 #: A piece of work that a Python worker holds at once, in bytes of text.
@@ -67,7 +70,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column stays near the limit; a longer row is a part of its own."""
     text = batch.column(column)
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(text).to_pylist()]
+    sizes = [0 if x is None else x for x in pc.binary_length(text).to_pylist()]
     start = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > limit:
@@ -81,6 +84,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text") -> DataFrame:
     """mapInArrow over bounded slices of the batches."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, column):

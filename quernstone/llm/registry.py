@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .langid import op9_language_id
 from .mixing import op7_source_mixing
+from .pii import op1_pii
 
-QUERIES = {"op7_source_mixing": op7_source_mixing}
+QUERIES = {"op1_pii": op1_pii, "op7_source_mixing": op7_source_mixing, "op9_language_id": op9_language_id}
 ORACLES: dict[str, str] = {}
