@@ -43,7 +43,7 @@ from .common import shared_path, slices, table
 BLOCK, MAGIC, VERSION, LEVEL = 1 << 16, b"QBPS", 1, 3
 _HEAD, _FOOT = struct.Struct("<4sBBI"), struct.Struct("<QQQQ4s")
 #: Chunks of text that an encoder remembers before it starts anew.
-MEMO = 200_000
+MEMO = 600_000
 END_ID = 0
 
 
@@ -153,12 +153,17 @@ class Reader:
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct chunk between single spaces once.
+    """Encodes texts with the tokenizers library, each distinct chunk of text once.
 
     The byte-level splitting pattern always cuts before a single space between two other characters,
-    so the chunks' ids are the text's. Texts with other runs of white space are encoded whole.
+    after a letter before "," and ".", and around the line break of "letter.\\nX". Texts are parted
+    at those places, and the library gives the ids of chunks not seen before; the mark \\x02 in front
+    says that no space stands before a chunk. Texts with other runs of white space, or with a mark or a
+    special token of their own, are encoded whole. Chunks and ids are held in Arrow and numpy arrays.
     """
 
+    MARK = "\x02"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -170,11 +175,11 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.words: dict[str, tuple[int, int]] = {}
+        self.chunks = pa.array([], pa.large_string())
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.start, self.length = np.zeros(MEMO, np.int64), np.zeros(MEMO, np.int64)
-        self.hard = np.zeros(MEMO, bool)
+        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
+        #: Of chunks: the text must be encoded whole; a letter must stand before; ends in a letter.
+        self.hard, self.after, self.letter = (np.empty(0, bool) for _ in range(3))
 
     def _keep(self, ids) -> int:
         while self.used + len(ids) > len(self.pool):
@@ -186,85 +191,93 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Words of letters after a space, many in one call; each is one piece of the pattern."""
-        calls = [words[i : i + 512] for i in range(0, len(words), 512)]
-        for call, got in zip(calls, self.tokenizer.encode_batch(["".join(f" {w}" for w in c) for c in calls], add_special_tokens=False)):
-            counts = np.bincount(np.array(got.word_ids), minlength=len(call))
+    def _learn_words(self, words: list[str], spaced: bool, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> None:
+        """Words of letters, many in one call, parted by their own space or by a line break of its own."""
+        calls = [words[i : i + 1000] for i in range(0, len(words), 1000)]
+        lines = [" " + " ".join(c) if spaced else "\n".join(c) for c in calls]
+        done = 0
+        for call, got in zip(calls, self.tokenizer.encode_batch(lines, add_special_tokens=False)):
+            piece, ids = np.array(got.word_ids), np.array(got.ids, np.uint32)
+            if not spaced:
+                own = piece % 2 == 0
+                piece, ids = piece[own] // 2, ids[own]
+            counts = np.bincount(piece, minlength=len(call))
             if len(counts) != len(call):
                 raise ValueError("the tokenizer splits words of letters")
-            ids = got.ids
-            starts = self._keep(ids) + np.cumsum(counts) - counts
-            self.words.update(zip(call, zip(starts.tolist(), counts.tolist())))
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks new to the memo: "\\x01" in front marks a text's first."""
-        bases = {}
-        for c in chunks:
-            if c.isalpha():
-                bases[c] = None
-            elif c[:-1].isalpha() and c[-1] in ",.":
-                bases[c[:-1]] = None
-        self._learn_words([w for w in bases if w not in self.words])
-        for c in chunks:
-            k = len(self.place)
-            self.place[c] = k
-            if c.isalpha():
-                self.start[k], self.length[k] = self.words[c]
-                continue
-            first = c[:1] == "\x01"
-            body = c[1:] if first else c
-            self.hard[k] = not body or body[0].isspace() or body[-1].isspace() or "\x01" in body or any(s in body for s in self.special)
-            if self.hard[k] and not (first and not body):
-                self.length[k] = 0
-                continue
-            if not first and c[:-1].isalpha() and c[-1] in ",.":
-                a, n = self.words[c[:-1]]
-                ids = [*self.pool[a : a + n], *self._tail(c[-1])]
+            k = at[done : done + len(call)]
+            start[k], length[k] = self._keep(ids) + np.cumsum(counts) - counts, counts
+            done += len(call)
+
+    def _learn(self, new: pa.Array) -> None:
+        n = len(new)
+        start, length = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        hard, after, letter = (np.zeros(n, bool) for _ in range(3))
+        marked = pc.starts_with(new, self.MARK).to_numpy(zero_copy_only=False)
+        body = pc.utf8_ltrim(new, self.MARK)
+        alpha = pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)
+        for spaced in (True, False):
+            at = np.flatnonzero(alpha & (marked != spaced))
+            if len(at):
+                self._learn_words(body.take(pa.array(at)).to_pylist(), spaced, start, length, at)
+        letter[alpha] = True
+        rest = np.flatnonzero(~alpha)
+        texts = []
+        for k, chunk in zip(rest.tolist(), new.take(pa.array(rest)).to_pylist()):
+            text = chunk[1:] if marked[k] else chunk
+            after[k] = bool(marked[k]) and text in (",", ".", ".\n")
+            if not text:
+                hard[k] = not marked[k]
             else:
-                ids = self._ids(body if first else f" {body}") if body else []
-                self.hard[k] = False if not body else self.hard[k]
-            self.start[k], self.length[k] = self._keep(ids), len(ids)
-
-    @cache  # noqa: B019  one encoder a process
-    def _tail(self, mark: str) -> list[int]:
-        return self._ids(mark)
+                hard[k] = text[0].isspace() or (text[-1].isspace() and not after[k]) or self.MARK in text or any(s in text for s in self.special)
+                letter[k] = text[-1].isalpha()
+            texts.append("" if hard[k] else text if marked[k] else f" {text}")
+        for k, got in zip(rest.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = got.ids
+            start[k], length[k] = self._keep(ids), len(ids)
+        self.chunks = pa.concat_arrays([self.chunks, new])
+        self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        self.hard, self.after, self.letter = np.concatenate([self.hard, hard]), np.concatenate([self.after, after]), np.concatenate([self.letter, letter])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the number of each text's."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n_texts = len(texts)
-        marked = pc.binary_join_element_wise(pa.scalar("\x01", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-        parts = pc.split_pattern(marked, " ")
+        cut_up = texts
+        for mark in (", ", ". "):
+            cut_up = pc.replace_substring(cut_up, mark, f" {self.MARK}{mark}")
+        cut_up = pc.replace_substring(cut_up, ".\n", f" {self.MARK}.\n {self.MARK}")
+        cut_up = pc.binary_join_element_wise(pa.scalar(self.MARK, pa.large_string()), cut_up, pa.scalar("", pa.large_string()))
+        parts = pc.split_pattern(cut_up, " ")
         cut = parts.offsets.to_numpy()
         cut = cut - cut[0]
         coded = parts.flatten().dictionary_encode()
-        chunks, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if len(self.place) + len(chunks) > MEMO or len(self.words) > MEMO:
+        if len(self.chunks) > MEMO:
             self.clear()
-        if len(chunks) > MEMO:  # more in one slice than the memo holds
-            half = n_texts // 2
-            if not half:
-                ids = np.array(self._ids(texts[0].as_py()), np.uint32)
-                return ids, np.array([len(ids)])
-            (a, m), (b, n) = self.encode(texts[:half]), self.encode(texts[half:])
-            return np.concatenate([a, b]), np.concatenate([m, n])
-        place = self.place
-        self._learn([c for c in chunks if c not in place])
-        at = np.fromiter((place[c] for c in chunks), np.int64, len(chunks))[index]
+        known = pc.index_in(coded.dictionary, value_set=self.chunks)
+        new = known.is_null()
+        if pc.any(new).as_py():
+            base = len(self.chunks)
+            self._learn(coded.dictionary.filter(new))
+            fresh = new.to_numpy(zero_copy_only=False)
+            place = np.empty(len(fresh), np.int64)
+            place[fresh] = base + np.arange(int(fresh.sum()))
+            place[~fresh] = known.drop_null().to_numpy()
+        else:
+            place = known.to_numpy(zero_copy_only=False)
+        at = place[coded.indices.to_numpy(zero_copy_only=False)]
         start, length = self.start[at], self.length[at]
         sums = np.concatenate([[0], np.cumsum(length)])
         counts = sums[cut[1:]] - sums[cut[:-1]]
-        n = int(sums[-1])
-        ids = self.pool[np.repeat(start - sums[:-1], length) + np.arange(n)]
-        hard = np.concatenate([[0], np.cumsum(self.hard[at])])
-        marks = pc.match_substring(texts, "\x01").to_numpy(zero_copy_only=False)
-        hard = np.flatnonzero((hard[cut[1:]] > hard[cut[:-1]]) | marks)
+        total = int(sums[-1])
+        ids = self.pool[np.repeat(start - sums[:-1], length) + np.arange(total)]
+        bad = self.hard[at]
+        bad[1:] |= self.after[at[1:]] & ~self.letter[at[:-1]]
+        bad = np.concatenate([[0], np.cumsum(bad)])
+        own = pc.match_substring(texts, self.MARK).to_numpy(zero_copy_only=False)
+        hard = np.flatnonzero((bad[cut[1:]] > bad[cut[:-1]]) | own)
         if len(hard):
-            ends = np.cumsum(counts)
-            pieces = np.split(ids, ends[:-1])
-            for k in hard.tolist():
-                pieces[k] = np.array(self._ids(texts[k].as_py()), np.uint32)
+            pieces = np.split(ids, np.cumsum(counts)[:-1])
+            for k, got in zip(hard.tolist(), self.tokenizer.encode_batch_fast([texts[k].as_py() for k in hard.tolist()], add_special_tokens=False)):
+                pieces[k] = np.array(got.ids, np.uint32)
             counts = np.array([len(p) for p in pieces])
             ids = np.concatenate(pieces).astype(np.uint32)
         return ids, counts
