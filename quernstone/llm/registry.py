@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe_transducer
+from .jaccard_join import op10_jaccard_join
 from .langid import op9_language_id
 from .mixing import op7_source_mixing
 from .pii import op1_pii
 from .token_store import op6_token_planes
 from .winnowing import op2_winnowing
 
-QUERIES = {"op1_pii": op1_pii, "op2_winnowing": op2_winnowing, "op6_token_planes": op6_token_planes, "op7_source_mixing": op7_source_mixing, "op8_bpe_transducer": op8_bpe_transducer, "op9_language_id": op9_language_id}
+QUERIES = {"op1_pii": op1_pii, "op2_winnowing": op2_winnowing, "op6_token_planes": op6_token_planes, "op7_source_mixing": op7_source_mixing, "op8_bpe_transducer": op8_bpe_transducer, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
 ORACLES: dict[str, str] = {}
