@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -113,3 +115,28 @@ def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> Data
         return placed.withColumn(name, F.col("_mid")).drop("_mid")
     offsets = df.sparkSession.createDataFrame(starts, "_part long, _before long")
     return placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + within).drop("_mid", "_part", "_before")
+
+
+#: Bits of the filter that `maybe_in` sends to the executors: 1 MB, whatever the tables' size.
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose column may be among wanted's keys: all that are, and few others as long as the
+    keys are few against FILTER_BITS. It spares a shuffle rows that the join after it would drop; a
+    full filter lets all rows through, and the join still decides."""
+    spark = df.sparkSession
+    ship(spark)
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for w, b in words.collect():  # at most FILTER_BITS / 64 rows
+        bits[w] = b
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return df.filter(held(F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))))

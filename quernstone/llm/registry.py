@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op5_ann_search
 from .bpe import op8_bpe_transducer
 from .jaccard_join import op10_jaccard_join
+from .kneser_ney import op4_kneser_ney_quality
 from .langid import op9_language_id
 from .mixing import op7_source_mixing
 from .pii import op1_pii
@@ -11,5 +13,5 @@ from .suffix_dedup import op3_suffix_dedup
 from .token_store import op6_token_planes
 from .winnowing import op2_winnowing
 
-QUERIES = {"op1_pii": op1_pii, "op2_winnowing": op2_winnowing, "op3_suffix_dedup": op3_suffix_dedup, "op6_token_planes": op6_token_planes, "op7_source_mixing": op7_source_mixing, "op8_bpe_transducer": op8_bpe_transducer, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_pii": op1_pii, "op2_winnowing": op2_winnowing, "op3_suffix_dedup": op3_suffix_dedup, "op4_kneser_ney_quality": op4_kneser_ney_quality, "op5_ann_search": op5_ann_search, "op6_token_planes": op6_token_planes, "op7_source_mixing": op7_source_mixing, "op8_bpe_transducer": op8_bpe_transducer, "op9_language_id": op9_language_id, "op10_jaccard_join": op10_jaccard_join}
 ORACLES: dict[str, str] = {}
