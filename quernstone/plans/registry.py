@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import events, retrieval
+from ..operators import corpus, events, neardup, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, events)
+MODULES = (retrieval, events, neardup, corpus)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP: Query = retrieval.search
