@@ -6,14 +6,18 @@ window over one session, so sessions are independent and nothing is sorted as a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.tables import WIRE_SQL, wire
 
-SESSION = Window.partitionBy("session_id").orderBy("idx")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = SESSION.rowsBetween(Window.unboundedPreceding, -1)
+
+def in_session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("idx")
+
+
+def so_far() -> WindowSpec:
+    return in_session().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def pairs(events: DataFrame) -> DataFrame:
@@ -62,7 +66,7 @@ def q_first_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(events: DataFrame) -> DataFrame:
-    return events.withColumn("turn", F.sum((F.col("type") == "TurnBegin").cast("long")).over(SO_FAR))
+    return events.withColumn("turn", F.sum((F.col("type") == "TurnBegin").cast("long")).over(so_far()))
 
 
 def q_turn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,14 +108,14 @@ def q_turn_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_running_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = lambda c: F.sum(F.when(F.col("type") == "StatusUpdate", F.col(c)).otherwise(0)).over(SO_FAR)
+    used = lambda c: F.sum(F.when(F.col("type") == "StatusUpdate", F.col(c)).otherwise(0)).over(so_far())
     return wire(spark, sf_dir).select("session_id", "idx", used("tokens_in").alias("total_in"), used("tokens_out").alias("total_out"))
 
 
 def q_call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens used between a call and its result, summed by tool: the running total as of each, no range join."""
     e = wire(spark, sf_dir)
-    running = F.sum(F.when(F.col("type") == "StatusUpdate", F.col("tokens_in") + F.col("tokens_out")).otherwise(0)).over(SO_FAR)
+    running = F.sum(F.when(F.col("type") == "StatusUpdate", F.col("tokens_in") + F.col("tokens_out")).otherwise(0)).over(so_far())
     totals = e.select("session_id", "idx", running.alias("total"))
     p = pairs(e).join(totals.withColumnsRenamed({"idx": "call_idx", "total": "t0"}), ["session_id", "call_idx"]).join(totals.withColumnsRenamed({"idx": "result_idx", "total": "t1"}), ["session_id", "result_idx"])
     return p.groupBy("tool").agg(F.sum(F.greatest(F.lit(0), F.col("t1") - F.col("t0"))).alias("tokens"), F.count(F.lit(1)).alias("pairs"))
@@ -121,7 +125,7 @@ def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begin and end balance with a counter that never falls below zero, calls and results without the other, score."""
     e = wire(spark, sf_dir)
     sign = F.when(F.col("type") == "TurnBegin", 1).when(F.col("type") == "TurnEnd", -1).otherwise(0)
-    level = F.sum(sign).over(SO_FAR)
+    level = F.sum(sign).over(so_far())
     t = e.withColumn("level", level)
     low = t.groupBy("session_id").agg(F.least(F.lit(0), F.min("level")).alias("low"), F.max_by("level", "idx").alias("last"), F.count_if(F.col("type").isin("TurnBegin", "TurnEnd")).alias("marks"))
     low = low.select("session_id", (-F.col("low")).alias("orphan_ends"), (F.col("last") - F.col("low")).alias("unclosed"), "marks")
@@ -144,26 +148,26 @@ def q_gaps(spark: SparkSession, sf_dir: str, seconds: float = 5000.0) -> DataFra
 
 def q_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time since the event before, where it is over a second."""
-    delta = F.round(F.col("ts") - F.lag("ts").over(SESSION), 3)
+    delta = F.round(F.col("ts") - F.lag("ts").over(in_session()), 3)
     return wire(spark, sf_dir).select("session_id", "idx", delta.alias("delta")).filter("delta > 1")
 
 
 def q_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
-    return wire(spark, sf_dir).select("session_id", "idx", F.round(F.when(n > 1, (F.row_number().over(SESSION) - 1) / (n - 1)).otherwise(0.5), 8).alias("x"))
+    return wire(spark, sf_dir).select("session_id", "idx", F.round(F.when(n > 1, (F.row_number().over(in_session()) - 1) / (n - 1)).otherwise(0.5), 8).alias("x"))
 
 
 def q_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of calls of the same tool one after another."""
     calls = wire(spark, sf_dir).filter("type = 'ToolCall'")
-    change = F.coalesce((F.col("tool") != F.lag("tool").over(SESSION)).cast("int"), F.lit(1))
-    runs = calls.withColumn("c", change).withColumn("run", F.sum("c").over(SO_FAR))
+    change = F.coalesce((F.col("tool") != F.lag("tool").over(in_session())).cast("int"), F.lit(1))
+    runs = calls.withColumn("c", change).withColumn("run", F.sum("c").over(so_far()))
     return runs.groupBy("session_id", "run", "tool").agg(F.count(F.lit(1)).alias("length"), F.min("idx").alias("first_idx"))
 
 
 def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls repeated within a step, and those whose key an earlier step has seen."""
-    t = wire(spark, sf_dir).withColumn("step", F.sum((F.col("type") == "StepBegin").cast("long")).over(SO_FAR)).filter("type = 'ToolCall'")
+    t = wire(spark, sf_dir).withColumn("step", F.sum((F.col("type") == "StepBegin").cast("long")).over(so_far())).filter("type = 'ToolCall'")
     within = F.row_number().over(Window.partitionBy("session_id", "step", "call_id", "tool").orderBy("idx")) > 1
     across = F.min("step").over(Window.partitionBy("session_id", "call_id", "tool")) < F.col("step")
     return t.select("session_id", "idx", within.alias("in_step"), across.alias("seen_before"))
