@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes.util
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,8 +19,9 @@ from ..plans.shipping import ship
 
 _written: list[tuple[SparkSession, str]] = []
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A piece of work that a Python worker holds at once, in bytes of text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +67,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    held = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(held), 1000) if int(held) > 0 else 1000)  # rows may be long
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, held)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(fn: Callable) -> Callable:
+    """A function for mapInArrow that gives memory back when its task ends: workers stay and wait for the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose text column stays near the limit; a longer row is a part of its own."""
     text = batch.column(column)
@@ -95,7 +116,7 @@ def map_text(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import map_text, slices, staged, table
+from .common import map_text, maybe_in, slices, staged, table, trimmed
 
 ORDER, QUANTILE, SLACK, HELD = 5, 0.99, 1.05, 6_000_000
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"[0-9]")
@@ -65,29 +65,45 @@ def grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(n, g, ctx, low, c): the n-grams of the documents, aggregated by slices; low is the n-gram without its first character; c counts the longest."""
+    """(n, g, ctx, low, c): the n-grams of the documents; low is the n-gram without its first character; c counts the longest.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only the longest n-grams are counted and shuffled, as ORDER characters; the shorter ones are their ends.
+    """
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = [c for t in part.column("text").to_pylist() if len(c := characters(t)) >= ORDER]
                 if not texts:
                     continue
                 codes = np.concatenate(texts)
-                size = np.array([len(c) for c in texts])
                 real = np.ones(len(codes) - ORDER + 1, bool)  # not the n-grams that end in a later text's marks
-                for end in np.cumsum(size)[:-1]:
+                for end in np.cumsum([len(c) for c in texts])[:-1]:
                     real[end - ORDER + 1 : end] = False
                 _, at, count = np.unique(hashes(codes, ORDER)[real], return_index=True, return_counts=True)
                 at = np.flatnonzero(real)[at]
-                for n in range(ORDER, 0, -1):  # a shorter one ends where a longest one does
-                    g, ctx, low = (hashes(codes, m).view(np.int64)[at + ORDER - n + d] for m, d in ((n, 0), (n - 1, 0), (n - 1, 1)))
-                    if n < ORDER:
-                        g, own = np.unique(g, return_index=True)
-                        ctx, low = ctx[own], low[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g), pa.array(ctx), pa.array(low), pa.array(count if n == ORDER else np.ones(len(g), np.int64))], ["n", "g", "ctx", "low", "c"])
-
-    counted = docs.select("text").mapInArrow(run, "n int, g long, ctx long, low long, c long")
+                runs = np.lib.stride_tricks.sliding_window_view(codes.astype("<u4"), ORDER)[at]
+                raw = np.ascontiguousarray(runs).tobytes().decode("utf-32-le", "surrogatepass")
+                grams_ = [raw[i : i + ORDER].encode("utf-8", "surrogatepass") for i in range(0, len(raw), ORDER)]
+                yield pa.RecordBatch.from_arrays([pa.array(grams_, pa.binary()), pa.array(count)], ["w", "c"])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w.decode("utf-8", "surrogatepass") for w in batch.column("w").to_pylist()]
+            if not words:
+                continue
+            codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            at = np.arange(0, len(codes), ORDER)
+            for n in range(ORDER, 0, -1):
+                g, ctx, low = (hashes(codes, m).view(np.int64)[at + ORDER - n + d] for m, d in ((n, 0), (n - 1, 0), (n - 1, 1)))
+                count = batch.column("c")
+                if n < ORDER:
+                    g, own = np.unique(g, return_index=True)
+                    ctx, low, count = ctx[own], low[own], pa.array(np.ones(len(own), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), n, np.int32)), pa.array(g), pa.array(ctx), pa.array(low), count], ["n", "g", "ctx", "low", "c"])
+
+    counted = docs.select("text").mapInArrow(trimmed(longest), "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    counted = counted.mapInArrow(trimmed(ends), "n int, g long, ctx long, low long, c long")
     return counted.groupBy("n", "g").agg(F.first("ctx").alias("ctx"), F.first("low").alias("low"), F.sum("c").alias("c"))
 
 
@@ -266,7 +282,7 @@ def judge(docs: DataFrame, trusted_ids: DataFrame, held_rows: int = HELD) -> Dat
     ship(docs.sparkSession)
     trusted_ids = staged(trusted_ids.select("doc_id").distinct(), "trusted")
     docs = docs.select("doc_id", "lang", "text")
-    model = train(docs.join(trusted_ids, "doc_id", "left_semi"))
+    model = train(maybe_in(docs, "doc_id", trusted_ids, "doc_id").join(trusted_ids, "doc_id", "left_semi"))
     known = model.count()
     scored = _scored_held(docs, held(model)) if known <= held_rows else _scored_joined(docs, model)
     perplexity = F.when(F.col("n_characters") > 0, F.exp(-F.col("log_p") / F.col("n_characters")))
