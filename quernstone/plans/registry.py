@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import similarity, text
-from ..operators import corpus, events, neardup, rerank, retrieval, sessions
+from ..operators import corpus, events, neardup, records, rerank, retrieval, sessions
 from ..sources import logs, pages
 from ..streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, events, neardup, corpus, sessions, similarity, text, rerank, pages, logs, folds)
+MODULES = (retrieval, events, neardup, corpus, sessions, records, similarity, text, rerank, pages, logs, folds)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP: Query = retrieval.search
