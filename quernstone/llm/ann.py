@@ -23,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import staged, table
+from .common import staged, table, trimmed
 
 SAMPLE, CENTROIDS, LIST = 32_768, 4096, 256
 #: Distance ratios: up to which a vector is replicated and a query looks, with the most copies of a vector.
-COPY_RATIO, COPIES, LOOK_RATIO = 1.03, 3, 1.32
-DEGREE, BEAM, BLOCK = 24, 48, 2048
+COPY_RATIO, COPIES, LOOK_RATIO = 1.03, 3, 1.12
+DEGREE, BEAM, BLOCK, FIRST = 24, 48, 2048, 6
 EVERY, TOP = 20, 20
+#: Centroids up to which all distances are taken.
+FEW = 512
 
 
 def balanced_centroids(x: np.ndarray, k: int, seed: int = 5) -> np.ndarray:
@@ -122,21 +125,23 @@ class Index:
         rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", y, y)))
         return np.concatenate([y, rest[:, None]], axis=1).astype(np.float32)
 
+    def nearest(self, lifted: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the nearest centroids and their squared distances: by the graph, or by one product where they are few."""
+        if len(self.graph.c) > FEW:
+            for q in lifted:
+                yield self.graph.search(q, beam)
+            return
+        d = np.maximum(self.graph.square[None, :] - 2 * lifted @ self.graph.c.T + np.einsum("ij,ij->i", lifted, lifted)[:, None], 0)
+        at = np.argsort(d, axis=1, kind="stable")
+        yield from zip(at, np.take_along_axis(d, at, axis=1))
+
     def homes(self, x: np.ndarray) -> list[np.ndarray]:
         """Posting lists of each vector."""
-        out = []
-        for q in self.lift(x, False):
-            at, d = self.graph.search(q)
-            out.append(at[: max(1, min(COPIES, int(np.searchsorted(d, d[0] * COPY_RATIO**2, "right"))))])
-        return out
+        return [at[: max(1, min(COPIES, int(np.searchsorted(d, d[0] * COPY_RATIO**2, "right"))))] for at, d in self.nearest(self.lift(x, False), BEAM)]
 
     def looks(self, x: np.ndarray) -> list[np.ndarray]:
         """Posting lists that each query looks into."""
-        out = []
-        for q in self.lift(x, True):
-            at, d = self.graph.search(q, max(BEAM, len(self.graph.c) // 3))
-            out.append(at[: max(2, int(np.searchsorted(d, d[0] * LOOK_RATIO**2, "right")))])
-        return out
+        return [at[: max(2, int(np.searchsorted(d, d[0] * LOOK_RATIO**2, "right")))] for at, d in self.nearest(self.lift(x, True), max(BEAM, len(self.graph.c) // 3))]
 
 
 def usable(df: DataFrame) -> DataFrame:
@@ -162,107 +167,109 @@ def fitted(vectors: DataFrame) -> Index | None:
 
 def _rows(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     v = batch.column("v")
-    ok = pa.compute.equal(pa.compute.list_value_length(v), width)
-    batch = batch.filter(ok)
+    batch = batch.filter(pc.equal(pc.list_value_length(v), width))
     return batch.column("vec_id").to_numpy(), batch.column("v").flatten().to_numpy().reshape(-1, width)
 
 
-def search(df: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's nearest found."""
-    import pyarrow.compute  # noqa: F401
-
-    spark = df.sparkSession
-    ship(spark)
-    vectors = usable(df)
-    index = fitted(vectors)
-    out = "query_id long, rank int, vec_id long, score double"
-    if index is None:
-        return spark.createDataFrame([], out)
-    shared = spark.sparkContext.broadcast(index)
-    width = index.graph.c.shape[1] - 1
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lists = len(index.graph.c)
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
-
-        for batch in batches:
-            ids, x = _rows(batch, width)
-            if not len(ids):
-                continue
-            homes = shared.value.homes(x)
-            row = np.repeat(np.arange(len(ids)), [len(h) for h in homes])
-            at = np.concatenate(homes)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(ids[row]), pa.array([r.tobytes() for r in x[row]], pa.binary())], ["list", "vec_id", "v"])
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute  # noqa: F401
+def _placed(df: DataFrame, shared, width: int, looking: bool, kind: str) -> DataFrame:
+    """A row for each list of each vector: list, nth (0 for the nearest), vec_id, v."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, x = _rows(batch, width)
-            if not len(ids):
-                continue
-            looks = shared.value.looks(x)
-            row = np.repeat(np.arange(len(ids)), [len(h) for h in looks])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(looks).astype(np.int32)), pa.array(ids[row]), pa.array([r.tobytes() for r in x[row]], pa.binary())], ["list", "vec_id", "v"])
-
-    kind = "list int, vec_id long, v binary"
-    posted = staged(vectors.mapInArrow(post, kind), "postings")
-    sizes = posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # a row a list
-    blocks = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")).cast("int")).select("list", "block", F.lit(False).alias("query"), "vec_id", "v")
-    asked = vectors.filter(F.col("vec_id") % every == 0).mapInArrow(look, kind).join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "vec_id", "v")
-
-    def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[], [], []]
+            for at in range(0, len(ids), 2000):
+                part = x[at : at + 2000]
+                lists = shared.value.looks(part) if looking else shared.value.homes(part)
+                count = [len(h) for h in lists]
+                row = np.repeat(np.arange(len(part)), count)
+                raw = [r.tobytes() for r in part.astype(kind)]
+                nth = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), pa.array(nth), pa.array(ids[at : at + 2000][row]), pa.array([raw[i] for i in row], pa.binary())], ["list", "nth", "vec_id", "v"])
+
+    return df.mapInArrow(trimmed(run), "list int, nth int, vec_id long, v binary")
+
+
+def _scored(blocks: DataFrame, asked: DataFrame, kind: str, top: int) -> DataFrame:
+    """(query_id, vec_id, score) of asked (list, block, vec_id, v, least) against blocks: at most the best of a block, of these none below least."""
+    n = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cols = ["list", "block", "query", "vec_id", "v", "least"]
+    both = blocks.select("list", "block", F.lit(False).alias("query"), "vec_id", "v", F.lit(None).cast("double").alias("least")).unionByName(asked.withColumn("query", F.lit(True)).select(*cols))
+
+    def best(q_ids: list, q: list, least: list, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        who, vec, score = [], [], []
+        x32, reach = x.astype(np.float32), float(np.linalg.norm(x, axis=1).max())
         for at in range(0, len(q), 256):
-            scores = q[at : at + 256] @ x.T
-            for k in range(len(scores)):
-                own, s = q_ids[at + k], scores[k]
-                s = np.where(ids == own, -np.inf, s)
-                if len(s) > 4 * top:
-                    edge = np.partition(s, len(s) - top)[len(s) - top]
-                    pick = np.flatnonzero(s >= edge - 1e-12 * max(1.0, abs(edge)))
-                else:
-                    pick = np.arange(len(s))
-                exact = (x[pick] * q[at + k]).sum(axis=1)
-                exact[ids[pick] == own] = -np.inf
-                order = np.lexsort((ids[pick], -exact))[:top]
-                order = order[exact[order] > -np.inf]
-                cols[0].append(np.full(len(order), own))
-                cols[1].append(ids[pick][order])
-                cols[2].append(exact[order])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols[0]), pa.int64()), pa.array(np.concatenate(cols[1]), pa.int64()), pa.array(np.concatenate(cols[2]), pa.float64())], ["query_id", "vec_id", "score"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, x = None, [], []
-        q_ids, q = [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if q_ids and ids:
-                yield best(np.array(q_ids), np.stack(q), np.array(ids), np.stack(x))
+            own, edge = np.array(q_ids[at : at + 256]), np.array(least[at : at + 256])
+            y = np.stack(q[at : at + 256])
+            s = y.astype(np.float32) @ x32.T  # to choose; scores are taken in double precision
+            if len(ids) > 4 * top and np.isinf(edge).any():  # what is not among a query's best of the block is not among its best
+                edge = np.maximum(edge, np.partition(s, len(ids) - top - 1, axis=1)[:, len(ids) - top - 1])
+            i, j = np.nonzero(s >= (edge - 1e-4 * np.maximum(1, np.linalg.norm(y, axis=1) * reach)).astype(np.float32)[:, None])
+            other = own[i] != ids[j]
+            i, j = i[other], j[other]
+            who.append(own[i])
+            vec.append(ids[j])
+            score.append((x[j] * y[i]).sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip((who, vec, score), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, x, q_ids, q, least, matrix = None, [], [], [], [], [], None
 
         for batch in batches:
-            for list_, block, query, vec_id, v in zip(*(batch.column(c).to_pylist() for c in ("list", "block", "query", "vec_id", "v"))):
+            for list_, block, query, vec_id, v, edge in zip(*(batch.column(c).to_pylist() for c in cols)):
                 if (list_, block) != now:
-                    yield from done()
-                    now, ids, x, q_ids, q = (list_, block), [], [], [], []
-                row = np.frombuffer(v, np.float64)
+                    if q and ids:
+                        yield best(q_ids, q, least, np.array(ids), np.stack(x) if matrix is None else matrix)
+                    now, ids, x, q_ids, q, least, matrix = (list_, block), [], [], [], [], [], None
+                row = np.frombuffer(v, kind).astype(np.float64)
                 if not query:
                     ids.append(vec_id)
                     x.append(row)
                     continue
                 q_ids.append(vec_id)
                 q.append(row)
-                if len(q) == 4096:
-                    yield from done()
-                    q_ids, q = [], []
-        yield from done()
-
-    parts = min(n, max(1, lists))
-    found = blocks.unionByName(asked).repartition(parts, "list", "block").sortWithinPartitions("list", "block", "query").mapInArrow(score, "query_id long, vec_id long, score double")
-    least = F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
-    merged = found.groupBy("query_id").agg(F.slice(least, 1, top).alias("best"))  # a query's few lists give TOP each
-    return merged.select("query_id", F.posexplode("best").alias("k", "b")).select("query_id", (F.col("k") + 1).alias("rank"), F.col("b.v").alias("vec_id"), (-F.col("b.s")).alias("score"))
+                least.append(-np.inf if edge is None else edge)
+                if len(q) == 2048 and ids:
+                    matrix = np.stack(x) if matrix is None else matrix
+                    yield best(q_ids, q, least, np.array(ids), matrix)
+                    q_ids, q, least = [], [], []
+        if q and ids:
+            yield best(q_ids, q, least, np.array(ids), np.stack(x) if matrix is None else matrix)
+
+    return both.repartition(n, "list", "block").sortWithinPartitions("list", "block", "query").mapInArrow(trimmed(run), "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """query_id, best: the first `top` of its (-score, vec_id), without repeats from replicas."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+
+
+def search(df: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
+    """query_id, rank, vec_id, score of each query's nearest found.
+
+    The nearest `FIRST` lists give each query a score that its best must reach; of the other lists
+    only candidates that reach it are passed on.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    kind = "<f4" if df.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
+    vectors = usable(df)
+    index = fitted(vectors)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(index)
+    width = index.graph.c.shape[1] - 1
+    posted = staged(_placed(vectors, shared, width, False, kind), "postings")
+    sizes = staged(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")  # a row a list
+    blocks = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")).cast("int"))
+    asked = _placed(vectors.filter(F.col("vec_id") % every == 0), shared, width, True, kind)
+    asked = staged(asked.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "asked")
+    near = staged(_best(_scored(blocks, asked.filter(F.col("nth") < FIRST).withColumn("least", F.lit(None).cast("double")), kind, top), top), "near")
+    least = near.filter(F.col("rank") == top).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+    more = _scored(blocks, asked.filter(F.col("nth") >= FIRST).join(least, "vec_id", "left"), kind, top)
+    return _best(near.select("query_id", "vec_id", "score").unionByName(more), top).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
