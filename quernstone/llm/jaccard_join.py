@@ -4,16 +4,20 @@ Sets of sizes a and b with Jaccard index 0.8 or more differ in at most (a + b) /
 k reaches from L to U < 1.25 L + 1, so that of two such sets the smaller lies in the larger one's band
 or the band below; both are looked at in the larger one's universe k, whose bound is H = 2 U // 9. There
 the shingles are dealt by hash into M segments. Segments that are empty in both sets say nothing, so M is
-H + 1 + Z: as long as one of the sets has at most Z empty segments, at least one segment that is not
-empty is the same in both, and the sets meet in its signature. Z is chosen by cost: a signature more
-for every set, against sets with more than Z empty segments ("thin" ones), which also emit the
-one-deletion neighbourhood of each of their segments: two thin sets meet in a segment that differs by
-one shingle at most, as 2 (M - z) > H. Thin sets with fewer than H / 2 + 1 segments in use share one signature.
+H + 1 + Z + S: as long as one of the sets has at most Z empty segments, at least S + 1 segments that are
+not empty are the same in both, and the sets meet in their signatures. So each set may leave out its S
+most frequent signatures, by one order for all (prefix filtering): those made of a passage that many
+documents share fall away, and a set that shares at most S signatures has no partner. S is a part of
+H, for which a set pays with a signature each; Z lies four deviations above the mean of the
+smallest sets. Sets with still more empty segments ("thin" ones) also emit the one-deletion
+neighbourhood of each segment: two thin sets meet in a segment that differs by one shingle at most,
+as 2 (M - z) > H. Thin sets with too few segments in use
+for that share one signature.
 
 A set is known by its hash, so equal sets are one node from the start. Nodes that share a signature
 are a run. Short runs are tested pair by pair. Long runs, as of thousands of near copies, are first tested
-against one leader each; then only pairs of nodes in different components are left, and of these
-only those whose counts of shingles in 64 classes allow it. Every test compares the whole sets.
+against one leader each, then each node against its nearest; then only pairs of
+nodes in different components are left, and of these only those whose sketches of parities allow it. Every test compares the whole sets.
 
 Defined results: null text and text without words have no shingles and are linked with nothing; their
 component is their own doc_id. Rows of equal sets are linked whatever their ids. Shingles are compared by
@@ -27,19 +31,27 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import drop_path, shared_path, slices, staged, table
+from .common import maybe_in, slices, staged, table, trimmed
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Runs up to this length are tested pair by pair at once.
 SHORT = 6
+#: A node's first runs, by which a pair's run is chosen; nearest nodes that are tested before all.
+FIRSTS, NEAREST = 8, 1
+#: Nodes up to which a table of them, of some hundred bytes each, is broadcast; beyond, it is shuffled.
+HELD = 100_000
+#: Parts of the signatures for each shuffle partition: one part is held in arrays.
+FINER = 1
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LETTER = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NO_FLAGS = ~np.uint64(3)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _TURN = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,147 +126,212 @@ def band_of(n: int) -> int:
     return k
 
 
+#: S as a part of H: more signatures for every set, fewer candidates.
+SPARE = 0.15
+
+
 @cache
-def universe(k: int) -> tuple[int, int, int]:
-    """H, M and Z of universe k: Z makes for the least expected signatures."""
+def universe(k: int) -> tuple[int, int, int, int]:
+    """H, M, Z and S of universe k. Z is the least that sets of the smallest size pass only four deviations above the mean."""
     first, last = band(k)
     differ = 2 * last * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
-    n = (first + last) / 2
-    best = None
-    for spare in range(2 * differ + 8):
-        m = differ + 1 + spare
-        mean = m * math.exp(-n / m)
-        term, below = math.exp(-mean), 0.0
-        for e in range(spare + 1):
-            below += term
-            term *= mean / (e + 1)
-        cost = m + max(0.0, 1 - below) * (n + m)
-        if best is None or cost < best[0]:
-            best = (cost, differ, m, spare)
-        elif spare > 40 and cost > 1.5 * best[0]:
-            break
-    return best[1:]
+    n, over, spare = first * NUMERATOR / DENOMINATOR, math.ceil(SPARE * differ), 0
+    while True:
+        m = differ + 1 + spare + over
+        each = n / m
+        mean = m * math.exp(-each)
+        if m == 1 or spare >= mean + 4 * math.sqrt(max(0.0, mean * (1 - (1 + each) * math.exp(-each)))):
+            return differ, m, spare, over
+        spare += 1
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """64-bit signatures of a set in its own universe and the next."""
+    """64-bit signatures of a set in its own universe and the next; bit 0 is the universe's parity, bit 1 says one-deletion."""
     out = []
     k = band_of(len(s))
     stirred = mix(s + _C1)
     for u in (k, k + 1):
         if len(s) * DENOMINATOR < NUMERATOR * band(u)[0]:
             continue
-        differ, m, spare = universe(u)
-        seg = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+        differ, m, spare, _ = universe(u)
+        seg = (((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
         content = np.zeros(m, np.uint64)
-        np.add.at(content, seg.astype(np.int64), stirred)
-        used = np.flatnonzero(np.bincount(seg.astype(np.int64), minlength=m))
+        np.add.at(content, seg, stirred)
+        used = np.flatnonzero(np.bincount(seg, minlength=m))
         base = mix(np.array([u], np.uint64) * _C2 + np.arange(m, dtype=np.uint64) * _C3 + _C1)
-        out.append(mix(content[used] ^ base[used]))
+        flags = np.uint64(u & 1)
+        out.append((mix(content[used] ^ base[used]) & _NO_FLAGS) | flags)
         if m - len(used) > spare:
-            one = base + np.uint64(1)  # another kind of signature: segments and their one-deletions meet here
-            out.append(mix(content ^ one))  # empty ones too: a deletion may leave nothing
-            at = seg.astype(np.int64)
-            out.append(mix((content[at] - stirred) ^ one[at]))
+            flags |= np.uint64(2)
+            out.append((mix(content ^ base) & _NO_FLAGS) | flags)  # empty ones too: a deletion may leave nothing
+            out.append((mix((content[seg] - stirred) ^ base[seg]) & _NO_FLAGS) | flags)
             if 2 * len(used) <= differ:
-                out.append(mix(np.array([u], np.uint64) * _C1 + np.uint64(7)))
-    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
+                out.append((mix(np.array([u], np.uint64) * _C1 + np.uint64(7)) & _NO_FLAGS) | flags)
+    return np.unique(np.concatenate(out))
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """Of each of 2^k >= 2 n (at least 64) classes, whether the set has an odd number of it: two sets' sketches differ in no more bits than the sets in shingles."""
+    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
 
 
 def set_hash(s: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(s + _C2)) + np.uint64(len(s))])).view(np.int64)[0])
 
 
+def _packed(part: np.ndarray, parts: int, fields: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """(part, blob) of rows given as arrays of one length; `_unpacked` reads the blobs."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    fields = [f[order] for f in fields]
+    return [(int(r), b"".join(f[cuts[r] : cuts[r + 1]].tobytes() for f in fields)) for r in np.flatnonzero(np.diff(cuts))]
+
+
+def _unpacked(blobs: list[pa.Buffer], kinds: list[str]) -> list[np.ndarray]:
+    width, out = sum(np.dtype(k).itemsize for k in kinds), [[] for _ in kinds]
+    for raw in blobs:
+        n, at = raw.size // width, 0
+        for k, into in zip(kinds, out):
+            into.append(np.frombuffer(raw, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(out, kinds)]
+
+
+_ROWS = "doc_id long, n long, node long, r int, blob binary"
+_NAMES = ["doc_id", "n", "node", "r", "blob"]
+
+
+def _blob_rows(packed: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    k = len(packed)
+    return pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array([r for r, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], _NAMES)
+
+
+def _spread(key: np.ndarray, parts: int) -> np.ndarray:
+    return (((key >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
 def _first_pass(docs: DataFrame, parts: int) -> DataFrame:
-    """kind 0: doc_id, n, node; kind 1: for part r, node after node with its signatures in a blob."""
+    """Rows doc_id, n, node of all documents, and for each part r a blob: nodes with their bands and numbers of signatures, then 32 bits of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 sizes, nodes, known, sigs = [], [], {}, []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text)
                     sizes.append(len(s))
-                    if not len(s):
-                        nodes.append(None)
-                        continue
-                    node = set_hash(s)
-                    nodes.append(node)
-                    if node not in known:
-                        known[node] = len(s)
+                    nodes.append(set_hash(s) if len(s) else None)
+                    if len(s) and nodes[-1] not in known:
+                        known[nodes[-1]] = band_of(len(s))
                         sigs.append(signatures(s))
                 n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                home = np.array([0 if x is None else x for x in nodes], np.int64).view(np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(_spread(mix(home + np.arange(n, dtype=np.uint64)), parts), pa.int32()), pa.nulls(n, pa.binary())], _NAMES)
                 if not sigs:
                     continue
                 own = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
                 every = np.concatenate(sigs)
-                to = ((every >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+                to = _spread(every, parts)
                 order = np.argsort(to, kind="stable")
-                every, own, to = every[order], own[order], to[order].astype(np.int64)
+                every, own, to = every[order], own[order], to[order]
                 cuts = np.searchsorted(to, np.arange(parts + 1))
-                ids = np.fromiter(known, np.int64, len(known))
-                blobs, where = [], []
+                ids, bands = np.fromiter(known, np.int64, len(known)), np.fromiter(known.values(), np.uint8, len(known))
+                blobs = []
                 for r in np.flatnonzero(np.diff(cuts)):
                     a, b = cuts[r], cuts[r + 1]
                     mine, counts = np.unique(own[a:b], return_counts=True)
-                    six = every[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(np.int64(len(mine)).tobytes() + ids[mine].tobytes() + counts.astype("<u4").tobytes() + six.tobytes())
-                    where.append(int(r))
-                k = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, kind), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names)
+                    blobs.append((int(r), np.int64(len(mine)).tobytes() + ids[mine].tobytes() + counts.astype("<u4").tobytes() + bands[mine].tobytes() + every[a:b].astype("<u4").tobytes()))
+                yield _blob_rows(blobs)
 
-    kind = pa.int64()
-    names = ["kind", "doc_id", "n", "node", "r", "blob"]
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, node long, r int, blob binary")
+    return docs.mapInArrow(trimmed(run), _ROWS)
 
 
-def _runs(blobs: DataFrame, parts: int) -> DataFrame:
-    """(run, node): the nodes of each signature that at least two share; equal runs of a part are one."""
+def _shared(rows: DataFrame, parts: int) -> DataFrame:
+    """Documents' rows as they came, and by part of the node: (node, band, run, size) of every signature that several nodes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners = [], []
+        sigs, owners, bands, r = [], [], [], 0
         for batch in batches:
-            for blob in batch.column("blob"):
-                raw = blob.as_buffer()
+            blob = batch.column("blob")
+            plain = batch.filter(blob.is_null())
+            if plain.num_rows:
+                yield plain
+            for raw in (x.as_buffer() for x in blob.filter(blob.is_valid())):
+                r = batch.column("r")[0].as_py()
                 n = int(np.frombuffer(raw, "<i8", 1)[0])
-                ids, counts = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
-                six = np.frombuffer(raw, np.uint8, offset=8 + 12 * n).reshape(-1, 6)
-                wide = np.zeros((len(six), 8), np.uint8)
-                wide[:, :6] = six
-                sigs.append(wide.view("<u8").reshape(-1))
+                ids, counts, band_ = np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n), np.frombuffer(raw, np.uint8, n, 8 + 12 * n)
+                sigs.append(np.frombuffer(raw, "<u4", offset=8 + 13 * n))
                 owners.append(np.repeat(ids, counts))
+                bands.append(np.repeat(band_, counts))
         if not sigs:
             return
-        sig, node = np.concatenate(sigs), np.concatenate(owners)
-        sigs.clear()
-        owners.clear()
-        order = np.argsort(sig, kind="stable")
-        sig, node = sig[order], node[order]
-        same = sig[1:] == sig[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        sig, node = sig[shared], node[shared]
-        if not len(sig):
+        for quarter in range(4):  # of the signatures, to hold less at once
+            picked = [x >> np.uint32(30) == quarter for x in sigs]
+            sig, node, band_ = (np.concatenate([x[k] for x, k in zip(y, picked)]) for y in (sigs, owners, bands))
+            order = np.argsort(sig, kind="stable")
+            sig, node, band_ = sig[order], node[order], band_[order]
+            same = sig[1:] == sig[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            order = np.flatnonzero(shared[: len(sig)])
+            order = order[np.lexsort((node[order], sig[order]))]
+            sig, node, band_ = sig[order], node[order], band_[order]
+            keep = np.ones(len(sig), bool)
+            keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])  # a node from two slices
+            sig, node, band_ = sig[keep], node[keep], band_[keep]
+            if not len(sig):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            length = np.diff(np.concatenate([first, [len(sig)]]))
+            size = np.repeat(length, length)
+            several = size > 1
+            sig, node, band_, size = sig[several], node[several], band_[several], size[several]
+            run_id = (np.uint64(r) << np.uint64(32)) | sig.astype(np.uint64)
+            yield _blob_rows(_packed(_spread(mix(node.view(np.uint64)), parts), parts, [node.astype("<i8"), run_id.astype("<u8"), size.astype("<u4"), band_]))
+
+    return rows.repartitionById(parts, F.col("r")).mapInArrow(trimmed(run), _ROWS)
+
+
+def _prefixes(rows: DataFrame, parts: int) -> DataFrame:
+    """(run, node) of the shared signatures that are left when each node has dropped its S most frequent ones in a universe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x.as_buffer() for batch in batches for x in batch.column("blob")]
+        node, run_id, size, band_ = _unpacked(blobs, ["<i8", "<u8", "<u4", "u1"])
+        if not len(node):
             return
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        keep = np.ones(len(sig), bool)
-        keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[keep], node[keep]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.concatenate([first, [len(sig)]]))
-        members = mix(np.add.reduceat(mix(node.view(np.uint64) + _C1), first) + length.astype(np.uint64))
-        _, one = np.unique(members, return_index=True)
-        one = one[length[one] > 1]
-        at = np.repeat(first[one] - (np.cumsum(length[one]) - length[one]), length[one]) + np.arange(int(length[one].sum()))
-        out = pa.table({"run": np.repeat(members[one].view(np.int64), length[one]), "node": node[at], "size": np.repeat(length[one], length[one]).astype(np.int64)})
-        yield from out.to_batches(max_chunksize=100_000)
-
-    return blobs.repartitionById(parts, F.col("r")).select("blob").mapInArrow(run, "run long, node long, size long").dropDuplicates(["run", "node"])
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, tokens, sketch for the nodes wanted (node, doc_id)."""
+        flags = (run_id & np.uint64(3)).astype(np.int64)
+        order = np.lexsort((run_id, size, flags, node))
+        node, run_id, band_, flags = node[order], run_id[order], band_[order].astype(np.int64), flags[order]
+        first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (flags[1:] != flags[:-1])]))
+        count = np.diff(np.concatenate([first, [len(node)]]))
+        over = np.array([universe(k)[3] for k in range(int(band_.max()) + 2)])
+        u = band_ + ((band_ & 1) != (flags & 1))
+        left = np.repeat(first + count, count) - np.arange(len(node)) - 1  # more frequent ones of the same node and universe
+        keep = (left >= over[u]) | (flags >= 2)
+        node, run_id = node[keep], run_id[keep]
+        for at in range(0, len(node), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(run_id[at : at + 100_000].view(np.int64)), pa.array(node[at : at + 100_000])], ["run", "node"])
+
+    return rows.select("r", "blob").repartitionById(parts, F.col("r")).select("blob").mapInArrow(trimmed(run), "run long, node long")
+
+
+def _distinct_runs(rows: DataFrame) -> DataFrame:
+    """(run, node, size): of runs with the same nodes one, of those with one node none."""
+    sums = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("members")).filter("size > 1")
+    one = sums.groupBy("members", "size").agg(F.min("run").alias("run"))
+    return rows.join(one.select("run", "size"), "run")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """node, n, tokens, sketch for the nodes wanted (node, doc_id); repeated: doc_ids may be."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,13 +340,24 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for node, text in zip(part.column("node").to_pylist(), part.column("text").to_pylist()):
                     s = shingle_set(text)
                     if set_hash(s) == node:  # ids may repeat
-                        sketch = np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2")
-                        rows.append({"node": node, "n": len(s), "tokens": s.tobytes(), "sketch": sketch.tobytes()})
+                        rows.append({"node": node, "n": len(s), "tokens": s.tobytes(), "sketch": parities(s).tobytes()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("node", "text").mapInArrow(run, "node long, n long, tokens binary, sketch binary").dropDuplicates(["node"])
+    found = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted, "doc_id").join(F.broadcast(wanted) if wanted.count() <= HELD else wanted, "doc_id")
+    found = found.select("node", "text").mapInArrow(trimmed(run), "node long, n long, tokens binary, sketch binary")
+    return found.dropDuplicates(["node"]) if repeated else found
+
+
+def _allowed(n_a: pd.Series, s_a: pd.Series, n_b: pd.Series, s_b: pd.Series) -> pd.Series:
+    """Whether two sketches differ little enough."""
+    out = []
+    for a, x, b, y in zip(n_a, s_a, n_b, s_b):
+        words = min(len(x), len(y)) // 8
+        apart = int(np.bitwise_count(folded(np.frombuffer(x, "<u8"), words) ^ folded(np.frombuffer(y, "<u8"), words)).sum())
+        out.append(apart * (DENOMINATOR + NUMERATOR) <= (a + b) * (DENOMINATOR - NUMERATOR))
+    return pd.Series(out, dtype=bool)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -295,98 +383,113 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], ["a", "b"])
 
-    return both.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return both.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(trimmed(run), "a long, b long")
+
 
+def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
+    """Of runs (run, node, component): (run, a, b) pairs of different components whose sizes and sketches allow a link.
 
-def _cross_pairs(runs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of (run, node, component): pairs of different components whose sizes and sketches allow a link."""
-    rows = runs.join(sets.select("node", "n", "sketch"), "node").select("run", "node", "component", "n", "sketch")
+    nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
+    among their `FIRSTS` first ones, so that a pair isn't given by every run it is in.
+    """
+    firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
+    known = sets.select("node", "n", "sketch").join(firsts, "node")
+    known = staged(known, "known")
+    rows = runs.join(F.broadcast(known) if known.count() <= HELD else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs(rows: list[tuple]) -> np.ndarray:
+    def pairs(run_id: int, rows: list[tuple]) -> Iterator[np.ndarray]:
         node, comp, size = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, 64).astype(np.int32)
-        found = []
-        for i in range(len(rows) - 1):
-            rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            a, b = size[i], size[rest]
-            rest = rest[np.minimum(a, b) * DENOMINATOR >= NUMERATOR * np.maximum(a, b)]
-            if len(rest):
-                apart = np.abs(sketch[rest] - sketch[i]).sum(axis=1)
-                rest = rest[apart * (DENOMINATOR + NUMERATOR) <= (a + size[rest]) * (DENOMINATOR - NUMERATOR)]
-                if len(rest):
-                    found.append(np.stack([np.minimum(node[i], node[rest]), np.maximum(node[i], node[rest])]))
-        return np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        raw = [np.frombuffer(r[3], "<u8") for r in rows]
+        words = min(map(len, raw))
+        sketch = np.stack([folded(x, words) for x in raw])
+        step = max(1, (1 << 19) // (len(rows) * words))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            apart = np.bitwise_count(sketch[part, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+            both = size[part, None] + size[None, :]
+            ok = (comp[part, None] != comp[None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= both * (DENOMINATOR - NUMERATOR))
+            ok &= np.minimum(size[part, None], size[None, :]) * DENOMINATOR >= np.maximum(size[part, None], size[None, :]) * NUMERATOR
+            if nearest:
+                apart[~ok] = 1 << 40
+                k = min(nearest, len(rows) - 1)
+                j = np.argpartition(apart, k - 1, axis=1)[:, :k]
+                i = np.repeat(np.arange(len(apart)), k)
+                j = j.reshape(-1)
+                keep = ok[i, j]
+                i, j = i[keep] + at, j[keep]
+            else:
+                ok &= np.arange(len(rows))[None, :] > np.arange(at, at + len(apart))[:, None]
+                i, j = np.nonzero(ok)
+                i = i + at
+                first = [not any(r < run_id for r in set(rows[a][4]) & set(rows[b][4])) for a, b in zip(i.tolist(), j.tolist())]
+                i, j = i[first], j[first]
+            if len(i):
+                yield np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out() -> Iterator[pa.RecordBatch]:
-            got = pairs(held)
-            for at in range(0, got.shape[1], 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(got[0, at : at + 50_000]), pa.array(got[1, at : at + 50_000])], ["a", "b"])
+            for got in pairs(now, held) if len(held) > 1 else ():
+                for at in range(0, got.shape[1], 50_000):
+                    a, b = got[0, at : at + 50_000], got[1, at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), now)), pa.array(a), pa.array(b)], ["run", "a", "b"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("run", "node", "component", "n", "sketch"))):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("run", "node", "component", "n", "sketch", "firsts"))):
                 if key != now:
-                    if held:
-                        yield from out()
+                    yield from out()
                     now, held = key, []
                 held.append(tuple(row))
-        if held:
-            yield from out()
+        yield from out()
 
-    return rows.repartition(n, "run").sortWithinPartitions("run").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(n, "run").sortWithinPartitions("run").mapInArrow(trimmed(run), "run long, a long, b long")
 
 
-def _with_components(runs: DataFrame, edges: DataFrame) -> DataFrame:
+def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:
     """The runs (run, node, component) that still lie in more than one component."""
-    components = connected_components(edges)
     rows = runs.select("run", "node").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     open_ = rows.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
     return rows.join(open_, "run", "left_semi")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every document, and (a, b) edges between nodes that join all linked nodes."""
+def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every document, and (node, component) of the nodes that are linked with others."""
     spark = docs.sparkSession
     ship(spark)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    path = shared_path(spark, "signatures")
-    _first_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts).write.parquet(path)
-    first = spark.read.parquet(path)
-    nodes = staged(first.filter("kind = 0").select("doc_id", "n", "node"), "nodes")
-    runs = staged(_runs(first.filter("kind = 1"), parts), "runs")
-    drop_path(spark, path)
+    parts = FINER * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = staged(_shared(_first_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts), parts), "shared")
+    nodes = first.filter("blob IS NULL").select("doc_id", "n", "node")
+    runs = staged(_distinct_runs(staged(_prefixes(first.filter("blob IS NOT NULL"), parts), "prefixes")), "runs")
     wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = staged(_sets(docs, wanted), "sets")
+    repeated = not nodes.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    sets = staged(_sets(docs, staged(wanted, "wanted"), repeated), "sets")
     short = runs.filter(F.col("size") <= SHORT)
     pairs = short.select("run", F.col("node").alias("a")).join(short.select("run", F.col("node").alias("b")), "run").filter("a < b").select("a", "b")
     long = staged(runs.filter(F.col("size") > SHORT).select("run", "node"), "long")
     lead = long.groupBy("run").agg(F.min("node").alias("a"))
     pairs = pairs.unionByName(long.join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
-    pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("_na")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("_nb")), "b")
-    pairs = pairs.filter(F.least("_na", "_nb") * DENOMINATOR >= F.greatest("_na", "_nb") * NUMERATOR).select("a", "b")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    pairs = pairs.filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).filter(F.pandas_udf(_allowed, "boolean")("n_a", "s_a", "n_b", "s_b")).select("a", "b")
     edges = staged(_verified(staged(pairs, "pairs"), sets), "links")
-    if long.isEmpty():
-        return nodes, edges
-    left = staged(_with_components(long, edges), "open")  # another leader, from another component
-    if left.isEmpty():
-        return nodes, edges
-    lead = left.groupBy("run").agg(F.max_by("node", F.struct("component", "node")).alias("a"), F.max("component").alias("c"))
-    pairs = left.join(lead, "run").filter("component <> c").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    edges = staged(edges.unionByName(_verified(staged(pairs, "pairs"), sets)), "links")
-    left = staged(_with_components(long, edges), "open")
-    if left.isEmpty():
-        return nodes, edges
-    return nodes, staged(edges.unionByName(_verified(staged(_cross_pairs(left, sets), "pairs"), sets)), "links")
+    components = staged(connected_components(edges), "components")
+    for nearest in (NEAREST, 0):
+        left = staged(_open_runs(long, components), "open")
+        found = staged(_pairs_apart(left, sets, nearest), "apart")
+        linked_ = staged(_verified(found.select("a", "b").distinct(), sets), "links")
+        if not linked_.isEmpty():  # the old components are stars, so that their number of edges is small
+            stars = components.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            components = staged(connected_components(stars.unionByName(linked_)), "components")
+        long = long.join(found.select("run").distinct(), "run", "left_semi")  # no other run has a pair to test
+    return nodes, components
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    nodes, edges = links(docs)
+    nodes, components = linked_nodes(docs)
     classes = nodes.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    components = connected_components(edges)
     placed = classes.join(components, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     placed = staged(placed.join(lowest, "component").select("node", "component_id"), "placed")
