@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quernstone.functions import similarity as sim
+from quernstone.functions import structured
 from quernstone.operators import neardup, rerank, retrieval
 from quernstone.sources import logs, pages
 from quernstone.streaming import folds
@@ -109,3 +110,32 @@ def test_incremental_index(spark, tmp_path):
     folds.index_stream(spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "docs")), str(tmp_path / "index"), str(tmp_path / "c")).awaitTermination(120)
     posts, lengths = logs.load_index(spark, str(tmp_path / "index"))
     assert posts.count() == 4 and lengths.count() == 2
+
+
+def test_line_hash_chain():
+    import xxhash
+
+    got = structured.line_hashes("a b\r\n--\n")
+    assert len(got) == 3 and all(len(h) == 2 and set(h) <= set(structured.NIBBLES) for h in got)
+    first = xxhash.xxh32(b"ab", 0).intdigest() & 255
+    assert got[0] == structured.NIBBLES[first >> 4] + structured.NIBBLES[first & 15]
+    assert structured.line_hashes("x\ny")[1] != structured.line_hashes("z\ny")[1] or structured.line_hashes("x")[0] == structured.line_hashes("z")[0]
+
+
+def test_anchored_edits():
+    text = "one\ntwo\nthree"
+    h = structured.line_hashes(text)
+    edit = {"line": 2, "end": 2, "hash": h[1], "lines": ["2a", "2b"]}
+    assert structured.apply_edits(text, [edit, edit]) == "one\n2a\n2b\nthree"
+    for bad in ([{**edit, "hash": "??"}], [edit, {**edit, "line": 1, "end": 2, "hash": h[0]}]):
+        try:
+            structured.apply_edits(text, bad)
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_repair_and_diff():
+    fields = {"path": None, "max_results": (1, 10), "pattern": None}
+    assert structured.repaired({"pth": 1, "file": "x", "max_result": 99, "patern": "a"}, fields, {"file": "path"}) == {"pth": 1, "path": "x", "max_results": 10, "pattern": "a"}
+    assert structured.unified("a\nb", "a\nc").splitlines()[-2:] == ["-b", "+c"] and structured.canonical("{no") == "{no"
