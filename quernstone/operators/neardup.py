@@ -68,7 +68,7 @@ def minhash(docs: DataFrame, slots: int = 64, k: int = 3) -> DataFrame:
 
 
 def q_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash(table(spark, sf_dir, "documents").filter("n_chars < 2000")).select("doc_id", F.size("signature").alias("slots"), F.element_at("signature", 1).alias("first"))
+    return minhash(table(spark, sf_dir, "documents")).select("doc_id", F.size("signature").alias("slots"), F.element_at("signature", 1).alias("first"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -103,8 +103,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def q_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set similarities of every passage's head with the next passage's."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("t"))
+    """Set similarities of every passage with the next one."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
     pairs = b.alias("a").join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")).alias("b"), "item_id")
     words = lambda c: F.array_distinct(F.split(F.lower(F.col(c)), " "))
     return pairs.select("item_id", F.round(jaccard(words("t"), words("u")), 6).alias("jaccard"), F.round(dice(F.col("t"), F.col("u")), 6).alias("dice"), F.round(overlap(F.col("t"), F.col("u")), 6).alias("overlap"), hamming(F.col("t"), F.col("u")).alias("hamming"))
@@ -120,7 +120,7 @@ def q_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return norms.join(after, "item_id").join(dots, "item_id", "left").select("item_id", F.round(F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0)), 6).alias("cosine"))
 
 
-_SETS = "s AS (SELECT item_id, left(text, 40) AS t FROM benchmark), p AS (SELECT a.item_id, a.t, b.t AS u FROM s a JOIN s b ON b.item_id = a.item_id + 1)"
+_SETS = "s AS (SELECT item_id, text AS t FROM benchmark), p AS (SELECT a.item_id, a.t, b.t AS u FROM s a JOIN s b ON b.item_id = a.item_id + 1)"
 _BI = "list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)))"
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))"
 

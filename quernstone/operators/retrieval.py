@@ -57,8 +57,9 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def queries_of(spark: SparkSession, sf_dir: str, chars: int = 24) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, chars).alias("text"))
+def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of the benchmark, each a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ lens AS (SELECT doc_id, CAST(CASE WHEN length(t) >= 3 THEN length(t) - 2 WHEN le
 stats AS (SELECT max(doc_id) + 1 AS n, avg(dl) AS avgdl, CAST(sum(dl) AS BIGINT) AS total FROM lens),
 terms AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term),
 kept AS (SELECT terms.* FROM terms, stats WHERE df <= n * 0.5::DOUBLE AND NOT regexp_full_match(term, '\p{P}+')),
-qs AS (SELECT item_id AS qid, lower(regexp_replace(substring(text, 1, 24), '^\s+|\s+$', '', 'g')) AS t FROM benchmark),
+qs AS (SELECT item_id AS qid, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM benchmark),
 qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)) WHEN length(t) > 0 THEN [t] ELSE [] END) AS term FROM qs) GROUP BY ALL),
 hits AS (SELECT qid, term, qtf, doc_id, tf, df, cf FROM qt JOIN kept USING (term) JOIN post USING (term))"""
 _PART = "ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))"
