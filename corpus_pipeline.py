@@ -41,7 +41,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them; a row for each copy."""
-    return bpe.encode_decode(docs)
+    return staged(bpe.encode_decode(docs), "encoded")
 
 
 STAGES = [("language ID", identified), ("n-gram Jaccard join", deduplicated), ("PII", redacted), ("mixing", mixed), ("BPE", encoded)]

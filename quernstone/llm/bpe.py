@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_text, table
 
 #: Words that the memo keeps before it starts anew; symbols of a window; characters fed at once.
-MEMO, WINDOW, FEED = 250_000, 1024, 1 << 18
+MEMO, WINDOW, FEED = 200_000, 1024, 1 << 18
 _SHIFT = 20
 
 # The splitting pattern; the plain one agrees with it on the characters of _PLAIN.
@@ -87,6 +87,7 @@ class Merges:
             self.rules.setdefault(vocab[u] << _SHIFT | vocab[v], rank << _SHIFT | vocab[u + v])
         self.lookahead = sufficient_lookahead(pairs, suffix)
         self.longest = max(len(s) for s in vocab)
+        self.ids = list(range(max(self.strings) + 1))
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
@@ -95,13 +96,19 @@ class Merges:
             return self._merge_long(ids)
         rules = self.rules
         none = 1 << 60
-        while len(ids) > 1:
-            ranks = [rules.get(a << _SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        ranks = [rules.get(a << _SHIFT | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
             best = min(ranks)
             if best == none:
                 break
             at = ranks.index(best)
-            ids[at : at + 2] = [best & ((1 << _SHIFT) - 1)]
+            new = best & ((1 << _SHIFT) - 1)
+            ids[at : at + 2] = [new]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rules.get(ids[at - 1] << _SHIFT | new, none)
+            if at < len(ranks):
+                ranks[at] = rules.get(new << _SHIFT | ids[at + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -131,7 +138,7 @@ class Merges:
             if len(word) <= 64:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
-                self.memo[word] = got
+                self.memo[word] = got = tuple(map(self.ids.__getitem__, got))  # one object for each id
         return got
 
     def words(self, words: list[str]) -> Iterator[int]:
