@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import maybe_in, slices, staged, table
+from .common import maybe_in, slices, staged, table, trimmed
 from .winnowing import rolling_hashes
 
 LENGTH, GRAM, PERIOD, STEP = 400, 32, 80, 9
@@ -114,7 +114,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(t), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (lo, hi, p, c))], names)
 
     names = ["doc_id", "t", "n_bytes", "sha256", "h", "s", "lo", "hi", "p", "c"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, t long, n_bytes long, sha256 string, h long, s long, lo int, hi int, p int, c int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), "doc_id long, t long, n_bytes long, sha256 string, h long, s long, lo int, hi int, p int, c int")
 
 
 def _doubled(rank: np.ndarray, place: np.ndarray, at: np.ndarray, by: int) -> np.ndarray:
@@ -207,7 +207,7 @@ def _snippets(docs: DataFrame, reps: DataFrame, homes: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 8
     kinds[6], kinds[7] = pa.int32(), pa.binary()
     found = maybe_in(docs.select(_key("doc_id"), "text"), "_key", wanted, "_key").join(wanted, "_key").select("t", "text", "marks")
-    return found.mapInArrow(run, "h long, core long, s long, c long, t long, lo long, lead int, bytes binary")
+    return found.mapInArrow(trimmed(run), "h long, core long, s long, c long, t long, lo long, lead int, bytes binary")
 
 
 def _key(name: str):
@@ -256,7 +256,7 @@ def _sorted_blocks(rows: DataFrame) -> DataFrame:
             if got is not None:
                 yield got
 
-    return rows.repartition(n, "h", "core").sortWithinPartitions("h", "core", "s", "lead").mapInArrow(run, "t long, lo long, hi long")
+    return rows.repartition(n, "h", "core").sortWithinPartitions("h", "core", "s", "lead").mapInArrow(trimmed(run), "t long, lo long, hi long")
 
 
 def union_of(starts: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -293,7 +293,7 @@ def _removals(docs: DataFrame, starts: DataFrame, homes: DataFrame) -> DataFrame
 
     schema = pa.schema([("t", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
     found = maybe_in(docs.select(_key("doc_id"), "text"), "_key", wanted, "_key").join(wanted, "_key").select("t", "text", "starts")
-    return found.mapInArrow(run, "t long, n_removed long, n_spans long, kept string").dropDuplicates(["t"])
+    return found.mapInArrow(trimmed(run), "t long, n_removed long, n_spans long, kept string").dropDuplicates(["t"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import slices, table
+from .common import slices, table, trimmed
 
 K, W = 16, 49
 _BASE, _STIR = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
@@ -178,7 +178,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     ship(docs.sparkSession)
-    return in_turn(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_turn(docs).mapInArrow(trimmed(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
