@@ -81,14 +81,18 @@ class Index:
         tokens = self.docs.select("doc_id", F.explode(grams(normal(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
         posts = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
         kept = kept_terms(term_stats(posts), self.stats)
-        return q.join(kept, "term").join(posts, "term")
+        return q.join(self.weighed(posts.join(kept, "term")), "term")
 
-    def scored(self, hits: DataFrame, weight: str = "qtf") -> DataFrame:
-        """qid, doc_id, score over hits (qid, doc_id, tf, df, weight)."""
-        rows = hits.join(self.lengths, "doc_id").crossJoin(F.broadcast(self.stats))
+    def weighed(self, posts: DataFrame) -> DataFrame:
+        """Postings with what one query occurrence of the term adds to the document's score: computed once for all queries."""
+        rows = posts.join(self.lengths, "doc_id").crossJoin(F.broadcast(self.stats))
         tf = F.col("tf").cast("double")
-        part = F.col(weight) * idf(F.col("n"), F.col("df")) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-        return rows.groupBy("qid", "doc_id").agg(F.sum(part).alias("score"))
+        part = idf(F.col("n"), F.col("df")) * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
+        return rows.select("term", "doc_id", "tf", "df", "cf", part.alias("part"))
+
+    def scored(self, hits: DataFrame, weight: str = "qtf") -> DataFrame:
+        """qid, doc_id, score, have (different terms) over hits (qid, doc_id, part, weight), in one pass."""
+        return hits.groupBy("qid", "doc_id").agg(F.sum(F.col(weight) * F.col("part")).alias("score"), F.count(F.lit(1)).alias("have"))
 
 
 def top(scores: DataFrame, k: int = TOP) -> DataFrame:
@@ -101,10 +105,9 @@ def min_match(q: DataFrame, share: float = 0.5) -> DataFrame:
     return q.groupBy("qid").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(share))).alias("need"))
 
 
-def candidates(hits: DataFrame, q: DataFrame, share: float = 0.5) -> DataFrame:
-    """(qid, doc_id) that hold enough different query terms."""
-    counts = hits.groupBy("qid", "doc_id").agg(F.count_distinct("term").alias("have"))
-    return counts.join(F.broadcast(min_match(q, share)), "qid").filter("have >= need").select("qid", "doc_id")
+def enough(scores: DataFrame, q: DataFrame, share: float = 0.5) -> DataFrame:
+    """Scored documents that hold enough different query terms."""
+    return scores.join(F.broadcast(min_match(q, share)), "qid").filter("have >= need")  # a row a query
 
 
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,7 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Index(table(spark, sf_dir, "documents"))
     q = query_terms(queries_of(spark, sf_dir)).withColumn("one", F.lit(1))
     hits = index.matching(q)
-    return top(index.scored(hits.join(candidates(hits, q), ["qid", "doc_id"], "left_semi"), "one"))
+    return top(enough(index.scored(hits, "one"), q))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
