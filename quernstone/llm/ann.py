@@ -32,7 +32,7 @@ from .common import staged, table, trimmed
 
 SAMPLE, CENTROIDS, LIST = 32_768, 4096, 256
 #: Distance ratios: up to which a vector is replicated and a query looks, with the most copies of a vector.
-COPY_RATIO, COPIES, LOOK_RATIO = 1.03, 3, 1.12
+COPY_RATIO, COPIES, LOOK_RATIO = 1.03, 3, 1.2
 DEGREE, BEAM, BLOCK, FIRST = 24, 48, 2048, 6
 EVERY, TOP = 20, 20
 #: Centroids up to which all distances are taken.

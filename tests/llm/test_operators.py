@@ -201,6 +201,18 @@ def test_ann_recall(spark):
     assert hits / (75 * 20) >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
+def test_ann_looks_far_enough():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 12_000)] + 1.2 * rng.normal(size=(12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(1.0, ann.balanced_centroids(np.concatenate([x, np.zeros((len(x), 1))], axis=1), len(x) // ann.LIST))
+    homes, hits = index.homes(x), 0
+    for q, lists in zip(x[:100], index.looks(x[:100])):
+        seen = set(lists.tolist())
+        hits += sum(not seen.isdisjoint(homes[i].tolist()) for i in np.argsort(-(x @ q), kind="stable")[:20])
+    assert hits >= 0.995 * 100 * 20
+
+
 def test_graph_search():
     c = np.random.default_rng(4).normal(size=(3000, 8)).astype(np.float32)
     graph = ann.Graph(c)
