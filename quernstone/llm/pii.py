@@ -7,9 +7,10 @@ keeps, for every character that it emits, the source span the character came fro
 1. look-alikes: compatibility forms, digits of any script and Cyrillic or Greek letters drawn like
    Latin ones become ASCII; zero-width characters vanish;
 2. spelled digits: runs of at least `MIN_SPELLED` digit words (also "double", "triple", and "plus"
-   in front) become digits;
-3. disguised marks: "(at)", "[dot]" and the like become "@" and "."; bare " at " and " dot " do so
-   only in the shape "name at host dot ending".
+   in front) become digits, as do shorter ones of which dots or dot marks join four or more;
+3. disguised marks: "(at)", "[dot]" and the like become "@" and "."; a bare " dot " does so in the name and
+   host around an "@" and between the numbers of an address, a bare " at " in the shape "name at host.ending"
+   if one of its dots is disguised: "read it at example.com" is no address.
 
 What is found there and rests on a rewritten character is mapped back to the source. Base spans always
 stay; an added span that lies within a base span of its kind is left out.
@@ -48,14 +49,20 @@ TIMES = {"double": 2, "triple": 3}
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁһᴏАВЕКМНОРСТХІЈЅαοινκρυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhoABEKMHOPCTXIJSaoivkpuABEZHIKMNOPTYX"))
 NO_WIDTH = "­​‌‍⁠﻿"
 
-_ODD = re.compile(f"[{NO_WIDTH}²³¹Ͱ-֏٠-٩۰-۹०-९ᴏ‐-―․⁰-₟①-⓿﹐-﹯！-～\U0001d400-\U0001d7ff]")
+_DIGITS = "".join(c for c in map(chr, range(128, 0x10000)) if unicodedata.digit(c, None) is not None)  # beyond these `_plain` decides: a long class would be slow
+_ODD = re.compile(f"[{NO_WIDTH}{_DIGITS}Ͱ-֏ᴏ‐-―․⁰-₟①-⓿﹐-﹯！-～\U00010000-\U0010ffff]")
 _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _UNIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_WORD}|[0-9])"
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_UNIT}(?:[\s,-]+{_UNIT}){{{MIN_SPELLED - 1},}}\b", re.I)
 _SPELLED_PART = re.compile(rf"plus|double|triple|{_WORD}|[0-9]", re.I)
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*", re.I)
-_BARE = re.compile(r"[A-Za-z0-9_%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+){0,4}(\s+at\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){0,4}\s+dot\s+[A-Za-z]{2,12}\b", re.I)
-_BARE_MARK = re.compile(r"\s+(at|dot)\s+", re.I)
+_UNITS = re.compile(rf"\b{_UNIT}(?:[\s,-]+{_UNIT})*+\b", re.I)
+_JOIN = re.compile(r"\s+dot\s+|\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I)
+_NAME = re.compile(r"(?:[A-Za-z0-9_%+-]++(?:\s+dot\s+|\.)){0,5}[A-Za-z0-9_%+-]+\Z", re.I)
+_ENDING = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){0,4}(?:\s+dot\s+|\.)[A-Za-z]{2,12}\b", re.I)
+_AT = re.compile(r"@|(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9])", re.I)
+_BARE_DOT = re.compile(r"\s+dot\s+", re.I)
+_NUMBERS = re.compile(r"[0-9]++(?:(?:\s+dot\s+|\.)[0-9]++){3}", re.I)
 _WORDS_SEEN = tuple(DIGIT_WORDS)[2:]
 
 
@@ -171,11 +178,27 @@ def _look_alikes(r: Rewritten) -> Rewritten:
     return r.replace([(m.start(), m.end(), put) for m in _ODD.finditer(r.text) if (put := _plain(m[0])) != m[0]])
 
 
+def _joined(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of digits that are joined by dots with at least three others, without those that reach into taken ones."""
+    found: list[tuple[int, int]] = []
+    chain: list[tuple[int, int]] = []
+    for m in _UNITS.finditer(text):
+        if chain and not _JOIN.fullmatch(text, chain[-1][1], m.start()):
+            found += chain if len(chain) > 3 else []
+            chain = []
+        chain.append(m.span())
+    found += chain if len(chain) > 3 else []
+    return [x for x in found if not any(a < x[1] and x[0] < b for a, b in taken)] if taken else found
+
+
 def _spelled(r: Rewritten) -> Rewritten:
-    edits = []
+    edits, runs = [], []
     for run in _SPELLED.finditer(r.text):
-        parts = list(_SPELLED_PART.finditer(r.text, run.start(), run.end()))
-        if sum(p[0].lower() in DIGIT_WORDS for p in parts) < MIN_SPELLED:
+        if sum(p[0].lower() in DIGIT_WORDS for p in _SPELLED_PART.finditer(r.text, *run.span())) >= MIN_SPELLED:
+            runs.append(run.span())
+    for span in sorted(runs + _joined(r.text, runs)):
+        parts = list(_SPELLED_PART.finditer(r.text, *span))
+        if all(p[0].isdigit() for p in parts) and len(parts) == span[1] - span[0]:
             continue
         times, start = 1, None
         for k, p in enumerate(parts):
@@ -194,19 +217,26 @@ def _spelled(r: Rewritten) -> Rewritten:
 
 def _marks(r: Rewritten) -> Rewritten:
     put = {"at": "@", "@": "@", "dot": ".", ".": "."}
-    edits = [(m.start(), m.end(), put[m[1].lower()]) for m in _BRACKETED.finditer(r.text)]
-    taken = [e[:2] for e in edits]
-    if re.search("dot", r.text, re.I):
-        for at in re.finditer(r"(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9])", r.text, re.I):  # a short stretch around each bare "at"
-            lo = max(0, at.start() - 200)
-            for m in _BARE.finditer(r.text, lo, min(len(r.text), at.end() + 300)):
-                if m.start(1) == at.start():
-                    for mark in _BARE_MARK.finditer(r.text, m.start(), m.end()):
-                        if not any(a < mark.end() and mark.start() < b for a, b in taken):
-                            taken.append(mark.span())
-                            edits.append((mark.start(), mark.end(), put[mark[1].lower()]))
-                    break
-    return r.replace(sorted(edits))
+    bracketed = [(m.start(), m.end(), put[m[1].lower()]) for m in _BRACKETED.finditer(r.text)]
+    r = r.replace(bracketed)
+    bare = _BARE_DOT.search(r.text) is not None
+    if not bare and not bracketed:
+        return r
+    edits = {}
+    for at in _AT.finditer(r.text):  # a short stretch around each
+        host = _ENDING.match(r.text, at.end(), min(len(r.text), at.end() + 300))
+        name = _NAME.search(r.text, max(0, at.start() - 200), at.start())
+        if not host or not name:
+            continue
+        dots = [m for part in (name, host) for m in _BARE_DOT.finditer(r.text, *part.span())]
+        if at[0] != "@":
+            if not dots and not any(r.text[i] == "." and r.source(i)[2] for part in (name, host) for i in range(*part.span())):
+                continue
+            edits[at.start()] = (at.start(), at.end(), "@")
+        edits |= {m.start(): (m.start(), m.end(), ".") for m in dots}
+    for m in _NUMBERS.finditer(r.text) if bare else ():
+        edits |= {d.start(): (d.start(), d.end(), ".") for d in _BARE_DOT.finditer(r.text, *m.span())}
+    return r.replace(sorted(edits.values()))
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
@@ -215,10 +245,11 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     odd = not text.isascii() and _ODD.search(text) is not None
     spelled = sum(low.count(w) for w in _WORDS_SEEN) >= MIN_SPELLED - 1
     marks = _BRACKETED.search(text) is not None if any(b in text for b in "[({<") else False
-    if not (odd or spelled or marks or "dot" in low):
+    joined = any(w in low for w in DIGIT_WORDS) and (marks or "dot" in low or any(f".{w}" in low or f"{w}." in low for w in DIGIT_WORDS))
+    if not (odd or spelled or joined or marks or "dot" in low):
         return []
     r = Rewritten(text)
-    for able, step in ((odd, _look_alikes), (spelled or odd, _spelled), (True, _marks)):
+    for able, step in ((odd, _look_alikes), (spelled or joined or odd, _spelled), (True, _marks)):
         if able:
             r = step(r)
     if r.text == text:

@@ -59,6 +59,28 @@ def test_disguises(text, kind, span):
     assert [(pii.KINDS[k], text[a:b]) for a, b, k in pii.all_spans(text)[1]] == [(kind, span)]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("from one nine two dot one six eight dot one dot one on", "ip", "one nine two dot one six eight dot one dot one"),
+        ("from one zero [dot] oh.0 dot double two on", "ip", "one zero [dot] oh.0 dot double two"),
+        ("from 192 dot 168 dot 1 dot 1 on", "ip", "192 dot 168 dot 1 dot 1"),
+        ("mail john (at) example dot com now", "email", "john (at) example dot com"),
+        ("mail john@example dot com now", "email", "john@example dot com"),
+        ("mail john at example [dot] com now", "email", "john at example [dot] com"),
+        ("mail jane dot doe at example.com now", "email", "jane dot doe at example.com"),
+        *((f"from {ip.translate(to)} on", "ip", ip.translate(to)) for ip in ("192.168.1.1",) for to in ({48 + i: zero + i for i in range(10)} for zero in (0x9E6, 0xE50, 0x1946, 0x1E950))),
+    ],
+)
+def test_more_disguises(text, kind, span):
+    assert [(pii.KINDS[k], text[a:b]) for a, b, k in pii.all_spans(text)[1]] == [(kind, span)]
+
+
+def test_prose_is_no_disguise():
+    for text in ("read more at example.com today", "one. two. three. four.", "one dot two dot three", "a dot 1 dot b", "1 dot 2 dot 3 dot 999"):
+        assert pii.all_spans(text) == ([], []), text
+
+
 def test_clean_text_stays():
     for text in ("look at the dot", "four one one 1 2 3", "meet at noon (at) home", ""):
         assert pii.all_spans(text) == ([], []) and pii.redacted(text) == text
