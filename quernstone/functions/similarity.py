@@ -127,14 +127,15 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
 
 
 def q_fuzzy(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
-    """Expansions of short dictionary words, with the same first letter, nearest first, then most frequent, then by name."""
+    """Expansions of dictionary words to themselves and to words of up to 8 letters, with the same first letter, nearest first, then most frequent, then by name."""
     from pyspark.sql import Window
 
     ship(spark)
     terms = dictionary(spark, sf_dir)
     short = terms.filter("length(term) <= 8")
-    found = fuzzy_pairs(short.select(F.col("term").alias("a")), short.select(F.col("term").alias("b")))
-    found = found.filter(F.substring("a", 1, 1) == F.substring("b", 1, 1)).join(short.select(F.col("term").alias("b"), "freq"), "b")
+    found = fuzzy_pairs(terms.select(F.col("term").alias("a")), short.select(F.col("term").alias("b")))
+    found = found.unionByName(terms.filter("length(term) > 8").select(F.col("term").alias("a"), F.col("term").alias("b"), F.lit(0).alias("distance")))
+    found = found.filter(F.substring("a", 1, 1) == F.substring("b", 1, 1)).join(terms.select(F.col("term").alias("b"), "freq"), "b")
     order = Window.partitionBy("a").orderBy("distance", F.desc("freq"), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(F.col("a").alias("term"), "rank", F.col("b").alias("expansion"), "distance")
 
@@ -142,7 +143,7 @@ def q_fuzzy(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
 def q_speller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with their last letter doubled, corrected to the most frequent dictionary word within two edits; ties to the first by name."""
     ship(spark)
-    terms = dictionary(spark, sf_dir).filter("length(term) BETWEEN 3 AND 8")
+    terms = dictionary(spark, sf_dir)
     wrong = terms.select(F.concat("term", F.substring("term", -1, 1)).alias("a")).join(terms.select(F.col("term").alias("a")), "a", "left_anti")
     found = fuzzy_pairs(wrong, terms.select(F.col("term").alias("b"))).join(terms.select(F.col("term").alias("b"), "freq"), "b")
     return found.groupBy("a").agg(F.min_by("b", F.struct((-F.col("freq")).alias("f"), "b")).alias("correction")).select(F.col("a").alias("word"), "correction")

@@ -36,6 +36,18 @@ def test_deletes_find_both_ways(spark):
     assert found == {("hello", "hello"), ("hello", "hell"), ("hell", "hello"), ("hell", "hell")}
 
 
+def test_long_words(spark, tmp_path):
+    spark.createDataFrame([(1, "chapters chapterss chapter knowledge understandings in")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    wide = {}
+    for r in sim.q_fuzzy(spark, str(tmp_path)).orderBy("term", "rank").collect():
+        wide.setdefault(r["term"], []).append((r["expansion"], r["distance"]))
+    assert wide["chapterss"] == [("chapterss", 0), ("chapters", 1), ("chapter", 2)]
+    assert wide["knowledge"] == [("knowledge", 0)] and wide["understandings"] == [("understandings", 0)]
+    assert wide["chapters"] == [("chapters", 0), ("chapter", 1)]
+    fixed = {r["word"]: r["correction"] for r in sim.q_speller(spark, str(tmp_path)).collect()}
+    assert fixed["knowledgee"] == "knowledge" and fixed["understandingss"] == "understandings" and fixed["inn"] == "in"
+
+
 def test_idf_anchor(spark):
     got = spark.range(1).select(retrieval.idf(F.lit(1), F.lit(1)).alias("x")).first()["x"]
     assert math.isclose(got, math.log(1 + 0.5 / 1.5))
