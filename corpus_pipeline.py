@@ -20,11 +20,19 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id; of rows that repeat it, one."""
-    groups = jaccard_join.join_components(docs)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    only = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return only.dropDuplicates(["doc_id"])
+    """Of each group of linked documents the one with the least doc_id (a null is the greatest), then the least node; of rows that
+    repeat it, one. Rows without shingles are linked with nothing and all stay."""
+    nodes, components = jaccard_join.linked_nodes(docs)
+    placed = nodes.filter("node IS NOT NULL").join(components, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    first = placed.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
+    kept = staged(first.select("first.doc_id", "first.node"), "kept")
+    if jaccard_join.unnamed(nodes) is None:
+        ids = kept.select("doc_id").unionByName(nodes.filter("node IS NULL").select("doc_id"))
+        return docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
+    rows = jaccard_join.with_node(docs, "_node")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.col("d._node") == F.col("k.node"))
+    only = rows.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates(["_node"])
+    return only.unionByName(rows.filter("_node IS NULL")).drop("_node")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

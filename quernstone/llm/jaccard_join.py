@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import maybe_in, slices, staged, table, trimmed
+from .common import map_text, maybe_in, slices, staged, table, trimmed
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -330,8 +330,11 @@ def _distinct_runs(rows: DataFrame) -> DataFrame:
     return rows.join(one.select("run", "size"), "run")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """node, n, tokens, sketch for the nodes wanted (node, doc_id); repeated: doc_ids may be."""
+def _sets(docs: DataFrame, wanted: DataFrame, many: DataFrame | None) -> DataFrame:
+    """node, n, tokens, sketch for the nodes wanted (node, doc_id); many: ids, null among them, that don't name one row.
+
+    Rows of such ids are known by the hash of their set, as a join by id would pair each with all nodes of the id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,15 +342,23 @@ def _sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
                 rows = []
                 for node, text in zip(part.column("node").to_pylist(), part.column("text").to_pylist()):
                     s = shingle_set(text)
-                    if set_hash(s) == node:  # ids may repeat
-                        rows.append({"node": node, "n": len(s), "tokens": s.tobytes(), "sketch": parities(s).tobytes()})
+                    if node is None and len(s) or node is not None and set_hash(s) == node:
+                        rows.append({"node": set_hash(s), "n": len(s), "tokens": s.tobytes(), "sketch": parities(s).tobytes()})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("sketch", pa.binary())])
-    found = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted, "doc_id").join(F.broadcast(wanted) if wanted.count() <= HELD else wanted, "doc_id")
-    found = found.select("node", "text").mapInArrow(trimmed(run), "node long, n long, tokens binary, sketch binary")
-    return found.dropDuplicates(["node"]) if repeated else found
+    kind = "node long, n long, tokens binary, sketch binary"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    one = wanted if many is None else staged(wanted.join(many, "doc_id", "left_anti").filter("doc_id IS NOT NULL"), "wanted")
+    found = maybe_in(docs, "doc_id", one, "doc_id").join(F.broadcast(one) if one.count() <= HELD else one, "doc_id").select("node", "text").mapInArrow(trimmed(run), kind)
+    if many is None:
+        return found
+    rows = docs.join(many.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    more = rows.select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(trimmed(run), kind)
+    rest = wanted.join(one.select("node"), "node", "left_anti").select("node")
+    more = more.join(F.broadcast(rest) if rest.count() <= HELD else rest, "node", "left_semi")
+    return found.unionByName(more.dropDuplicates(["node"]))
 
 
 def _allowed(n_a: pd.Series, s_a: pd.Series, n_b: pd.Series, s_b: pd.Series) -> pd.Series:
@@ -454,6 +465,22 @@ def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:
     return rows.join(open_, "run", "left_semi")
 
 
+def unnamed(nodes: DataFrame) -> DataFrame | None:
+    """The doc_ids that don't name one row: repeated ones and null; None if there are none."""
+    many = staged(nodes.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select("doc_id"), "many")
+    return None if many.isEmpty() else many
+
+
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the node of each row, null without shingles."""
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], [*batch.schema.names, name])
+
+    return map_text(docs, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{name}` long", add)
+
+
 def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every document, and (node, component) of the nodes that are linked with others."""
     spark = docs.sparkSession
@@ -463,8 +490,7 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = first.filter("blob IS NULL").select("doc_id", "n", "node")
     runs = staged(_distinct_runs(staged(_prefixes(first.filter("blob IS NOT NULL"), parts), "prefixes")), "runs")
     wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    repeated = not nodes.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    sets = staged(_sets(docs, staged(wanted, "wanted"), repeated), "sets")
+    sets = staged(_sets(docs, staged(wanted, "wanted"), unnamed(nodes)), "sets")
     short = runs.filter(F.col("size") <= SHORT)
     pairs = short.select("run", F.col("node").alias("a")).join(short.select("run", F.col("node").alias("b")), "run").filter("a < b").select("a", "b")
     long = staged(runs.filter(F.col("size") > SHORT).select("run", "node"), "long")

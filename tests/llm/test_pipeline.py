@@ -30,3 +30,12 @@ def test_rejects_text_without_letters(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert 1 not in {r["doc_id"] for r in corpus_pipeline.identified(spark, df, "").collect()}
     assert not langid.has_letter("12 34")
+
+
+def test_repeated_and_null_ids_lose_no_document(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(7, words(0)), (7, words(1)), (7, words(1)), (None, words(2)), (None, words(3)), (None, words(3) + " end"), (1, words(1) + " end"), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.deduplicated(spark, docs, "").collect()]
+    assert len(left) == 5 and {(7, words(0)), (None, words(2)), (1, words(1) + " end"), (8, "")} <= set(left)
+    assert len({words(3), words(3) + " end"} & {t for _, t in left}) == 1
