@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder that the cluster names in spark.checkpoint.dir; where none is named, a temporary one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         root = f"file://{tempfile.mkdtemp(prefix='quernstone-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -145,10 +147,16 @@ FILTER_BITS = 1 << 23
 def maybe_in(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
     """The rows of df whose column may be among wanted's keys: all that are, and few others as long as the
     keys are few against FILTER_BITS. It spares a shuffle rows that the join after it would drop; a
-    full filter lets all rows through, and the join still decides."""
+    full filter lets all rows through, and the join still decides. Integers of any width are compared as long ones;
+    keys of two other types, which a join would have to cast, are not filtered."""
     spark = df.sparkSession
     ship(spark)
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    kinds = dict(df.dtypes)[column], dict(wanted.dtypes)[key]
+    if kinds[0] != kinds[1] and not whole.issuperset(kinds):
+        return df
+    plain = lambda c: F.col(c).cast("long") if whole.issuperset(kinds) else F.col(c)
+    place = F.pmod(F.xxhash64(plain(key)), F.lit(FILTER_BITS))
     words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for w, b in words.collect():  # at most FILTER_BITS / 64 rows
@@ -160,4 +168,4 @@ def maybe_in(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFra
         at = p.to_numpy()
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return df.filter(held(F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_BITS))))
+    return df.filter(held(F.pmod(F.xxhash64(plain(column)), F.lit(FILTER_BITS))))

@@ -24,7 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,7 @@ Span = tuple[int, int, int]  # start, end, place in KINDS
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # a start within a run of digits matches only if the first does
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -55,14 +55,14 @@ _WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
 _UNIT = rf"(?:(?:double|triple)[\s-]+)?(?:{_WORD}|[0-9])"
 _SPELLED = re.compile(rf"\b(?:plus[\s-]+)?{_UNIT}(?:[\s,-]+{_UNIT}){{{MIN_SPELLED - 1},}}\b", re.I)
 _SPELLED_PART = re.compile(rf"plus|double|triple|{_WORD}|[0-9]", re.I)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*", re.I)
+_BRACKETED = re.compile(r"[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]\s*+", re.I)
 _UNITS = re.compile(rf"\b{_UNIT}(?:[\s,-]+{_UNIT})*+\b", re.I)
-_JOIN = re.compile(r"\s+dot\s+|\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", re.I)
+_JOIN = re.compile(r"\s++dot\s++|\.|\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+", re.I)
 _NAME = re.compile(r"(?:[A-Za-z0-9_%+-]++(?:\s+dot\s+|\.)){0,5}[A-Za-z0-9_%+-]+\Z", re.I)
 _ENDING = re.compile(r"[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+){0,4}(?:\s+dot\s+|\.)[A-Za-z]{2,12}\b", re.I)
 _AT = re.compile(r"@|(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9])", re.I)
-_BARE_DOT = re.compile(r"\s+dot\s+", re.I)
-_NUMBERS = re.compile(r"[0-9]++(?:(?:\s+dot\s+|\.)[0-9]++){3}", re.I)
+_BARE_DOT = re.compile(r"(?<!\s)\s++dot\s++", re.I)
+_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:(?:\s+dot\s+|\.)[0-9]++){3}", re.I)
 _WORDS_SEEN = tuple(DIGIT_WORDS)[2:]
 
 
@@ -188,7 +188,10 @@ def _joined(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
             chain = []
         chain.append(m.span())
     found += chain if len(chain) > 3 else []
-    return [x for x in found if not any(a < x[1] and x[0] < b for a, b in taken)] if taken else found
+    if not taken:
+        return found
+    starts, ends = [a for a, _ in taken], [b for _, b in taken]  # in order, and apart from each other
+    return [x for x in found if bisect_right(ends, x[0]) == bisect_left(starts, x[1])]
 
 
 def _spelled(r: Rewritten) -> Rewritten:
@@ -217,7 +220,13 @@ def _spelled(r: Rewritten) -> Rewritten:
 
 def _marks(r: Rewritten) -> Rewritten:
     put = {"at": "@", "@": "@", "dot": ".", ".": "."}
-    bracketed = [(m.start(), m.end(), put[m[1].lower()]) for m in _BRACKETED.finditer(r.text)]
+    bracketed, done = [], 0
+    for m in _BRACKETED.finditer(r.text):  # blanks before it are taken backwards, so that a run of blanks is read once
+        start = m.start()
+        while start > done and r.text[start - 1].isspace():
+            start -= 1
+        bracketed.append((start, m.end(), put[m[1].lower()]))
+        done = m.end()
     r = r.replace(bracketed)
     bare = _BARE_DOT.search(r.text) is not None
     if not bare and not bracketed:
