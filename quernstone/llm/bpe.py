@@ -10,9 +10,10 @@ shorter than a window are complete at once and are kept in a bounded memo.
 
 The tokenizer file gives vocabulary, merges, end-of-word suffix and special tokens. Normalisation (NFC, white space
 to one space, lower case) and the splitting pattern are those of the word-level files named in the
-README. Decoding has two forms: `decoded` writes the vocabulary's strings, parted by spaces, as the
-tokenizers library does for a file without a decoder; `ByteDecoder` restores text from bytes that may
-break inside a character.
+README. Decoding has two forms, both incremental: `StringDecoder` writes the vocabulary's strings, parted by
+spaces, as the tokenizers library does for a file without a decoder; `ByteDecoder` restores text from bytes that may
+break inside a character. `encode_decode` feeds ids and decoded bytes to running digests piece by piece, so that it
+holds neither all ids nor the decoded text.
 
 Defined results: null and empty texts have no ids and decode to "". Special tokens within a text are
 matched as they stand, before normalisation. Unknown ids decode to nothing.
@@ -87,6 +88,7 @@ class Merges:
             self.rules.setdefault(vocab[u] << _SHIFT | vocab[v], rank << _SHIFT | vocab[u + v])
         self.lookahead = sufficient_lookahead(pairs, suffix)
         self.longest = max(len(s) for s in vocab)
+        self.raw = {i: s.encode("utf-8", "surrogatepass") for i, s in self.strings.items()}
         self.ids = list(range(max(self.strings) + 1))
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -210,7 +212,8 @@ def _cuttable(c: str) -> bool:
 
 
 class StreamEncoder:
-    """Encodes a text that comes in parts; holds a part of a word at most."""
+    """Encodes a text that comes in parts. It holds FEED characters and a part of a word, more only while there is no place to
+    cut: no space and no letters that can be told apart."""
 
     def __init__(self, merges: Merges):
         self.m, self.raw, self.open = merges, "", None
@@ -268,25 +271,48 @@ class StreamEncoder:
         return got
 
 
-def encode(merges: Merges, text: str | None) -> list[int]:
+def pieces(merges: Merges, text: str | None) -> Iterator[list[int]]:
+    """The ids of a text, in pieces of at most about FEED characters each."""
     if not text:
-        return []
+        return
     stream = StreamEncoder(merges)
     if len(text) < FEED:
         stream.raw = text
-        return stream.close()
-    out: list[int] = []
-    for at in range(0, len(text), FEED):
-        out += stream.feed(text[at : at + FEED])
-    return out + stream.close()
+    else:
+        for at in range(0, len(text), FEED):
+            yield stream.feed(text[at : at + FEED])
+    yield stream.close()
+
+
+def encode(merges: Merges, text: str | None) -> list[int]:
+    return [i for piece in pieces(merges, text) for i in piece]
+
+
+class StringDecoder:
+    """Writes ids out as the tokenizers library decodes them, piece by piece: their strings in UTF-8, a space between each two.
+
+    What it keeps between pieces is whether anything was written.
+    """
+
+    def __init__(self, merges: Merges):
+        self.raw, self.begun = merges.raw, False
+
+    def feed(self, ids: list[int]) -> bytes:
+        try:
+            out = b" ".join(map(self.raw.__getitem__, ids))
+            some = bool(ids)
+        except KeyError:
+            known = [s for i in ids if (s := self.raw.get(i)) is not None]
+            out, some = b" ".join(known), bool(known)
+        if some and self.begun:
+            out = b" " + out
+        self.begun |= some
+        return out
 
 
 def decoded(merges: Merges, ids: Iterable[int]) -> str:
     """The ids' strings with a space between each two."""
-    try:
-        return " ".join(map(merges.strings.__getitem__, ids))
-    except KeyError:
-        return " ".join(s for i in ids if (s := merges.strings.get(i)) is not None)
+    return StringDecoder(merges).feed(list(ids)).decode("utf-8", "surrogatepass")
 
 
 class ByteDecoder:
@@ -329,9 +355,12 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         merges, rows = load(path), []
         for text in batch.column("text").to_pylist():
-            ids = encode(merges, text)
-            back = decoded(merges, ids)
-            rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()))
+            n, decoder, ids_hash, text_hash = 0, StringDecoder(merges), hashlib.sha256(), hashlib.sha256()
+            for ids in pieces(merges, text):
+                n += len(ids)
+                ids_hash.update(np.array(ids, "<u4").tobytes())
+                text_hash.update(decoder.feed(ids))
+            rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest()))
         cols = list(zip(*rows))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
