@@ -3,21 +3,28 @@
 A text is lower-cased; every maximal run of letters is a word with a mark before and behind it. All
 runs of `GRAMS` characters within marked words are subwords, hashed to `BUCKETS` rows of an
 embedding table; a text's vector is the mean of its subwords' rows, and a linear softmax over it gives
-the languages. Table and softmax are learned by stochastic gradient descent in numpy, from at most
-`SAMPLE_ROWS` labelled rows (a stated bound, drawn by hash and evenly from the languages). A
-temperature fitted on rows set aside calibrates the score, and the score below which a text is
-rejected is the `REJECT` quantile of what those rows reach, by number of subwords.
+the languages. Table and softmax are learned by stochastic gradient descent in numpy, from a stated and
+bounded sample: at most about `SAMPLE_ROWS` labelled rows, drawn by hash and evenly from the (at most `LANGUAGES`, the most
+frequent) languages, of each row `PIECES` stretches drawn from its whole text; executors cut them, so
+that the driver gets at most `PIECES` stretches of 2,000 subwords for a row and no whole text.
+
+Stretches of a tenth of the rows are set aside. A temperature fitted on them calibrates the score. Rejection is calibrated on
+them too, as a softmax is sure of many a text in no language that it knows: of each text the share of
+subwords is taken that the training stretches of its predicted language hold, and in each band of `BANDS` by number of subwords
+the set-aside stretches give that share's mean and deviation. A text is rejected whose share lies more than
+`DEVIATIONS` deviations (of `SPREAD` at least) below its band's mean, or whose score is below `LEAST`.
 
 Defined results
 ---------------
 * Null text and text without a letter: `und`, score 0, rejected.
-* No labelled rows to learn from: every text is `und`.
+* No labelled rows to learn from: every text is `und`. A table without rows gives none.
 * A null doc_id counts as not held out. Further columns are kept; clashing ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import map_text, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
-SAMPLE_ROWS, EPOCHS, RATE, REJECT = 1600, 6, 2.0, 0.0005
+SAMPLE_ROWS, LANGUAGES, PIECES, EPOCHS, RATE = 1600, 1000, 8, 6, 2.0
+#: Lengths of the stretches; the last number of subwords of each band but the longest one's; rejection.
+STRETCHES, BANDS, DEVIATIONS, SPREAD, LEAST = (12, 60, 300, 2000), (20, 100, 600), 6.0, 0.025, 0.4
 OWN = ["held_out", "lang_pred", "score", "rejected"]
 #: Odd multipliers of the subword hash.
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -62,15 +71,20 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def band_of(n: int) -> int:
+    return sum(n > x for x in BANDS)
+
+
 @dataclass
 class Model:
-    """langs, the softmax input of each bucket (table times weights), bias, temperature, least score by subword count."""
+    """langs, the softmax input of each bucket (table times weights), bias, temperature, whether a language's training holds a bucket, least share of such in each band."""
 
     langs: list[str]
     logits: np.ndarray
     bias: np.ndarray
     heat: float
-    least: float
+    seen: np.ndarray
+    least: list[float]
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
         z = (self.logits[ids].mean(axis=0) + self.bias if len(ids) else self.bias) / self.heat
@@ -80,39 +94,41 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.langs or not has_letter(text):
             return "und", 0.0, True
-        p = self.probabilities(subwords(text))
+        ids = subwords(text)
+        p = self.probabilities(ids)
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] < self.least)
+        return self.langs[k], float(p[k]), bool(p[k] < LEAST or not len(ids) or self.seen[ids, k].mean() < self.least[band_of(len(ids))])
 
 
-def train(texts: list[str], langs: list[str], seed: int = 9) -> Model:
-    """Learn from labelled texts; a tenth is set aside for temperature and rejection."""
-    names = sorted(set(langs))
-    if not names:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+def stretches(text: str) -> tuple[list[np.ndarray], bool]:
+    """PIECES stretches of subwords drawn from the whole text, and whether they are set aside; both follow from the text."""
+    ids, rng = subwords(text), np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    cuts, at = [], 0
+    while at < len(ids):  # short and long ones, so that short texts are known as well
+        n = int(rng.choice(STRETCHES))
+        cuts.append(ids[at : at + n])
+        at += n
+    return [cuts[i] for i in rng.permutation(len(cuts))[:PIECES]], bool(rng.random() < 0.1)
+
+
+def train(pieces: list[tuple[str, bool, np.ndarray]], seed: int = 9) -> Model:
+    """Learn from (language, set aside, subwords); what is set aside fits temperature and rejection."""
+    names = sorted({lang for lang, _, _ in pieces})
     rng = np.random.default_rng(seed)
+    if not names:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros((BUCKETS, 0), bool), [0.0] * (len(BANDS) + 1))
     label = {x: k for k, x in enumerate(names)}
     data = []
-    for text, lang in zip(texts, langs):
-        ids = subwords(text)
-        if not len(ids):
-            continue
-        cuts, at = [], 0
-        while at < len(ids):  # short and long pieces, so that short texts are known as well
-            n = int(rng.choice((12, 60, 300, 2000)))
-            cuts.append(ids[at : at + n])
-            at += n
-        aside = rng.random() < 0.1
-        for piece in [cuts[i] for i in rng.permutation(len(cuts))[:8]]:
-            rows, counts = np.unique(piece, return_counts=True)
-            data.append((rows, (counts / len(piece)).astype(np.float32), label[lang], aside))
+    for lang, aside, ids in pieces:
+        rows, counts = np.unique(ids, return_counts=True)
+        data.append((rows, (counts / len(ids)).astype(np.float32), label[lang], aside, band_of(len(ids))))
     table_ = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     fit = [x for x in data if not x[3]] or data
     steps, done = EPOCHS * len(fit), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(len(fit)):
-            rows, share, k, _aside = fit[i]
+            rows, share, k, *_ = fit[i]
             rate = RATE * (1 - done / steps)
             done += 1
             x = share @ table_[rows]
@@ -126,8 +142,8 @@ def train(texts: list[str], langs: list[str], seed: int = 9) -> Model:
             table_[rows] -= rate * share[:, None] * back
     logits = table_ @ weights
     kept = [x for x in data if x[3]] or fit
-    z = np.array([share @ logits[rows] + bias for rows, share, _, _ in kept])
-    k = np.array([x[2] for x in kept])
+    z = np.array([share @ logits[rows] + bias for rows, share, *_ in kept])
+    k, bands = np.array([x[2] for x in kept]), np.array([x[4] for x in kept])
 
     def loss(heat: float) -> float:
         s = z / heat
@@ -135,31 +151,53 @@ def train(texts: list[str], langs: list[str], seed: int = 9) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(k)), k]))
 
     heat = min(np.geomspace(0.25, 8, 41), key=loss)
-    s = np.exp((z - z.max(axis=1, keepdims=True)) / heat)
-    top = (s / s.sum(axis=1, keepdims=True)).max(axis=1)
-    return Model(names, logits, bias, float(heat), float(min(np.quantile(top, REJECT), 0.5)))
+    seen = np.zeros((BUCKETS, len(names)), bool)
+    for rows, _, k_, *_ in fit:
+        seen[rows, k_] = True
+    known = np.array([share @ seen[rows, top] for (rows, share, *_), top in zip(kept, z.argmax(axis=1))])
+    least = [0.0] * (len(BANDS) + 1)
+    for band in range(len(least)):
+        at = known[bands == band]
+        if len(at) >= 20:  # too few say nothing of a band
+            least[band] = float(at.mean() - DEVIATIONS * max(SPREAD, at.std()))
+    return Model(names, logits, bias, float(heat), seen, least)
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list:
-    """At most about `rows` labelled rows that aren't held out, the same number of each language, chosen by hash."""
+def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bool, np.ndarray]]:
+    """(language, set aside, subwords) of the stretches of at most about `rows` labelled rows that aren't held out, as many of each language, chosen by hash."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
     each = max(1, rows // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
     place = F.xxhash64(F.col("doc_id"), F.lit(5)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    drawn = labelled.filter(place < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
-    return drawn.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * rows).collect()
+    mark = F.xxhash64("doc_id", "text")
+    drawn = labelled.filter(place < F.element_at(share, F.col("lang"))).select(mark.alias("mark"), "lang")
+    edge = drawn.select("mark").orderBy("mark").limit(2 * rows).agg(F.max("mark")).first()[0]  # a repeated id may draw many rows
+    if edge is None:
+        return []
+    drawn = labelled.filter((place < F.element_at(share, F.col("lang"))) & (mark <= edge)).select(mark.alias("mark"), "lang", "text")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for m, lang, text in zip(*(batch.column(c).to_pylist() for c in ("mark", "lang", "text"))):
+            found, aside = stretches(text)
+            out += [(m, lang, aside, ids.astype("<i4").tobytes()) for ids in found]
+        cols = list(zip(*out)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.binary()))], ["mark", "lang", "aside", "ids"])
+
+    got = map_text(drawn, "mark long, lang string, aside boolean, ids binary", cut).limit(2 * rows * PIECES).collect()
+    got = sorted(got, key=lambda r: (r["mark"], r["lang"], bytes(r["ids"])))
+    return [(r["lang"], r["aside"], np.frombuffer(r["ids"], "<i4")) for r in got]
 
 
 def fitted(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    sample = sorted(training_sample(docs, rows), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return train([r["text"] for r in sample], [r["lang"] for r in sample])
+    return train(training_sample(docs, rows))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -20,6 +20,13 @@ DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, "  \n"), (3, "  \n"), (4, "x"), (5, "same words again and again here"), (6, "same words again and again here"), (None, "no id"), (7, "long " * 3000)]
 
 
+def clash():
+    """A column whose name clashes with one of an operator's own."""
+    from pyspark.sql import functions as F
+
+    return F.lit("clash")
+
+
 def collected(df, key="doc_id"):
     return {r[key]: r for r in df.collect()}
 
@@ -81,6 +88,16 @@ def test_prose_is_no_disguise():
         assert pii.all_spans(text) == ([], []), text
 
 
+def test_pii_takes_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in (" " * 1_000_000 + "(", "a dot b" + " " * 1_000_000 + "x dot", "7" * 1_000_000 + " dot (at)", "one two three four " * 50_000):
+        pii.all_spans(text)
+    assert time.perf_counter() - began < 20
+    assert [text[a:b] for text in ["x  jane   (at)   host   [dot]   com y"] for a, b, _ in pii.all_spans(text)[1]] == ["jane   (at)   host   [dot]   com"]
+
+
 def test_clean_text_stays():
     for text in ("look at the dot", "four one one 1 2 3", "meet at noon (at) home", ""):
         assert pii.all_spans(text) == ([], []) and pii.redacted(text) == text
@@ -333,6 +350,20 @@ def test_bpe_is_the_library(monkeypatch):
     assert bpe.encode(m, None) == []
 
 
+def test_bpe_query_rows(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    texts = [*ODD, (8, "wörd " * 70_000), (9, "x" * 300_000), (10, "!" * 300_000), (11, "é" * 5000 + " end")]
+    got = bpe.encode_decode(spark.createDataFrame(texts, DOCS).withColumn("n_tokens", clash())).collect()
+    want = []
+    for d, text in texts:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        want.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert Counter(map(tuple, got)) == Counter(want)
+    assert bpe.encode_decode(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_byte_decoder():
     m = bpe.load(bpe.default_path())
     state = bpe.ByteDecoder(m)
@@ -353,7 +384,37 @@ def test_language_odd_rows(spark):
     got = langid.identify(df).collect()
     assert len(got) == len(ODD) + 1
     assert all(r["lang_pred"] == "und" and r["rejected"] for r in got if not langid.has_letter(r["text"]))
-    assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", df["lang"].substr(9, 1)), langid.train([], [])).collect()} == {"und"}
+    assert {r["lang_pred"] for r in langid.identify(df.withColumn("lang", df["lang"].substr(9, 1)), langid.train([])).collect()} == {"und"}
+
+
+def test_unknown_language_is_rejected():
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    rows = [r for r in t if r["text"] and r["lang"]]
+    fresh = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    for left_out in ("de", "es"):
+        pieces = []
+        for r in rows:
+            if r["lang"] != left_out and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+                found, aside = langid.stretches(r["text"])
+                pieces += [(r["lang"], aside, x) for x in found]
+        model = langid.train(pieces)
+        said = [(r["lang"], model.predict(r["text"])) for r in fresh]
+        unknown = [p[2] for lang, p in said if lang == left_out]
+        known = [p[2] for lang, p in said if lang != left_out]
+        assert sum(unknown) >= 0.9 * len(unknown) and sum(known) <= 0.02 * len(known)
+        rng = random.Random(3)
+        junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 300, 5000) for _ in range(20)]
+        assert sum(model.predict(x)[2] for x in junk) >= 58
+
+
+def test_language_sample_is_bounded(spark):
+    long_ = "wort und text " * 60_000  # of a long text PIECES stretches go to the driver
+    df = spark.createDataFrame([(i, long_, "de") for i in range(8)] + [(20 + i, "short text", "en") for i in range(8)], "doc_id long, text string, lang string")
+    got = langid.training_sample(df)
+    assert max(len(ids) for _, _, ids in got) <= max(langid.STRETCHES) and len(got) <= 16 * langid.PIECES
+    assert langid.identify(df.limit(0)).count() == 0
 
 
 # --- Jaccard join
