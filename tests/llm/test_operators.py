@@ -240,24 +240,67 @@ def test_ann_recall(spark):
     assert hits / (75 * 20) >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
-def test_ann_looks_far_enough():
+@pytest.mark.parametrize("clusters", [60, 12_000])
+def test_ann_looks_far_enough(clusters):
     rng = np.random.default_rng(8)
-    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 12_000)] + 1.2 * rng.normal(size=(12_000, 64))
+    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 12_000)] + 1.2 * rng.normal(size=(12_000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     index = ann.Index(1.0, ann.balanced_centroids(np.concatenate([x, np.zeros((len(x), 1))], axis=1), len(x) // ann.LIST))
+    index.calibrate(x[::3], 20)
     homes, hits = index.homes(x), 0
     for q, lists in zip(x[:100], index.looks(x[:100])):
         seen = set(lists.tolist())
         hits += sum(not seen.isdisjoint(homes[i].tolist()) for i in np.argsort(-(x @ q), kind="stable")[:20])
-    assert hits >= 0.995 * 100 * 20
+    assert hits >= 0.95 * 100 * 20
 
 
 def test_graph_search():
     c = np.random.default_rng(4).normal(size=(3000, 8)).astype(np.float32)
     graph = ann.Graph(c)
     q = np.random.default_rng(5).normal(size=(50, 8)).astype(np.float32)
-    hit = sum(int(np.argmin(((c - v) ** 2).sum(axis=1)) in set(graph.search(v)[0].tolist())) for v in q)
-    assert hit >= 48
+    true = ((c[None] - q[:, None]) ** 2).sum(axis=2)
+    ids, d = graph.search(q, ann.HOME_BEAM)
+    assert sum(true.argmin(axis=1) == ids[:, 0]) >= 48
+    assert np.allclose(d, np.take_along_axis(true, ids, axis=1), atol=1e-3) and (np.diff(d, axis=1) >= 0).all()
+    few = ann.Graph(c[:30])
+    ids, _ = few.search(q, 100)  # a beam as wide as the graph finds all
+    assert (np.sort(ids, axis=1) == np.arange(30)).all() and (ids == np.argsort(true[:, :30], axis=1, kind="stable")).mean() > 0.99
+    one = ann.Graph(c[:1]).search(q, 5)
+    assert one[0].shape == (50, 1)
+
+
+def brute_nearest(rows, every=20, top=20):
+    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    sizes = Counter(len(v) for _, v in good)
+    width = min(sizes, key=lambda n: (-sizes[n], n)) if sizes else 0
+    good = [(i, v) for i, v in good if len(v) == width]
+    out = {}
+    for q in {i for i, _ in good if i % every == 0}:
+        best = {}
+        for i, v in good:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), *(float((v * w).sum()) for j, w in good if j == q))
+        out[q] = sorted((-s, i) for i, s in best.items())[:top]
+    return {q: v for q, v in out.items() if v}
+
+
+def test_ann_odd_vectors(spark):
+    """Odd lengths, nulls, zero and infinite vectors, repeated and null ids, ties; everything lies in a few lists."""
+    rng = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(300)]
+    rows += [(1000 + 20 * i, [1.0, 2.0, 3.0]) for i in range(5)] + [(2000, None), (2001, [0.0] * 8), (2002, [None] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8)]
+    rows += [(40, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for _ in range(60)] + [(41, rows[41][1]) for _ in range(60)] + [(301, rows[41][1]), (302, rows[41][1])]
+    got = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute_nearest(rows)
+    assert set(got) == set(want)
+    for q, found in got.items():
+        assert [r for r, _, _ in sorted(found)] == list(range(1, len(found) + 1)) and len(found) == len(want[q])
+        assert [i for _, i, _ in sorted(found)] == [i for _, i in want[q]]
+        assert np.allclose([s for _, _, s in sorted(found)], [-s for s, _ in want[q]])
+    few = spark.createDataFrame(rows[:7], "vec_id int, embedding array<double>")
+    assert ann.search(few).count() == 6
 
 
 def test_ann_empty(spark):
