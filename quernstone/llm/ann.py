@@ -35,9 +35,9 @@ from .common import staged, table, trimmed
 
 SAMPLE, CENTROIDS, LIST = 32_768, 4096, 256
 #: Distance ratio up to which a vector is replicated, with the most copies of a vector.
-COPY_RATIO, COPIES = 1.03, 3
+COPY_RATIO, COPIES = 1.03, 2
 #: Share of their nearest that the sample's queries must find, and how many queries set the ratio.
-GOAL, TRIALS = 0.98, 256
+GOAL, TRIALS = 0.95, 256
 #: Links of a centroid to near and to far ones; beams of vectors to post and of queries; nodes that a step opens.
 DEGREE, FAR, HOME_BEAM, LOOK_BEAM, STEP = 24, 4, 16, 32, 4
 BLOCK, FIRST = 2048, 6
