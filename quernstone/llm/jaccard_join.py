@@ -45,8 +45,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 SHORT = 6
 #: A node's first runs, by which a pair's run is chosen; nearest nodes that are tested before all.
 FIRSTS, NEAREST = 8, 1
-#: Nodes up to which a table of them, of some hundred bytes each, is broadcast; beyond, it is shuffled.
-HELD = 100_000
+#: Nodes up to which a table of two numbers for each is broadcast, and bytes of sketches up to which theirs is; beyond, they are shuffled.
+HELD, HELD_BYTES = 100_000, 16 << 20
 #: Parts of the signatures for each shuffle partition: one part is held in arrays.
 FINER = 1
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -324,9 +324,13 @@ def _prefixes(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def _distinct_runs(rows: DataFrame) -> DataFrame:
-    """(run, node, size): of runs with the same nodes one, of those with one node none."""
-    sums = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("members")).filter("size > 1")
-    one = sums.groupBy("members", "size").agg(F.min("run").alias("run"))
+    """(run, node, size): of runs with the same nodes one, of those with one node none.
+
+    Runs count as the same if size, least and greatest node, and two independent hashes of the members (64 and 44 bits) agree.
+    """
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(10)), 20)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")]
+    sums = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), *members).filter("size > 1")
+    one = sums.groupBy("x", "s", "lo", "hi", "size").agg(F.min("run").alias("run"))
     return rows.join(one.select("run", "size"), "run")
 
 
@@ -406,7 +410,8 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
     firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
     known = sets.select("node", "n", "sketch").join(firsts, "node")
     known = staged(known, "known")
-    rows = runs.join(F.broadcast(known) if known.count() <= HELD else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
+    held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
+    rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs(run_id: int, rows: list[tuple]) -> Iterator[np.ndarray]:
