@@ -294,6 +294,17 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder that Spark names, and the path in it: s3a and s3n are s3; what pyarrow has no name for goes to Hadoop's library."""
+    scheme, colon, rest = uri.partition("://")
+    if not colon or scheme in ("file", "hdfs", "viewfs", "gs", "gcs", "abfs", "abfss", "s3"):
+        return pyarrow.fs.FileSystem.from_uri(uri if colon else f"file://{uri.removeprefix('file:')}")
+    if scheme in ("s3a", "s3n"):
+        return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}")
+    host, slash, path = rest.partition("/")
+    return pyarrow.fs.HadoopFileSystem(f"{scheme}://{host}"), slash + path
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, planes: int = 4) -> list[dict]:
     """Encode docs into files below folder, in ascending doc_id order. Returns a row per file, in order: file, first id's place, docs, ids."""
     spark, path = docs.sparkSession, path or default_path()
@@ -302,27 +313,34 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get()
-        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         name = f"tokens-{at.partitionId():06d}.qbps"
         own = f"{base}/.{name}.{at.taskAttemptId()}"
         code, names, counts, file, writer = encoder(path), [], [], None, None
-        for batch in batches:
-            for part in slices(batch, "text"):
-                if writer is None:
-                    file = fs.open_output_stream(own)
-                    writer = Writer(file, planes)
-                ids, n = code.encode(part.column("text"))
-                ids = np.insert(ids, np.cumsum(n), end_id)
-                writer.add(ids)
-                names.append(part.column("doc_id"))
-                counts.append(n + 1)
-        if not names:
-            return
-        documents = pa.table({"doc_id": pa.chunked_array(names), "n_tokens": pa.array(np.concatenate(counts), pa.int64())})
-        writer.close(documents)
-        file.close()
-        fs.move(own, f"{base}/{name}")
+        try:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    if writer is None:
+                        file = fs.open_output_stream(own)
+                        writer = Writer(file, planes)
+                    ids, n = code.encode(part.column("text"))
+                    ids = np.insert(ids, np.cumsum(n), end_id)
+                    writer.add(ids)
+                    names.append(part.column("doc_id"))
+                    counts.append(n + 1)
+            if not names:
+                return
+            documents = pa.table({"doc_id": pa.chunked_array(names), "n_tokens": pa.array(np.concatenate(counts), pa.int64())})
+            writer.close(documents)
+            file.close()
+            fs.move(own, f"{base}/{name}")
+        except BaseException:  # a failed attempt leaves no file; the next one writes its own
+            if file is not None:
+                file.close()
+                if fs.get_file_info(own).type == pyarrow.fs.FileType.File:
+                    fs.delete_file(own)
+            raise
         yield pa.RecordBatch.from_pylist([{"shard": at.partitionId(), "file": name, "n_docs": len(documents), "n_ids": writer.total}])
 
     made = sorted(ordered.mapInArrow(write, "shard long, file string, n_docs long, n_ids long").collect())  # a row per partition
@@ -340,7 +358,7 @@ def read_tokens(spark: SparkSession, files: list[dict], doc_id: str = "bigint")
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, at = pyarrow.fs.FileSystem.from_uri(row["uri"])
+                fs, at = file_system(row["uri"])
                 with fs.open_input_file(at) as source:
                     reader = Reader(source)
                     documents = reader.documents()
