@@ -1,41 +1,91 @@
-"""Full-text retrieval: character n-grams, inverted index, BM25, query performance, feedback.
+"""Full-text retrieval: character n-grams, inverted index, BM25, fuzzy expansion, query performance, feedback.
 
 The index is four tables: postings (term, doc_id, tf), term statistics (term, df, cf), document lengths and one
 row of corpus statistics. Queries are a table (qid, text) as well, so that any number of them is
 one job. N is the largest doc_id plus one, whatever ids are missing, and lengths count pruned terms too.
+
+Statistics never group by document: a text gives its n-grams once for cf and its different ones once for df, and both are
+combined by term before the shuffle. Scoring goes through `scoring` as long as the queries have at most
+`scoring.HELD` rows, and through joins beyond.
 """
 
 from __future__ import annotations
 
+import math
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..sources.tables import table
+from . import scoring
 
 K1, B, STOP, TOP = 1.2, 0.75, 0.5, 10
-GRAM = 3
+GRAM, CJK_GRAM = 3, 2
+#: Expansions of a query token at most; letters of it that an expansion must share at its start.
+EXPANSIONS, PREFIX = 50, 1
+
+# The ranges of CJK characters that choose the size of n-grams.
+CJK = r"[\x{1100}-\x{11FF}\x{3040}-\x{30FF}\x{31C0}-\x{31EF}\x{3200}-\x{32FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A960}-\x{A97F}\x{AC00}-\x{D7FF}\x{F900}-\x{FAFF}\x{20000}-\x{2EE5F}\x{2F800}-\x{2FA1F}\x{30000}-\x{323AF}]"
+#: A character that compatibility composition may change; ASCII and most Latin letters stay.
+_UNSTABLE = r"[^\x00-\x7F¡-§©«-®°±¶·»¿-ıĴ-ľŁ-ňŊ-žƀ-ǃǍ-ǰǴ-ɏ]"
+
+
+def composed(text: Column) -> Column:
+    """NFKC; only texts that it may change are sent to Python."""
+
+    def compose(part: pd.Series) -> pd.Series:
+        return part.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.coalesce(F.pandas_udf(compose, StringType())(F.when(text.rlike(_UNSTABLE), text)), text)
 
 
 def normal(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.regexp_replace(composed(F.lower(text)), r"^\s+|\s+$", "")
+
 
+def gram_size(text: Column) -> Column:
+    """2 where CJK characters are more than three tenths (rounded down) of the text, else 3."""
+    many = F.regexp_count(text, F.lit(CJK)) > F.floor(F.length(text) * 3 / 10)
+    return F.when(text.rlike(CJK), F.when(many, CJK_GRAM).otherwise(GRAM)).otherwise(GRAM)
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Overlapping character n-grams in order; a shorter text is one gram, an empty one has none."""
-    bound = F.transform(F.array(F.split(text, "")), lambda chars: F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.concat(*[F.get(chars, i + j) for j in range(n)])))
-    several = F.get(bound, F.lit(0))  # the outer transform binds the characters once
-    return F.when(F.length(text) >= n, several).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+def grams(text: Column, n: int | Column | None = None) -> Column:
+    """Overlapping character n-grams in order; a shorter text is one gram, an empty one has none. n: None chooses by text."""
+    if n is None or isinstance(n, Column):
+        n = gram_size(text) if n is None else n
+        return F.when(n == CJK_GRAM, grams(text, CJK_GRAM)).otherwise(grams(text, GRAM))
+    ahead = F.regexp_extract_all(text, F.lit("(?s)(?=(%s))." % ("." * n)), F.lit(1))  # a match at every place, one character long
+    return F.when(F.length(text) >= n, ahead).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+
+
+def prepared(docs: DataFrame) -> DataFrame:
+    """doc_id, t (normalised text), n (size of its n-grams)."""
+    return docs.select("doc_id", normal(F.col("text")).alias("t")).withColumn("n", gram_size(F.col("t")))
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """term, doc_id, tf: text never leaves the scan's stage, and counts are combined before the shuffle."""
-    tokens = docs.select("doc_id", F.explode(grams(normal(F.col("text")))).alias("term"))
+    """term, doc_id, tf: counts are combined before the shuffle."""
+    tokens = prepared(docs).select("doc_id", F.explode(grams(F.col("t"), F.col("n"))).alias("term"))
     return tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """term, df, cf, of all terms or of those wanted, without grouping by document."""
+    rows = prepared(docs).select(grams(F.col("t"), F.col("n")).alias("g"))
+    part = lambda g, d, c: F.struct(g.alias("terms"), F.lit(d).alias("d"), F.lit(c).alias("c"))
+    both = F.array(part(F.col("g"), 0, 1), part(F.array_distinct("g"), 1, 0))
+    rows = rows.select(F.explode(both).alias("x")).select("x.d", "x.c", F.explode("x.terms").alias("term"))
+    if wanted is not None:
+        rows = rows.join(wanted, "term", "left_semi")
+    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
-    n = F.length(normal(F.col("text")))
-    return docs.select("doc_id", F.when(n >= GRAM, n - GRAM + 1).when(n > 0, 1).otherwise(0).cast("long").alias("dl"))
+    length, n = F.length("t"), F.col("n")
+    return prepared(docs).select("doc_id", F.when(length >= n, length - n + 1).when(length > 0, 1).otherwise(0).cast("long").alias("dl"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -64,7 +114,8 @@ def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, term, qtf."""
-    return queries.select("qid", F.explode(grams(normal(F.col("text")))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    q = queries.select("qid", normal(F.col("text")).alias("t"))
+    return q.select("qid", F.explode(grams(F.col("t"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 class Index:
@@ -75,14 +126,64 @@ class Index:
         self.docs, self.lengths = docs, doc_lengths(docs)
         self.stats, self.postings = corpus_stats(self.lengths), postings(docs)
 
+    def terms(self, wanted: DataFrame | None = None) -> DataFrame:
+        """term, df, cf of the terms in the index: stop n-grams are not."""
+        return kept_terms(term_counts(self.docs, wanted), self.stats)
+
     def matching(self, q: DataFrame) -> DataFrame:
         """q (qid, term, ...) with doc_id, tf, df, cf: the few query terms reach the tokens before they are counted."""
         wanted = q.select("term").distinct()
-        tokens = self.docs.select("doc_id", F.explode(grams(normal(F.col("text")))).alias("term")).join(wanted, "term", "left_semi")
+        tokens = prepared(self.docs).select("doc_id", F.explode(grams(F.col("t"), F.col("n"))).alias("term")).join(wanted, "term", "left_semi")
         posts = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
         kept = kept_terms(term_stats(posts), self.stats)
         return q.join(self.weighed(posts.join(kept, "term")), "term")
 
+    def blocks(self, q: DataFrame, weight: str, share: float | None = None, expanded: DataFrame | None = None) -> tuple[list[scoring.Block], float] | None:
+        """The queries as matrices, and the average length; None if they are too many to send. expanded: (term, expansion)."""
+        asked = q.select("qid", "term", F.col(weight).cast("double").alias("w")).limit(scoring.HELD + 1).collect()
+        stands = {}
+        if expanded is not None:
+            rows = expanded.join(q.select("term").distinct(), "term", "left_semi").limit(scoring.HELD + 1).collect()
+            for r in rows:
+                stands.setdefault(r["term"], []).append(r["expansion"])
+            asked = asked if len(rows) <= scoring.HELD else [None] * (scoring.HELD + 1)
+        if len(asked) > scoring.HELD or sum(len(stands.get(r["term"], ())) for r in asked) > 32 * scoring.HELD:
+            return None
+        names = asked if expanded is None else [(x,) for x in {e for r in asked for e in stands.get(r["term"], ())}]
+        wanted = q.select("term").distinct() if expanded is None else q.sparkSession.createDataFrame(names, "term string")
+        known = {r["term"]: r["df"] for r in self.terms(wanted).select("term", "df").collect()}  # at most a row a query term
+        n, average = self.stats.select("n", "avgdl").first()
+        weigh = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, df in known.items()}
+        code = {t: scoring.packed(t) for t in known}
+        weights, groups, size = {}, {}, {}
+        for r in asked:
+            q_, t = r["qid"], r["term"]
+            size[q_] = size.get(q_, 0) + 1
+            own = [t] if expanded is None else stands.get(t, [])
+            own = [x for x in own if x in known]
+            groups.setdefault(q_, []).append([code[x] for x in own])
+            for x in own:
+                weights.setdefault(q_, {})[code[x]] = r["w"] if expanded is None else 1.0
+        need = None if share is None else {q_: max(1, math.ceil(k * share)) for q_, k in size.items()}
+        idf_ = {code[t]: x for t, x in weigh.items()}
+        return scoring.blocks(weights, idf_, None if expanded is None else groups, need), average
+
+    def best(self, q: DataFrame, k: int = TOP, weight: str = "qtf", share: float | None = None, expanded: DataFrame | None = None) -> DataFrame:
+        """qid, rank, doc_id, score of each query's best documents; share: of its different terms that a document must hold."""
+        ready = self.blocks(q, weight, share, expanded)
+        if ready is not None:
+            if not ready[0]:
+                return q.sparkSession.createDataFrame([], "qid long, rank int, doc_id long, score double")
+            return top(scoring.best(prepared(self.docs), *ready, k, K1, B), k)
+        if expanded is None:
+            scores = self.scored(self.matching(q), weight)
+            return top(scores if share is None else enough(scores, q, share), k)
+        stands = q.select("qid", F.col("term").alias("token")).join(expanded.select(F.col("term").alias("token"), F.col("expansion").alias("term")), "token")
+        hits = self.matching(stands)
+        have = hits.groupBy("qid", "doc_id").agg(F.count_distinct("token").alias("have"))
+        scores = hits.dropDuplicates(["qid", "term", "doc_id"]).groupBy("qid", "doc_id").agg(F.sum("part").alias("score")).join(have, ["qid", "doc_id"])
+        return top(scores if share is None else enough(scores, q, share), k)
+
     def weighed(self, posts: DataFrame) -> DataFrame:
         """Postings with what one query occurrence of the term adds to the document's score: computed once for all queries."""
         rows = posts.join(self.lengths, "doc_id").crossJoin(F.broadcast(self.stats))
@@ -112,20 +213,76 @@ def enough(scores: DataFrame, q: DataFrame, share: float = 0.5) -> DataFrame:
 
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over documents that hold at least half of a query's terms; each term counts once."""
+    q = query_terms(queries_of(spark, sf_dir)).withColumn("one", F.lit(1))
+    return Index(table(spark, sf_dir, "documents")).best(q, weight="one", share=0.5)
+
+
+def variants(term: Column) -> Column:
+    """A short term and what is left of it without one letter after the first, behind the first letter."""
+    left = F.transform(F.sequence(F.lit(2), F.length(term)), lambda i: F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, F.length(term))))
+    return F.array_distinct(F.when(F.length(term) > 1, F.concat(F.array(term), left)).otherwise(F.array(term)))
+
+
+def expansions(tokens: DataFrame, terms: DataFrame, most: int = EXPANSIONS) -> DataFrame:
+    """(term, expansion): terms of the index that stand for each token, itself among them if it is there.
+
+    ASCII tokens of three letters and more take terms within one edit or swap of neighbours (n-grams have three letters at most) and the
+    same first letter: nearest first, then most frequent, then by name, at most `most`. Others stand for themselves.
+    """
+    fuzzy = F.col("term").rlike(r"\A[\x00-\x7F]{3,}\z")
+    known = terms.select(F.col("term").alias("expansion"), "df")
+    plain = tokens.filter(~fuzzy).join(known, F.col("term") == F.col("expansion")).select("term", "expansion")
+    a = tokens.filter(fuzzy).select("term", F.explode(variants(F.col("term"))).alias("v"))
+    b = known.select("expansion", "df", F.explode(variants(F.col("expansion"))).alias("v"))
+    met = a.join(b, "v").filter(F.substring("term", 1, PREFIX) == F.substring("expansion", 1, PREFIX)).select("term", "expansion", "df").distinct()
+    t = lambda i: F.substring("term", i, 1)
+    swapped = F.concat(t(1), t(3), t(2), F.expr("substring(term, 4)"))
+    distance = F.when(F.col("term") == F.col("expansion"), 0).when((F.levenshtein("term", "expansion") <= 1) | (F.col("expansion") == swapped), 1)
+    order = Window.partitionBy("term").orderBy("distance", F.desc("df"), "expansion")
+    near = met.withColumn("distance", distance).filter("distance IS NOT NULL").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    return plain.unionByName(near.select("term", "expansion"))
+
+
+def search_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with fuzzy tokens: any expansion of a token counts as the token, and each different expansion scores once."""
     index = Index(table(spark, sf_dir, "documents"))
     q = query_terms(queries_of(spark, sf_dir)).withColumn("one", F.lit(1))
-    hits = index.matching(q)
-    return top(enough(index.scored(hits, "one"), q))
+    return index.best(q, weight="one", share=0.5, expanded=expansions(q.select("term").distinct(), index.terms()))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Index(table(spark, sf_dir, "documents")).best(query_terms(queries_of(spark, sf_dir)))
+
+
+def q_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a score, for each query."""
     index = Index(table(spark, sf_dir, "documents"))
-    return top(index.scored(index.matching(query_terms(queries_of(spark, sf_dir)))))
+    scores = index.scored(index.matching(query_terms(queries_of(spark, sf_dir))))
+    return scores.select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n-grams of passages, every second one behind CJK text, with full-width letters and a ligature: size, number and digest."""
+    text = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("　中文测试文档"), F.substring("text", 1, 11))).otherwise(F.concat(F.lit(" Ｆｕｌｌ ﬁ "), "text"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", normal(text).alias("t")).withColumn("n", gram_size(F.col("t")))
+    found = rows.withColumn("g", grams(F.col("t"), F.col("n")))
+    return found.select("item_id", "n", F.size("g").cast("long").alias("tokens"), F.md5(F.array_join("g", "|").cast("binary")).alias("digest"))
+
+
+def q_cjk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a character is CJK, for every code point up to the end of the last range; half pairs are no characters."""
+    points = spark.range(0, 0x323B0).filter("id < 55296 OR id > 57343").select(F.col("id").alias("code_point"))
+    char = F.decode(F.unhex(F.lpad(F.hex("code_point"), 8, "0")), "UTF-32")
+    return points.select("code_point", char.rlike(CJK).alias("is_cjk"))
 
 
 def q_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = Index(table(spark, sf_dir, "documents"))
-    return kept_terms(term_stats(index.postings), index.stats)
+    return Index(table(spark, sf_dir, "documents")).terms()
+
+
+def q_pruned(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
+    """The index without terms that stand in more than `most` documents."""
+    return Index(table(spark, sf_dir, "documents")).terms().filter(F.col("df") <= most)
 
 
 def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +299,7 @@ def q_doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_collection_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Index(table(spark, sf_dir, "documents"))
-    kept = kept_terms(term_stats(index.postings), index.stats)
+    kept = index.terms()
     return kept.crossJoin(F.broadcast(index.stats)).select("term", F.round(F.col("cf") / F.col("total"), 10).alias("p"))
 
 
@@ -150,7 +307,7 @@ def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency and presence of each query term; absent or pruned ones have none."""
     index = Index(table(spark, sf_dir, "documents"))
     q = query_terms(queries_of(spark, sf_dir))
-    terms = index.matching(q).select("term", "df").distinct()
+    terms = index.terms(q.select("term").distinct()).select("term", "df")
     return q.join(terms, "term", "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"), F.col("df").isNotNull().alias("has_term"))
 
 
@@ -158,11 +315,15 @@ def q_qpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """avg_idf, max_idf, scope, scq and hardness of each query over its different terms in the index."""
     index = Index(table(spark, sf_dir, "documents"))
     q = query_terms(queries_of(spark, sf_dir))
-    hits = index.matching(q)
-    terms = hits.select("qid", "term", "df", "cf").distinct().crossJoin(F.broadcast(index.stats))
+    terms = q.join(index.terms(q.select("term").distinct()), "term").crossJoin(F.broadcast(index.stats))
     i = idf(F.col("n"), F.col("df"))
     base = terms.groupBy("qid").agg(F.avg(i).alias("avg_idf"), F.max(i).alias("max_idf"), F.avg(i * F.log1p("cf")).alias("scq"))
-    scope = hits.groupBy("qid").agg(F.count_distinct("doc_id").alias("docs")).crossJoin(F.broadcast(index.stats)).select("qid", (F.col("docs") / F.col("n")).alias("scope"))
+    ready = index.blocks(q, "qtf")
+    if ready is None:
+        scope = index.matching(q).groupBy("qid").agg(F.count_distinct("doc_id").alias("docs"))
+    else:
+        scope = scoring.matched(prepared(index.docs), ready[0]) if ready[0] else q.select("qid", F.lit(0).alias("docs")).distinct()
+    scope = scope.crossJoin(F.broadcast(index.stats)).select("qid", (F.col("docs") / F.col("n")).alias("scope"))
     out = q.select("qid").distinct().join(base, "qid", "left").join(scope, "qid", "left")
     cols = [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("avg_idf", "max_idf", "scope", "scq")]
     return out.select("qid", *cols, (F.coalesce("avg_idf", F.lit(0.0)) < 2.0).alias("is_hard"))
@@ -171,7 +332,7 @@ def q_qpp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Index(table(spark, sf_dir, "documents"))
     q = query_terms(queries_of(spark, sf_dir))
-    known = index.matching(q).select("term", "cf").distinct()
+    known = index.terms(q.select("term").distinct()).select("term", "cf")
     total = q.groupBy("qid").agg(F.sum("qtf").alias("len"))
     rows = q.join(total, "qid").join(known, "term", "left").crossJoin(F.broadcast(index.stats))
     p, c = F.col("qtf") / F.col("len"), F.coalesce(F.col("cf") / F.col("total"), F.lit(1e-12))
@@ -181,9 +342,9 @@ def q_clarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feedback(index: Index, spark: SparkSession, sf_dir: str, docs: int = 3) -> tuple[DataFrame, DataFrame]:
     """Query terms and the term frequencies of each query's first documents (qid, term, tf, n_rel)."""
     q = query_terms(queries_of(spark, sf_dir))
-    best = top(index.scored(index.matching(q)), docs).select("qid", "doc_id")
+    best = index.best(q, docs).select("qid", "doc_id")
     few = index.docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = kept_terms(term_stats(index.postings), index.stats).select("term")
+    kept = index.terms().select("term")
     posts = postings(few).join(kept, "term", "left_semi")
     n_rel = best.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
     return q, best.join(posts, "doc_id").join(n_rel, "qid")
@@ -232,7 +393,7 @@ def q_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation recall: user and assistant turns that aren't blank are indexed; each benchmark query finds its three best turns."""
     turns = history_turns(table(spark, sf_dir, "conversations"))
     index = Index(turns.select(F.col("turn_id").alias("doc_id"), "text"))
-    found = top(index.scored(index.matching(query_terms(queries_of(spark, sf_dir)))), 3)
+    found = index.best(query_terms(queries_of(spark, sf_dir)), 3)
     return found.join(turns.select(F.col("turn_id").alias("doc_id"), "role"), "doc_id").select("qid", "rank", F.col("doc_id").alias("turn_id"), "role", "score")
 
 
@@ -273,6 +434,11 @@ QUERIES = {
     "q04_term_lookup": q_lookup,
     "q05_bm25_topk": bm25_topk,
     "q06_search_min_match": search,
+    "q06_search_fuzzy": search_fuzzy,
+    "t02_all_scores": q_all_scores,
+    "q01_ngram_tokens": q_tokens,
+    "q02_cjk": q_cjk,
+    "b17_prune_df": q_pruned,
     "q20_query_performance": q_qpp,
     "q21_clarity": q_clarity,
     "q14_rm3": q_rm3,
@@ -290,6 +456,18 @@ ORACLES = {
     "q06_search_min_match": f"""WITH {_TOK}, need AS (SELECT qid, greatest(1, ceil(count(*) * 0.5)) AS need FROM qt GROUP BY qid),
 have AS (SELECT qid, doc_id, count(DISTINCT term) AS have FROM hits GROUP BY qid, doc_id), cand AS (SELECT qid, doc_id FROM have JOIN need USING (qid) WHERE have >= need),
 ch AS (SELECT hits.* FROM hits SEMI JOIN cand USING (qid, doc_id)), {_top_sql("b", "ch", "1")} SELECT * FROM b""",
+    "q06_search_fuzzy": f"""WITH {_TOK}, need AS (SELECT qid, greatest(1, ceil(count(*) * 0.5)) AS need FROM qt GROUP BY qid), x AS (SELECT DISTINCT term, regexp_full_match(term, '[\\x00-\\x7F]{{3,}}') AS fuzzy FROM qt),
+p AS (SELECT x.term, fuzzy, kept.term AS expansion, df, substring(x.term, 2, 1) AS a, substring(x.term, 3, 1) AS b, substring(kept.term, 2, 1) AS c, substring(kept.term, 3, 1) AS d FROM x JOIN kept ON left(x.term, 1) = left(kept.term, 1)),
+e AS (SELECT term, expansion, df, term <> expansion AS d FROM p WHERE term = expansion OR (fuzzy AND ((length(expansion) = 3 AND (a = c OR b = d OR (a = d AND b = c))) OR (length(expansion) = 2 AND (c = a OR c = b))))),
+few AS (SELECT term AS token, expansion FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY d, df DESC, expansion) <= 50), td AS (SELECT DISTINCT token, doc_id FROM few JOIN post ON expansion = post.term),
+cand AS (SELECT qid, doc_id FROM qt JOIN td ON qt.term = token JOIN need USING (qid) GROUP BY qid, doc_id, need HAVING count(*) >= need), once AS (SELECT DISTINCT qid, expansion AS term FROM qt JOIN few ON qt.term = token),
+ch AS (SELECT once.qid, post.doc_id, tf, df FROM once JOIN kept USING (term) JOIN post USING (term) SEMI JOIN cand ON once.qid = cand.qid AND post.doc_id = cand.doc_id), {_top_sql("b", "ch", "1")} SELECT * FROM b""",
+    "t02_all_scores": f"WITH {_TOK} SELECT qid, doc_id, round(sum(qtf * {_PART}), 6) AS score FROM hits JOIN lens USING (doc_id), stats GROUP BY ALL",
+    "q01_ngram_tokens": r"""WITH s AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN regexp_replace('中文测试文档' || lower(left(text, 11)), '\s+$', '') ELSE regexp_replace('full fi ' || lower(text), '\s+$', '') END AS t FROM benchmark),
+n AS (SELECT item_id, t, CASE WHEN length(regexp_replace(t, '[^中文测试文档]', '', 'g')) > length(t) * 3 // 10 THEN 2 ELSE 3 END AS n FROM s), g AS (SELECT item_id, n, list_transform(range(1, length(t) - n + 2), lambda i: substring(t, i, n)) AS g FROM n)
+SELECT item_id, n, len(g) AS tokens, md5(array_to_string(g, '|')) AS digest FROM g""",
+    "q02_cjk": "SELECT i AS code_point, i BETWEEN 4352 AND 4607 OR i BETWEEN 12352 AND 12543 OR i BETWEEN 12736 AND 12783 OR i BETWEEN 12800 AND 13055 OR i BETWEEN 13312 AND 19903 OR i BETWEEN 19968 AND 40959 OR i BETWEEN 43360 AND 43391 OR i BETWEEN 44032 AND 55295 OR i BETWEEN 63744 AND 64255 OR i BETWEEN 131072 AND 192095 OR i BETWEEN 194560 AND 195103 OR i BETWEEN 196608 AND 205743 AS is_cjk FROM range(0, 205744) t(i) WHERE i NOT BETWEEN 55296 AND 57343",
+    "b17_prune_df": f"WITH {_TOK} SELECT term, df, cf FROM kept WHERE df <= 50",
     "q20_query_performance": f"""WITH {_TOK}, t AS (SELECT DISTINCT qid, term, df, cf FROM hits), i AS (SELECT qid, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, cf FROM t, stats),
 base AS (SELECT qid, avg(idf) AS avg_idf, max(idf) AS max_idf, avg(idf * ln(1 + cf)) AS scq FROM i GROUP BY qid),
 sc AS (SELECT qid, count(DISTINCT doc_id) / any_value(n) AS scope FROM hits, stats GROUP BY qid)
