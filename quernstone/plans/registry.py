@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import similarity, structured, text
+from ..functions import repairs, similarity, structured, text, words
 from ..operators import corpus, events, neardup, records, rerank, retrieval, sessions, stores, trace
 from ..sources import logs, pages
 from ..streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, events, trace, stores, neardup, corpus, sessions, records, similarity, structured, text, rerank, pages, logs, folds)
+MODULES = (retrieval, events, trace, stores, neardup, corpus, sessions, records, similarity, words, structured, repairs, text, rerank, pages, logs, folds)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 FLAGSHIP: Query = retrieval.search
