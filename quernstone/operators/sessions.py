@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
+from ..plans.staging import cut
 from ..sources.tables import table
 
 
@@ -104,7 +105,7 @@ def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         ready = open_.select("node").distinct().join(blocked, "node", "left_anti").withColumn("level", F.lit(level))
         if ready.isEmpty():
             return done
-        done = done.unionByName(ready).checkpoint() if spark.sparkContext.getCheckpointDir() else done.unionByName(ready)
+        done = cut(done.unionByName(ready))
 
 
 def q_failure_spread(spark: SparkSession, sf_dir: str, failed: int = 3) -> DataFrame:
@@ -113,7 +114,7 @@ def q_failure_spread(spark: SparkSession, sf_dir: str, failed: int = 3) -> DataF
     hit = spark.createDataFrame([(failed,)], "node int")
     found, count = hit, 1
     while True:
-        found = found.unionByName(e.join(found.select(F.col("node").alias("dep")), "dep").select("node")).distinct()
+        found = cut(found.unionByName(e.join(found.select(F.col("node").alias("dep")), "dep").select("node")).distinct())
         now = found.count()
         if now == count:
             return found.filter(F.col("node") != failed)
