@@ -171,8 +171,8 @@ def signatures(s: np.ndarray) -> np.ndarray:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """Of each of 2^k >= 2 n (at least 64) classes, whether the set has an odd number of it: two sets' sketches differ in no more bits than the sets in shingles."""
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    """Of each of 2^k >= n (at least 64) classes, whether the set has an odd number of it: two sets' sketches differ in no more bits than the sets in shingles."""
+    bits = max(64, 1 << int(len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -407,8 +407,11 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
     nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
     among their `FIRSTS` first ones, so that a pair isn't given by every run it is in.
     """
-    firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
-    known = sets.select("node", "n", "sketch").join(firsts, "node")
+    if nearest:  # they don't choose a pair's run
+        known = sets.select("node", "n", "sketch", F.lit(None).cast("array<long>").alias("firsts")).join(runs.select("node").distinct(), "node", "left_semi")
+    else:
+        firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
+        known = sets.select("node", "n", "sketch").join(firsts, "node")
     known = staged(known, "known")
     held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
     rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
