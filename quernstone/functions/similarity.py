@@ -44,7 +44,7 @@ def jaro(a: str, b: str) -> float:
     if not left:
         return 0.0
     right = [b[j] for j, t in enumerate(taken) if t]
-    m, swapped = len(left), sum(x != y for x, y in zip(left, right)) // 2
+    m, swapped = len(left), sum(x != y for x, y in zip(left, right)) / 2
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
@@ -155,17 +155,28 @@ def q_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaro and Jaro-Winkler of words with those of the same first letter."""
+    """Jaro and Jaro-Winkler of words with the five that follow in order, within a first letter."""
+    from pyspark.sql import Window
+
     ship(spark)
-    terms = dictionary(spark, sf_dir).select("term", F.substring("term", 1, 1).alias("initial"))
-    pairs = terms.alias("a").join(terms.select(F.col("term").alias("other"), "initial").alias("b"), "initial").filter("term < other")
+    order = Window.partitionBy(F.substring("term", 1, 1)).orderBy("term")
+    after = dictionary(spark, sf_dir).select("term", F.array(*[F.lead("term", k).over(order) for k in range(1, 6)]).alias("after"))
+    pairs = after.select("term", F.explode("after").alias("other")).filter("other IS NOT NULL")
     return pairs.select("term", "other", F.round(_pairwise(jaro, "double")("term", "other"), 6).alias("jaro"), F.round(_pairwise(jaro_winkler, "double")("term", "other"), 6).alias("jaro_winkler"))
 
 
 _DICT = "d AS (SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) GROUP BY term)"
 QUERIES = {"q07_fuzzy_expansion": q_fuzzy, "q23_speller": q_speller, "c09_soundex": q_phonetic, "c03_c04_jaro": q_jaro}
+#: A word's code: letters as digits of their classes, equal neighbours as one, the first letter in place of its digit.
+_CODE = "translate(upper(term), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+_RUNS = _CODE
+for _d in "123456":
+    _RUNS = f"regexp_replace({_RUNS}, '{_d}+', '{_d}', 'g')"
+_ALLOWED = "CASE WHEN length(a) <= 2 THEN 0 WHEN length(a) <= 5 THEN 1 ELSE 2 END"
 ORACLES = {
-    "c03_c04_jaro": f"""WITH {_DICT}, t AS (SELECT term FROM d), p AS (SELECT a.term, b.term AS other, jaro_similarity(a.term, b.term) AS j,
-CASE WHEN left(a.term, 4) = left(b.term, 4) AND length(a.term) >= 4 AND length(b.term) >= 4 THEN 4 WHEN left(a.term, 3) = left(b.term, 3) AND length(a.term) >= 3 AND length(b.term) >= 3 THEN 3 WHEN left(a.term, 2) = left(b.term, 2) AND length(a.term) >= 2 AND length(b.term) >= 2 THEN 2 ELSE 1 END AS same
-FROM t a JOIN t b ON left(a.term, 1) = left(b.term, 1) AND a.term < b.term) SELECT term, other, round(j, 6) AS jaro, round(j + same * 0.1 * (1 - j), 6) AS jaro_winkler FROM p""",
+    "c09_soundex": f"WITH {_DICT} SELECT term, left(upper(left(term, 1)) || replace(substring({_RUNS}, 2), '0', '') || '000', 4) AS soundex FROM d",
+    "q07_fuzzy_expansion": f"""WITH {_DICT}, p AS (SELECT x.term AS a, y.term AS b, y.freq, CASE WHEN x.term = y.term THEN 0 ELSE damerau_levenshtein(x.term, y.term) END AS distance FROM d x JOIN d y ON left(x.term, 1) = left(y.term, 1) AND abs(length(x.term) - length(y.term)) <= 2 WHERE x.term = y.term OR (length(x.term) <= 10 AND length(y.term) <= 8)),
+r AS (SELECT a, b, distance, row_number() OVER (PARTITION BY a ORDER BY distance, freq DESC, b) AS rank FROM p WHERE distance <= {_ALLOWED}) SELECT a AS term, rank, b AS expansion, distance FROM r WHERE rank <= 50""",
+    "q23_speller": f"""WITH {_DICT}, w AS (SELECT term || right(term, 1) AS a FROM d WHERE term || right(term, 1) NOT IN (SELECT term FROM d)), p AS (SELECT a, term AS b, freq FROM w JOIN d ON abs(length(a) - length(term)) <= 2 AND damerau_levenshtein(a, term) <= {_ALLOWED})
+SELECT a AS word, arg_min(b, (-freq, b)) AS correction FROM p GROUP BY a""",
 }

@@ -112,5 +112,5 @@ def q_frontmatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"w18_line_hash_chain": q_line_hashes, "c37_canonical_json": q_canonical, "c26_frontmatter": q_frontmatter}
 ORACLES = {
     "c37_canonical_json": "SELECT event_id, '{\"a\":{\"k\":' || json_extract_string(props, '$.k') || '},\"z\":1}' AS args FROM events",
-    "c26_frontmatter": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'lang: ' || lang END AS meta FROM documents",
+    "c26_frontmatter": r"WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) ELSE '' END || text AS t FROM documents) SELECT doc_id, nullif(trim(regexp_extract(t, '^\s*---[ \t]*\n([\s\S]*?)\n?---[ \t]*(?:\n|$)', 1)), '') AS meta FROM d",
 }

@@ -86,7 +86,7 @@ _EST = r"CAST(CASE WHEN coalesce(length(text), 0) = 0 THEN 0 WHEN length(regexp_
 ORACLES = {
     "c13_token_estimate": f"SELECT doc_id, {_EST} AS tokens FROM documents",
     "g09_tokens_by_role": f"WITH s AS (SELECT role, CAST(sum({_EST}) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY role) SELECT role, turns, tokens, round(100 * tokens / sum(tokens) OVER (), 4) AS share FROM s",
-    "c14_clean_text": r"SELECT item_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS clean FROM benchmark",
+    "c14_clean_text": r"WITH d AS (SELECT item_id, ' ' || chr(8203) || chr(7) || text || chr(65279) || ' ' || chr(10) AS t FROM benchmark) SELECT item_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]', '', 'g'), '^\s+|\s+$', '', 'g')) AS clean FROM d",
     "c24_shorten": r"""WITH p AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), c AS (SELECT doc_id, t, regexp_replace(left(t, 58), '\s*\S*$', '') AS w FROM p)
 SELECT doc_id, CASE WHEN length(t) <= 60 THEN t WHEN length(w) > 0 THEN w || '...' ELSE left(t, 57) || '...' END AS title FROM c""",
     "c25_duration_text": "WITH s AS (SELECT event_id, CAST(floor(value * 100) AS BIGINT) AS s FROM events) SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE s || 's' END AS duration FROM s",

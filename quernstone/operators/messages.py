@@ -120,7 +120,7 @@ def q_recall(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     from .retrieval import Index, history_turns, queries_of, query_terms
 
     turns = history_turns(table(spark, sf_dir, "conversations"))
-    found = Index(turns.select(F.col("turn_id").alias("doc_id"), "text")).best(query_terms(queries_of(spark, sf_dir)), max(1, min(10, k)))
+    found = Index(turns.select(F.col("turn_id").alias("doc_id"), "text"), dense=True).best(query_terms(queries_of(spark, sf_dir)), max(1, min(10, k)))
     rows = found.join(turns.withColumnRenamed("turn_id", "doc_id"), "doc_id")
     archived = F.when(F.col("doc_id") % 2 == 0, " [compacted]").otherwise("")
     block = F.concat(F.lit("> **"), "role", F.lit("**"), archived, F.lit(" (relevance: "), F.format_string("%.2f", "score"), F.lit(")\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))

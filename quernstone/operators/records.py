@@ -31,10 +31,12 @@ def q_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short words with one letter left out, and themselves."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).filter("length(term) BETWEEN 2 AND 8").distinct()
-    left = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.concat(F.substring("term", F.lit(1), i - 1), F.substring("term", i + 1, F.length("term"))))
-    return words.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), left))).alias("variant"))
+    """Words with up to two letters left out, and themselves."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")).distinct()
+    left = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+    one = words.select("term", F.explode(F.array_distinct(F.concat(F.array("term"), left(F.col("term"))))).alias("v"))
+    two = F.when(F.length("v") > 0, F.concat(F.array("v"), left(F.col("v")))).otherwise(F.array("v"))
+    return one.select("term", F.explode(two).alias("variant")).distinct()
 
 
 def q_near_in_time(spark: SparkSession, sf_dir: str, hours: float = 48.0, most: int = 5) -> DataFrame:
@@ -69,15 +71,14 @@ def q_large_items(spark: SparkSession, sf_dir: str, share: float = 5.0, most: in
 
 
 def q_preserve_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many messages of a conversation to keep: more with system messages, many turns or long texts, from 1 to 10."""
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max((F.col("role") == "system").cast("int")).alias("s"), F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
-    return c.select("conv_id", F.greatest(F.lit(1), F.least(F.lit(10), 2 + F.col("s") + (F.col("n") > 6).cast("int") + (F.col("longest") > 800).cast("int"))).alias("depth"))
-
-
-def q_plain_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts without terminal colour codes."""
-    noisy = F.concat(F.lit("\x1b[31m"), "text", F.lit("\x1b[0m"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(F.regexp_replace(noisy, r"\x1b\[[0-9;]*[A-Za-z]", "").cast("binary")).alias("plain"))
+    """How many turns compaction keeps as they are: one, and one more each if the last message of user or assistant tells of an error, holds thoughts, or names over two files."""
+    said = table(spark, sf_dir, "conversations").filter(F.col("role").isin("user", "assistant"))
+    m = said.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+    dirty = F.concat("text", F.when(F.col("conv_id") % 3 == 0, " It FAILED").otherwise(""), F.when(F.col("conv_id") % 4 == 0, " a.py b.md file:c").otherwise(" a.py b.md"))
+    low, think = F.lower(dirty), F.col("conv_id") % 5 == 0
+    refs = F.regexp_count(low, F.lit(r"file:|\.py|\.md"))
+    depth = 1 + low.rlike("error|exception|failed").cast("int") + think.cast("int") + (refs > 2).cast("int")
+    return m.select("conv_id", F.greatest(F.lit(1), F.least(F.lit(10), depth)).alias("depth"))
 
 
 def q_result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,7 @@ def q_result_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = wire(spark, sf_dir)
     call = e.filter("type = 'ToolCall'").groupBy("session_id", "call_id").agg(F.min("idx").alias("call_at"))
     r = e.filter("type = 'ToolResult'").join(call, ["session_id", "call_id"], "left")
-    order = Window.partitionBy("session_id").orderBy(F.coalesce("call_at", F.lit(1_000_000_000)), "idx")
+    order = Window.partitionBy("session_id").orderBy(F.col("call_at").asc_nulls_last(), "idx")
     again = F.row_number().over(Window.partitionBy("session_id", "call_id").orderBy("idx")) > 1
     return r.select("session_id", "idx", F.row_number().over(order).alias("position"), again.alias("repeated"))
 
@@ -108,20 +109,19 @@ def q_groups_other_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "s05_file_set": q_file_set, "g16_numstat": q_numstat, "c27_last_choice": q_choice, "c12_deletes": q_deletes, "j20_near_in_time": q_near_in_time, "t13_compact_half": q_compact_half, "b20_auto_archive": q_archive,
-    "t10_large_items": q_large_items, "c31_preserve_depth": q_preserve_depth, "c22_plain_output": q_plain_output, "j22_result_order": q_result_order, "w20_ticks": q_ticks, "g26_groups_other_last": q_groups_other_last,
+    "t10_large_items": q_large_items, "c31_preserve_depth": q_preserve_depth, "j22_result_order": q_result_order, "w20_ticks": q_ticks, "g26_groups_other_last": q_groups_other_last,
 }
 ORACLES = {
     "s05_file_set": "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND doc_id % 6 <> 0 UNION SELECT doc_id FROM documents WHERE doc_id % 7 = 0",
     "g16_numstat": "WITH r AS (SELECT CASE WHEN n_chars % 11 = 0 THEN 0 ELSE n_chars % 5 END AS a, doc_id % 3 AS d FROM documents) SELECT CASE WHEN d = 0 AND a > 0 THEN 'added' WHEN a = 0 AND d > 0 THEN 'deleted' ELSE 'modified' END AS status, count(*) AS files, CAST(sum(a) AS BIGINT) AS added, CAST(sum(d) AS BIGINT) AS deleted FROM r GROUP BY 1",
-    "c27_last_choice": "SELECT doc_id, lang AS choice FROM documents",
-    "c12_deletes": "WITH w AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark) WHERE length(term) BETWEEN 2 AND 8) SELECT term, unnest(list_distinct(list_concat([term], list_transform(range(1, length(term) + 1), lambda i: left(term, i - 1) || substring(term, i + 1))))) AS variant FROM w",
+    "c27_last_choice": "SELECT doc_id, trim(regexp_extract_all('<choice>' || source || '</choice> or <choice> ' || lang || ' </choice>', '<choice>([^<]*)</choice>', 1)[-1]) AS choice FROM documents",
+    "c12_deletes": "WITH w AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark)), o AS (SELECT term, unnest(list_concat([term], list_transform(range(1, length(term) + 1), lambda i: left(term, i - 1) || substring(term, i + 1)))) AS v FROM w) SELECT DISTINCT term, unnest(list_concat([v], list_transform(range(1, length(v) + 1), lambda i: left(v, i - 1) || substring(v, i + 1)))) AS variant FROM o",
     "j20_near_in_time": "WITH e AS (SELECT *, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events), a AS (SELECT user_id, min_by(t, event_id) AS a FROM e WHERE event_type = 'purchase' GROUP BY 1), n AS (SELECT user_id, event_id, abs(t - a) AS d FROM e JOIN a USING (user_id) WHERE abs(t - a) <= 172800), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d, event_id) AS rank FROM n) SELECT user_id, rank, event_id, round(d, 3) AS seconds FROM r WHERE rank <= 5",
     "t13_compact_half": "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) > 60 AND row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= count(*) OVER (PARTITION BY user_id) // 2 AS compacted FROM events",
     "b20_auto_archive": "WITH l AS (SELECT user_id, max(epoch_us(ts)) AS last FROM events GROUP BY 1) SELECT user_id, ((SELECT max(last) FROM l) - last) // 86400000000 >= 15 AS archive FROM l",
     "t10_large_items": "WITH t AS (SELECT source, sum(n_chars) AS total FROM documents GROUP BY 1) SELECT doc_id, d.source, n_chars FROM documents d JOIN t ON d.source = t.source WHERE 100 * n_chars > 5 * total ORDER BY n_chars DESC, doc_id LIMIT 10",
-    "c31_preserve_depth": "SELECT conv_id, greatest(1, least(10, 2 + max((role = 'system')::INT) + (count(*) > 6)::INT + (max(length(text)) > 800)::INT)) AS depth FROM conversations GROUP BY 1",
-    "c22_plain_output": "SELECT item_id, md5(text) AS plain FROM benchmark",
-    "j22_result_order": f"WITH {WIRE_SQL}, c AS (SELECT session_id, call_id, min(idx) AS call_at FROM wire WHERE type = 'ToolCall' GROUP BY ALL) SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(call_at, 1000000000), idx) AS position, row_number() OVER (PARTITION BY session_id, call_id ORDER BY idx) > 1 AS repeated FROM wire LEFT JOIN c USING (session_id, call_id) WHERE type = 'ToolResult'",
+    "c31_preserve_depth": r"WITH m AS (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1), d AS (SELECT conv_id, lower(text || CASE WHEN conv_id % 3 = 0 THEN ' It FAILED' ELSE '' END || CASE WHEN conv_id % 4 = 0 THEN ' a.py b.md file:c' ELSE ' a.py b.md' END) AS t FROM m) SELECT conv_id, 1 + regexp_matches(t, 'error|exception|failed')::INT + (conv_id % 5 = 0)::INT + (len(regexp_extract_all(t, 'file:|\.py|\.md')) > 2)::INT AS depth FROM d",
+    "j22_result_order": f"WITH {WIRE_SQL}, c AS (SELECT session_id, call_id, min(idx) AS call_at FROM wire WHERE type = 'ToolCall' GROUP BY ALL) SELECT session_id, idx, row_number() OVER (PARTITION BY session_id ORDER BY call_at NULLS LAST, idx) AS position, row_number() OVER (PARTITION BY session_id, call_id ORDER BY idx) > 1 AS repeated FROM wire LEFT JOIN c USING (session_id, call_id) WHERE type = 'ToolResult'",
     "w20_ticks": f"WITH {WIRE_SQL}, b AS (SELECT session_id, ts, min(ts) OVER (PARTITION BY session_id) AS lo, max(ts) OVER (PARTITION BY session_id) AS hi FROM wire) SELECT session_id, CAST(CASE WHEN hi > lo THEN least(11, floor((ts - lo) / (hi - lo) * 12)) ELSE 0 END AS BIGINT) AS tick, count(*) AS events FROM b GROUP BY ALL",
     "g26_groups_other_last": "WITH g AS (SELECT CASE WHEN doc_id % 9 = 0 THEN 'Other' ELSE lang END AS dir, max(doc_id) AS newest, count(*) AS n FROM documents GROUP BY 1) SELECT *, row_number() OVER (ORDER BY dir = 'Other', newest DESC) AS position FROM g",
 }

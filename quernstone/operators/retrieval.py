@@ -88,8 +88,8 @@ def doc_lengths(docs: DataFrame) -> DataFrame:
     return prepared(docs).select("doc_id", F.when(length >= n, length - n + 1).when(length > 0, 1).otherwise(0).cast("long").alias("dl"))
 
 
-def corpus_stats(lengths: DataFrame) -> DataFrame:
-    return lengths.agg((F.max("doc_id") + 1).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"))
+def corpus_stats(lengths: DataFrame, dense: bool = False) -> DataFrame:
+    return lengths.agg((F.count("doc_id") if dense else F.max("doc_id") + 1).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("total"))
 
 
 def term_stats(posts: DataFrame) -> DataFrame:
@@ -121,10 +121,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 class Index:
     """The tables of an index over docs (doc_id, text)."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, dense: bool = False):
+        """dense: N is the number of documents, for ids that are no count."""
         docs = docs.select("doc_id", "text").filter("text IS NOT NULL")
         self.docs, self.lengths = docs, doc_lengths(docs)
-        self.stats, self.postings = corpus_stats(self.lengths), postings(docs)
+        self.stats, self.postings = corpus_stats(self.lengths, dense), postings(docs)
 
     def terms(self, wanted: DataFrame | None = None) -> DataFrame:
         """term, df, cf of the terms in the index: stop n-grams are not."""
@@ -392,15 +393,16 @@ def q_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation recall: user and assistant turns that aren't blank are indexed; each benchmark query finds its three best turns."""
     turns = history_turns(table(spark, sf_dir, "conversations"))
-    index = Index(turns.select(F.col("turn_id").alias("doc_id"), "text"))
+    index = Index(turns.select(F.col("turn_id").alias("doc_id"), "text"), dense=True)
     found = index.best(query_terms(queries_of(spark, sf_dir)), 3)
     return found.join(turns.select(F.col("turn_id").alias("doc_id"), "role"), "doc_id").select("qid", "rank", F.col("doc_id").alias("turn_id"), "role", "score")
 
 
 def history_turns(conversations: DataFrame, most: int = 500) -> DataFrame:
-    """turn_id, role, text of the newest turns that count; eviction comes before ranking."""
+    """turn_id, role, text of each conversation's newest turns that count; eviction comes before ranking. A conversation has fewer than a million turns."""
     live = conversations.filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return live.select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "role", "text").orderBy(F.desc("turn_id")).limit(most)
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return live.withColumn("_n", newest).filter(F.col("_n") <= most).select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("turn_id"), "role", "text")
 
 
 _TOK = r"""
@@ -486,6 +488,6 @@ SELECT qid, term, round(sum(w), 8) AS weight FROM (SELECT * FROM m UNION ALL SEL
 i AS (SELECT qid, gain, row_number() OVER (PARTITION BY qid ORDER BY gain DESC) AS rank FROM g),
 d AS (SELECT qid, sum((2 ** gain - 1) / log2(rank + 1)) AS dcg FROM g GROUP BY qid), e AS (SELECT qid, sum((2 ** gain - 1) / log2(rank + 1)) AS ideal FROM i GROUP BY qid)
 SELECT qid, round(CASE WHEN ideal > 0 THEN dcg / ideal ELSE 0 END, 6) AS ndcg FROM d JOIN e USING (qid)""",
-    "q24_history_search": f"""WITH live AS (SELECT conv_id * 1000 + turn AS turn_id, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' ORDER BY turn_id DESC LIMIT 500),
-{_TOK.replace("doc_id, lower", "turn_id AS doc_id, lower").replace("FROM documents", "FROM live")}, {_top_sql("b", "hits", "qtf", 3)} SELECT qid, rank, turn_id, role, score FROM b JOIN live ON turn_id = doc_id""",
+    "q24_history_search": f"""WITH live AS (SELECT conv_id * 1000000 + turn AS turn_id, role, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 500),
+{_TOK.replace("doc_id, lower", "turn_id AS doc_id, lower").replace("FROM documents", "FROM live").replace("max(doc_id) + 1 AS n", "count(*) AS n")}, {_top_sql("b", "hits", "qtf", 3)} SELECT qid, rank, turn_id, role, score FROM b JOIN live ON turn_id = doc_id""",
 }

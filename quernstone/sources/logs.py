@@ -89,7 +89,7 @@ class History:
         """qid, rank, doc_id (the turn), score."""
         from ..operators.retrieval import Index, query_terms
 
-        return Index(self.load().select(F.col("turn_id").alias("doc_id"), "text")).best(query_terms(queries), k)
+        return Index(self.load().select(F.col("turn_id").alias("doc_id"), "text"), dense=True).best(query_terms(queries), k)
 
 
 def q_log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
