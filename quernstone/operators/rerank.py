@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
@@ -101,7 +101,7 @@ def rank_svm(x: list[np.ndarray], y: list[np.ndarray], rate: float = 0.01, steps
     return w
 
 
-def rank_boost(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 20) -> list[tuple[int, float, int, float]]:
+def rank_boost(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 100) -> list[tuple[int, float, int, float]]:
     """Stumps (feature, threshold, direction, weight) on misordered pairs; a perfect stump is kept and ends the search."""
     pairs = [(m[i], m[j]) for m, g in zip(x, y) for i in range(len(g)) for j in range(len(g)) if g[i] > g[j]]
     if not pairs:
@@ -128,20 +128,53 @@ def rank_boost(x: list[np.ndarray], y: list[np.ndarray], rounds: int = 20) -> li
     return out
 
 
-def q_learned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search results in the order of a linear model over (score, length, 1/rank), fitted to label quality on the even queries; scoring is a plain expression."""
+def boosted(stumps: list[tuple[int, float, int, float]], x: np.ndarray) -> np.ndarray:
+    """Scores of rows by stumps: each adds or takes its weight where its feature is above its threshold."""
+    return sum((sign * w * (x[:, f] > t) for f, t, sign, w in stumps), np.zeros(len(x)))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, doc_id, f0 (score), f1 (length), f2 (1 / rank), grade (label quality) of the search results."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("grade"))
-    feats = retrieval.bm25_topk(spark, sf_dir).join(docs, "doc_id").join(labels, "doc_id", "left").select("qid", "doc_id", (F.col("score") / 20).alias("f0"), (F.log1p("n_chars") / 10).alias("f1"), (1 / F.col("rank")).alias("f2"), F.coalesce("grade", F.lit(0.0)).alias("grade"))
-    rows = feats.filter("qid % 2 = 0").orderBy("qid", "doc_id").limit(5000).toPandas()  # a bounded training set
-    groups = [g for _, g in rows.groupby("qid")]
-    w = coordinate_ascent([g[["f0", "f1", "f2"]].to_numpy() for g in groups], [g["grade"].to_numpy() for g in groups]) if groups else np.ones(3) / 3
-    score = sum((F.col(f"f{i}") * F.lit(float(w[i])) for i in range(3)), F.lit(0.0))
-    from pyspark.sql import Window
+    found = retrieval.bm25_topk(spark, sf_dir).join(docs, "doc_id").join(labels, "doc_id", "left")
+    return found.select("qid", "doc_id", (F.col("score") / 20).alias("f0"), (F.log1p("n_chars") / 10).alias("f1"), (1 / F.col("rank")).alias("f2"), F.coalesce("grade", F.lit(0.0)).alias("grade"))
+
 
+def training(feats: DataFrame, rows: int = 5000) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Features and grades of the even queries, a query an entry; a bounded set of at most `rows` results."""
+    sample = feats.filter("qid % 2 = 0").orderBy("qid", "doc_id").limit(rows).toPandas()
+    groups = [g for _, g in sample.groupby("qid")]
+    return [g[["f0", "f1", "f2"]].to_numpy() for g in groups], [g["grade"].to_numpy() for g in groups]
+
+
+def ranked(feats: DataFrame, score: Column) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.round("s", 9).desc(), "doc_id")
     return feats.withColumn("s", score).select("qid", "doc_id", F.row_number().over(order).alias("new_rank"))
 
 
-QUERIES = {"q12_mmr": q_mmr, "q13_xquad": q_xquad, "q16_learned_rank": q_learned_rank}
+def linear(w: np.ndarray) -> Column:
+    return sum((F.col(f"f{i}") * F.lit(float(w[i])) for i in range(3)), F.lit(0.0))
+
+
+def q_learned_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search results in the order of a linear model found by coordinate ascent; scoring is a plain expression."""
+    feats = features(spark, sf_dir)
+    x, y = training(feats)
+    return ranked(feats, linear(coordinate_ascent(x, y) if x else np.ones(3) / 3))
+
+
+def q_rank_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = features(spark, sf_dir)
+    x, y = training(feats)
+    return ranked(feats, linear(rank_svm(x, y) if x else np.zeros(3)))
+
+
+def q_rank_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = features(spark, sf_dir)
+    stumps = rank_boost(*training(feats))
+    return ranked(feats, sum((F.when(F.col(f"f{f}") > t, sign * w).otherwise(0.0) for f, t, sign, w in stumps), F.lit(0.0)))
+
+
+QUERIES = {"q12_mmr": q_mmr, "q13_xquad": q_xquad, "q16_learned_rank": q_learned_rank, "q17_rank_svm": q_rank_svm, "q18_rank_boost": q_rank_boost}
 ORACLES: dict[str, str] = {}
