@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 BITS, BANDS, NEAR = 64, 4, 3
 
@@ -26,7 +26,7 @@ def word_hash(word: Column) -> Column:
 
 def simhash(docs: DataFrame) -> DataFrame:
     """doc_id, simhash: a bit is set where more of the document's words have it than not. Votes are sums, combined before the shuffle."""
-    words = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).select("doc_id", word_hash(F.col("w")).alias("h"))
+    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(tokens(F.col("text"))).alias("w")).select("doc_id", word_hash(F.col("w")).alias("h"))
     votes = [F.sum(F.when(F.col("h").bitwiseAND(F.lit(1 << i if i < 63 else -(1 << 63))) != 0, 1).otherwise(-1)).alias(f"v{i}") for i in range(BITS)]
     sums = words.groupBy("doc_id").agg(*votes)
     out = F.lit(0).cast("long")
@@ -76,7 +76,7 @@ def minhash(docs: DataFrame, slots: int = 64, k: int = 3) -> DataFrame:
     """
     t = F.lower(F.col("text"))
     ahead = F.when(F.length(t) >= k, F.regexp_extract_all(t, F.lit("(?s)(?=(%s))." % ("." * k)), F.lit(1))).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
-    shingles = docs.select("doc_id", F.explode_outer(F.array_distinct(ahead)).alias("s")).select("doc_id", F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 8), 16, 10).cast("long").alias("h"))
+    shingles = spread(docs.select("doc_id", "text")).select("doc_id", F.explode_outer(F.array_distinct(ahead)).alias("s")).select("doc_id", F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 8), 16, 10).cast("long").alias("h"))
     least = [F.coalesce(F.min((F.col("h") % PRIME * slot(i)[0] + slot(i)[1]) % PRIME), F.lit(0)).alias(f"m{i}") for i in range(slots)]
     return shingles.groupBy("doc_id").agg(*least).select("doc_id", F.array(*[F.col(f"m{i}") for i in range(slots)]).alias("signature"))
 

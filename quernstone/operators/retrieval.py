@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import scoring
 
 K1, B, STOP, TOP = 1.2, 0.75, 0.5, 10
@@ -123,14 +123,26 @@ class Index:
 
     def __init__(self, docs: DataFrame, dense: bool = False):
         """dense: N is the number of documents, for ids that are no count."""
-        docs = docs.select("doc_id", "text").filter("text IS NOT NULL")
-        self.docs, self.lengths = docs, doc_lengths(docs)
+        docs = spread(docs.select("doc_id", "text").filter("text IS NOT NULL"))
+        self.docs, self.lengths, self.dense = docs, doc_lengths(docs), dense
         self.stats, self.postings = corpus_stats(self.lengths, dense), postings(docs)
 
     def terms(self, wanted: DataFrame | None = None) -> DataFrame:
-        """term, df, cf of the terms in the index: stop n-grams are not."""
+        """term, df, cf of the terms in the index (of those wanted, if given): stop n-grams are not."""
+        if wanted is not None:
+            names = [r["term"] for r in wanted.select("term").limit(scoring.HELD + 1).collect()]
+            if len(names) <= scoring.HELD:
+                rows = [(t, *x) for t, x in self.known(names)[0].items()]
+                return wanted.sparkSession.createDataFrame(rows, "term string, df long, cf long")
         return kept_terms(term_counts(self.docs, wanted), self.stats)
 
+    def known(self, names: list[str]) -> tuple[dict[str, tuple[int, int]], int, float]:
+        """({term: (df, cf)} of those of the terms that are in the index, N, average length)."""
+        found, docs, last, total = scoring.statistics(self.docs, names)
+        n = docs if self.dense else last + 1
+        kept = {t: x for t, x in found.items() if (STOP <= 0 or x[0] <= n * STOP) and not all(unicodedata.category(c)[0] == "P" for c in t)}
+        return kept, n, total / max(docs, 1)
+
     def matching(self, q: DataFrame) -> DataFrame:
         """q (qid, term, ...) with doc_id, tf, df, cf: the few query terms reach the tokens before they are counted."""
         wanted = q.select("term").distinct()
@@ -150,11 +162,9 @@ class Index:
             asked = asked if len(rows) <= scoring.HELD else [None] * (scoring.HELD + 1)
         if len(asked) > scoring.HELD or sum(len(stands.get(r["term"], ())) for r in asked) > 32 * scoring.HELD:
             return None
-        names = asked if expanded is None else [(x,) for x in {e for r in asked for e in stands.get(r["term"], ())}]
-        wanted = q.select("term").distinct() if expanded is None else q.sparkSession.createDataFrame(names, "term string")
-        known = {r["term"]: r["df"] for r in self.terms(wanted).select("term", "df").collect()}  # at most a row a query term
-        n, average = self.stats.select("n", "avgdl").first()
-        weigh = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, df in known.items()}
+        names = {r["term"] for r in asked} if expanded is None else {e for r in asked for e in stands.get(r["term"], ())}
+        known, n, average = self.known(sorted(names))
+        weigh = {t: math.log1p((n - df + 0.5) / (df + 0.5)) for t, (df, _) in known.items()}
         code = {t: scoring.packed(t) for t in known}
         weights, groups, size = {}, {}, {}
         for r in asked:
@@ -175,7 +185,7 @@ class Index:
         if ready is not None:
             if not ready[0]:
                 return q.sparkSession.createDataFrame([], "qid long, rank int, doc_id long, score double")
-            return top(scoring.best(prepared(self.docs), *ready, k, K1, B), k)
+            return top(scoring.best(self.docs, *ready, k, K1, B), k)
         if expanded is None:
             scores = self.scored(self.matching(q), weight)
             return top(scores if share is None else enough(scores, q, share), k)
@@ -323,7 +333,7 @@ def q_qpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     if ready is None:
         scope = index.matching(q).groupBy("qid").agg(F.count_distinct("doc_id").alias("docs"))
     else:
-        scope = scoring.matched(prepared(index.docs), ready[0]) if ready[0] else q.select("qid", F.lit(0).alias("docs")).distinct()
+        scope = scoring.matched(index.docs, ready[0]) if ready[0] else q.select("qid", F.lit(0).alias("docs")).distinct()
     scope = scope.crossJoin(F.broadcast(index.stats)).select("qid", (F.col("docs") / F.col("n")).alias("scope"))
     out = q.select("qid").distinct().join(base, "qid", "left").join(scope, "qid", "left")
     cols = [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("avg_idf", "max_idf", "scope", "scq")]

@@ -10,6 +10,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an input, as the planner estimates them, up to which `spread` deals its rows anew.
+SMALL = 512 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores if the input is small: a small file may be one row group, which one task reads whole.
+
+    Larger inputs have row groups for all cores and stay as they lie, so that no large table is shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, df.columns[0]) if size <= SMALL else df
+
+
 #: The events table read as an agent's wire log: a session per user, one call id for every seven k.
 WIRE_SQL = """
 wire AS (
