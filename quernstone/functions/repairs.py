@@ -201,6 +201,16 @@ def sanitized(text: str) -> str:
     return out.strip()
 
 
+def cased(text: str, mode: str = "keep", most: int = 0) -> str:
+    """In lower or title case but for code in backticks, then cut to `most` characters (0: not)."""
+    turn = {"lower": str.lower, "title": str.title}.get(mode)
+    if turn:
+        codes = _CODE.findall(text)
+        parts = [turn(p) for p in _CODE.split(text)]
+        text = parts[0] + "".join(c + p for c, p in zip(codes, parts[1:]))
+    return text[:most] if most > 0 else text
+
+
 def valid(text: str, most: int = 100) -> str:
     """Without characters that stand for nothing, runs of one character cut to `most`."""
     return re.sub(rf"(.)\1{{{most},}}", lambda m: m[1] * most, _FAULTY.sub("", text))
@@ -336,6 +346,13 @@ def q_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(single(sanitized)(dirty).cast("binary")).alias("digest"))
 
 
+def q_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages in lower case behind code that keeps its case, cut."""
+    ship(spark)
+    text = F.concat(F.lit("Run `Make ALL` in ```\nA B\n``` Then "), "text")
+    return table(spark, sf_dir, "benchmark").select("item_id", single(lambda t: cased(t, "lower", 100))(text).alias("text"))
+
+
 def q_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages with a private character, a replacement character and a run of 150 letters."""
     ship(spark)
@@ -365,7 +382,7 @@ def q_normal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 QUERIES = {
     "a09_relaxed_json": q_relaxed, "c20_inlined_schema": q_inlined, "c21_inferred_types": q_types, "c21_schema_types": q_schema_types, "c19_clamp": q_clamp, "c18_argument_repair": q_repair, "c29_hash_edits": q_edits, "c28_c30_diffs": q_diff,
-    "c16_sanitized": q_sanitized, "c15_valid_text": q_valid, "c22_program_output": q_output, "c35_c36_event_types": q_normal_types,
+    "c16_sanitized": q_sanitized, "c15_valid_text": q_valid, "c17_cased": q_cased, "c22_program_output": q_output, "c35_c36_event_types": q_normal_types,
 }
 ORACLES = {
     "a09_relaxed_json": f"SELECT event_id, CASE WHEN event_id % 6 <> 4 THEN '{{\"k\":' || {_K} || ',\"ok\":true}}' END AS json FROM events",
@@ -377,6 +394,7 @@ ORACLES = {
     "c29_hash_edits": r"SELECT doc_id, md5('A' || chr(10) || 'B' || CASE WHEN contains(text, chr(10)) THEN chr(10) || 'C' || substring(text, instr(text, chr(10))) ELSE '' END) AS digest FROM documents",
     "c28_c30_diffs": "SELECT doc_id, CAST(1 AS BIGINT) AS removed, CAST(1 AS BIGINT) AS added, CAST(1 AS BIGINT) AS marked FROM documents",
     "c16_sanitized": r"SELECT item_id, md5('No 1! `a  b???` ' || regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([!?.,;:~])[!?.,;:~]{2,}', '\1', 'g') || ' ?') AS digest FROM benchmark",
+    "c17_cased": "SELECT item_id, left('run `Make ALL` in ```' || chr(10) || 'A B' || chr(10) || '``` then ' || lower(text), 100) AS text FROM benchmark",
     "c15_valid_text": "SELECT item_id, md5(repeat('z', 100) || text) AS digest FROM benchmark",
     "c22_program_output": "SELECT item_id, md5(text || '  1  end') AS digest FROM benchmark",
     "c35_c36_event_types": f"""SELECT event_id, CASE k % 3 WHEN 0 THEN 'SubagentEvent' WHEN 2 THEN 'StepBegin' ELSE CASE WHEN k % 2 = 0 THEN 'TextPart' ELSE 'ThinkPart' END END AS type, CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN 'TextPart' ELSE 'ThinkPart' END END AS inner, CASE WHEN k % 4 = 0 THEN '{{broken' ELSE '{{"k":' || k || '}}' END AS args FROM (SELECT event_id, {_K} AS k FROM events)""",

@@ -121,6 +121,12 @@ def q_call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("tool").agg(F.sum(F.greatest(F.lit(0), F.col("t1") - F.col("t0"))).alias("tokens"), F.count(F.lit(1)).alias("pairs"))
 
 
+def q_cost_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by tool with a row of all; what parallel calls span counts for each of them."""
+    by_tool = q_call_cost(spark, sf_dir)
+    return by_tool.rollup("tool").agg(F.sum("tokens").alias("tokens"), F.sum("pairs").alias("pairs")).select(F.coalesce("tool", F.lit("(all)")).alias("tool"), "tokens", "pairs")
+
+
 def q_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Begin and end balance with a counter that never falls below zero, calls and results without the other, score."""
     e = wire(spark, sf_dir)
@@ -240,7 +246,7 @@ def q_merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "j07_call_result_pairs": q_pairs, "j08_last_result": q_last_result, "j21_first_pair": q_first_pair, "j11_call_token_cost": q_call_cost, "g05_tool_stats": q_tool_stats, "g06_turn_metrics": q_turn_metrics,
+    "j07_call_result_pairs": q_pairs, "j08_last_result": q_last_result, "j21_first_pair": q_first_pair, "j11_call_token_cost": q_call_cost, "g08_cost_total": q_cost_total, "g05_tool_stats": q_tool_stats, "g06_turn_metrics": q_turn_metrics,
     "w04_turn_outliers": q_turn_outliers, "w01_turn_step_numbers": q_turn_numbers, "w03_running_tokens": q_running_tokens, "w05_gaps": q_gaps, "w06_integrity": q_integrity, "w07_merged_intervals": q_merge_intervals,
     "w08_time_deltas": q_deltas, "w15_truncate_at_turn": q_truncate_turn, "w17_pending_since_usage": q_pending, "w19_event_ordinal": q_ordinal, "w21_call_runs": q_runs, "w22_duplicate_calls": q_duplicates,
     "g13_session_summary": q_session_summary, "g14_daily_usage": q_daily, "g14_tool_usage": q_tool_usage, "g20_event_types": q_event_types, "g27_session_bounds": q_bounds, "b14_event_filter": q_event_filter, "b24_event_summary": q_summary_text,
@@ -262,6 +268,7 @@ ORACLES = {
     "j08_last_result": f"{_W}, l AS (SELECT session_id, call_id, max(idx) AS result_idx, max_by(is_error, idx) AS f FROM wire WHERE type = 'ToolResult' GROUP BY ALL) SELECT session_id, idx, call_id, result_idx, coalesce(f, false) AS failed FROM wire LEFT JOIN l USING (session_id, call_id) WHERE type = 'ToolCall'",
     "j21_first_pair": f"{_W} SELECT session_id, call_id, round(min_by(ts, idx) FILTER (type = 'ToolResult') - min_by(ts, idx) FILTER (type = 'ToolCall'), 3) AS duration FROM wire WHERE type IN ('ToolCall', 'ToolResult') GROUP BY ALL",
     "j11_call_token_cost": f"{_W}, {_PAIRS}, t AS (SELECT session_id, idx, sum(CASE WHEN type = 'StatusUpdate' THEN tokens_in + tokens_out ELSE 0 END) {_RUN} AS total FROM wire) SELECT tool, CAST(sum(greatest(0, b.total - a.total)) AS BIGINT) AS tokens, count(*) AS pairs FROM pairs JOIN t a ON a.session_id = pairs.session_id AND a.idx = call_idx JOIN t b ON b.session_id = pairs.session_id AND b.idx = result_idx GROUP BY tool",
+    "g08_cost_total": f"{_W}, {_PAIRS}, t AS (SELECT session_id, idx, sum(CASE WHEN type = 'StatusUpdate' THEN tokens_in + tokens_out ELSE 0 END) {_RUN} AS total FROM wire) SELECT coalesce(tool, '(all)') AS tool, CAST(sum(greatest(0, b.total - a.total)) AS BIGINT) AS tokens, count(*) AS pairs FROM pairs JOIN t a ON a.session_id = pairs.session_id AND a.idx = call_idx JOIN t b ON b.session_id = pairs.session_id AND b.idx = result_idx GROUP BY ROLLUP (tool)",
     "g05_tool_stats": f"{_W}, {_PAIRS}, c AS (SELECT tool, count(*) AS calls FROM wire WHERE type = 'ToolCall' GROUP BY tool), d AS (SELECT tool, count(*) FILTER (NOT is_error) AS succeeded, count(*) FILTER (is_error) AS failed, round(avg(duration), 3) AS avg_s, round(min(duration), 3) AS min_s, round(max(duration), 3) AS max_s FROM pairs GROUP BY tool) SELECT c.tool, calls, succeeded, failed, avg_s, min_s, max_s, round(CASE WHEN succeeded + failed > 0 THEN 100 * failed / (succeeded + failed) ELSE 0 END, 4) AS failure_rate FROM c LEFT JOIN d USING (tool)",
     "g06_turn_metrics": f"{_W}, {_METRICS} SELECT * REPLACE (round(duration, 3) AS duration) FROM metrics",
     "w04_turn_outliers": f"{_W}, {_METRICS}, m AS (SELECT *, input_tokens + output_tokens AS tokens FROM metrics) SELECT session_id, turn, stddev_pop(steps) OVER w > 1e-9 AND steps > avg(steps) OVER w + 2 * stddev_pop(steps) OVER w + 1e-9 AS steps_high, stddev_pop(tokens) OVER w > 1e-9 AND tokens > avg(tokens) OVER w + 2 * stddev_pop(tokens) OVER w + 1e-9 AS tokens_high FROM m WINDOW w AS (PARTITION BY session_id)",

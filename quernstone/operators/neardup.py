@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread, table
 
-BITS, BANDS, NEAR = 64, 4, 3
+BITS, NEAR = 64, 3
+#: Blocks of a fingerprint's bits, first bit and width. What differs in NEAR bits at most agrees in three of the six.
+BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
 def tokens(text: Column) -> Column:
@@ -42,10 +45,16 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different fingerprints within NEAR bits, with the documents of each: copies are classes, not pairs.
 
-    Four bands of 16 bits: fingerprints that differ in three bits at most agree in one band.
+    A fingerprint is dealt once for each choice of three of its six blocks, by their 31 to 33 bits: a key that long is shared by few
+    fingerprints that aren't alike, at any number of documents.
     """
     classes = simhash(table(spark, sf_dir, "documents")).groupBy("simhash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"))
-    bands = classes.select("simhash", "rep", "docs", F.posexplode(F.array(*[F.shiftrightunsigned("simhash", 16 * b).bitwiseAND(0xFFFF) for b in range(BANDS)])).alias("band", "key"))
+    def masked(blocks: tuple[tuple[int, int], ...]) -> int:
+        bits = sum(((1 << width) - 1) << at for at, width in blocks)
+        return bits - (1 << 64) if bits >> 63 else bits
+
+    keys = [F.col("simhash").bitwiseAND(F.lit(masked(blocks)).cast("long")) for blocks in itertools.combinations(BLOCKS, len(BLOCKS) - NEAR)]
+    bands = classes.select("simhash", "rep", "docs", F.posexplode(F.array(*keys)).alias("band", "key"))
     a, b = bands.alias("a"), bands.alias("b")
     close = F.bit_count(F.col("a.simhash").bitwiseXOR(F.col("b.simhash")))
     found = a.join(b, ["band", "key"]).filter(F.col("a.rep") < F.col("b.rep")).select(F.col("a.rep").alias("rep_a"), F.col("b.rep").alias("rep_b"), F.col("a.docs").alias("docs_a"), F.col("b.docs").alias("docs_b"), close.cast("int").alias("bits"))
