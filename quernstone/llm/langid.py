@@ -175,8 +175,9 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
         return []
     each = max(1, rows // len(counts))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
-    place = F.xxhash64(F.col("doc_id"), F.lit(5)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    mark = F.xxhash64("doc_id", "text")
+    name = F.col("doc_id").cast("string")  # the same draw whatever the width of the ids
+    place = F.xxhash64(name, F.lit(5)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
+    mark = F.xxhash64(name, F.col("text"))
     drawn = labelled.filter(place < F.element_at(share, F.col("lang"))).select(mark.alias("mark"), "lang")
     edge = drawn.select("mark").orderBy("mark").limit(2 * rows).agg(F.max("mark")).first()[0]  # a repeated id may draw many rows
     if edge is None:
