@@ -1,0 +1,104 @@
+"""In the driver: an event bus with bounded queues, and a cache of results that ends entries by age and runs equal requests once."""
+
+from __future__ import annotations
+
+import asyncio
+import logging
+import threading
+import time
+from collections import deque
+from collections.abc import Callable, Hashable
+
+log = logging.getLogger(__name__)
+
+
+class Bus:
+    """Events by name to functions, called at once, and to queues, read later or awaited. A subscriber sees what comes after it; a full queue drops."""
+
+    def __init__(self, most: int = 1000):
+        self.most, self.lock = most, threading.Lock()
+        self.calls: dict[str, list[Callable]] = {}
+        self.queues: dict[str, list[deque]] = {}
+        self.waiting: dict[str, list[tuple[asyncio.AbstractEventLoop, asyncio.Queue]]] = {}
+
+    def on(self, name: str, fn: Callable) -> Callable[[], None]:
+        """Call fn for each event of the name; the function that is returned ends it."""
+        with self.lock:
+            self.calls.setdefault(name, []).append(fn)
+        return lambda: self.calls[name].remove(fn)
+
+    def queue(self, name: str) -> deque:
+        got: deque = deque()
+        with self.lock:
+            self.queues.setdefault(name, []).append(got)
+        return got
+
+    def queue_async(self, name: str) -> asyncio.Queue:
+        """A queue of the running loop."""
+        got: asyncio.Queue = asyncio.Queue(self.most)
+        with self.lock:
+            self.waiting.setdefault(name, []).append((asyncio.get_running_loop(), got))
+        return got
+
+    def publish(self, name: str, event: object) -> int:
+        """Hand the event on; returns how many took it. A function that fails doesn't keep it from the others."""
+        with self.lock:
+            calls, queues, waiting = (list(x.get(name, ())) for x in (self.calls, self.queues, self.waiting))
+        taken = 0
+        for fn in calls:
+            try:
+                fn(event)
+                taken += 1
+            except Exception:
+                log.exception("a subscriber of %s failed", name)
+        for q in queues:
+            if len(q) >= self.most:
+                log.warning("a queue of %s is full, an event is dropped", name)
+                continue
+            q.append(event)
+            taken += 1
+        for loop, q in waiting:
+            loop.call_soon_threadsafe(self._put, name, q, event)
+            taken += 1
+        return taken
+
+    @staticmethod
+    def _put(name: str, q: asyncio.Queue, event: object) -> None:
+        try:
+            q.put_nowait(event)
+        except asyncio.QueueFull:
+            log.warning("a queue of %s is full, an event is dropped", name)
+
+
+class Cache:
+    """Results by key for `ttl` seconds. Threads that ask for a key while it is made wait for the one result; errors aren't kept."""
+
+    def __init__(self, ttl: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.ttl, self.clock, self.lock = ttl, clock, threading.Lock()
+        self.held: dict[Hashable, tuple[float, object]] = {}
+        self.making: dict[Hashable, threading.Event] = {}
+
+    def get(self, key: Hashable, make: Callable[[], object]) -> object:
+        while True:
+            with self.lock:
+                got = self.held.get(key)
+                if got and self.clock() - got[0] < self.ttl:
+                    return got[1]
+                done = self.making.get(key)
+                if done is None:
+                    done = self.making[key] = threading.Event()
+                    break
+            done.wait()
+        try:
+            value = make()
+            with self.lock:
+                self.held[key] = (self.clock(), value)
+            return value
+        finally:
+            with self.lock:
+                del self.making[key]
+            done.set()
+
+    def drop(self, key: Hashable) -> None:
+        with self.lock:
+            self.held.pop(key, None)

@@ -294,3 +294,70 @@ def test_sensitive_names(spark):
     names = [(".env",), ("a/.env.prod",), (".env.sample",), ("x/.aws/credentials",), ("id_rsa.pub",), ("my.env",)]
     got = [r[0] for r in spark.createDataFrame(names, "path string").select(stores.sensitive(F.col("path"))).collect()]
     assert got == [True, True, False, True, False, False]
+
+
+# --- archives, bus, cache
+
+
+def test_archives(spark, tmp_path):
+    from quernstone.sources import archives
+
+    (tmp_path / "a.zip").write_bytes(archives.pack({"x/y.txt": b"12345", "z": b""}))
+    (tmp_path / "b.zip").write_bytes(b"broken")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    assert {tuple(r)[1:3] for r in archives.zip_entries(files).collect()} == {("x/y.txt", 5), ("z", 0)}
+    assert archives.unpack(archives.pack({"../up": b"1", "/abs": b"2", "ok": b"3"})) == {"ok": b"3"}
+    assert archives.docx_to_markdown(b"no") is None and archives.entries(None) == []
+
+
+def test_bus():
+    import asyncio
+
+    from quernstone.streaming.bus import Bus
+
+    bus, seen = Bus(most=2), []
+    bus.publish("a", 0)
+    end = bus.on("a", seen.append)
+    bus.on("a", lambda e: 1 / 0)
+    q = bus.queue("a")
+    assert [bus.publish("a", i) for i in (1, 2, 3)] == [2, 2, 1]
+    end()
+    bus.publish("a", 4)
+    assert seen == [1, 2, 3] and list(q) == [1, 2]
+
+    async def main():
+        waited = bus.queue_async("b")
+        for i in range(4):
+            bus.publish("b", i)
+        await asyncio.sleep(0)
+        return [await waited.get(), await waited.get(), waited.empty()]
+
+    assert asyncio.run(main()) == [0, 1, True]
+
+
+def test_cache():
+    import threading
+    import time
+
+    from quernstone.streaming.bus import Cache
+
+    now, made = [0.0], []
+    cache = Cache(5.0, lambda: now[0])
+
+    def make():
+        made.append(1)
+        time.sleep(0.05)
+        return len(made)
+
+    got = []
+    threads = [threading.Thread(target=lambda: got.append(cache.get("k", make))) for _ in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert got == [1] * 8 and cache.get("k", make) == 1
+    now[0] = 6.0
+    assert cache.get("k", make) == 2
+    with pytest.raises(ZeroDivisionError):
+        cache.get("e", lambda: 1 / 0)
+    assert cache.get("e", lambda: 7) == 7
