@@ -8,9 +8,10 @@ result is a table of probabilities of seen n-grams and weights of seen contexts.
 that of all its characters. Documents above the `QUANTILE` of their language's trusted documents,
 stretched by `SLACK`, are not kept.
 
-Two ways lead from the table to the scores, with the same result. Its size is that of the
-characters' habits, not of the corpus; as long as it has no more than `HELD` rows, each executor holds it as sorted
-arrays. Beyond that, documents' n-grams are counted per document, joined with the table in shards, and summed.
+The table is never held as a whole. A part of the documents (a stretch of a file, which tasks read alike each time) names its
+different n-grams and contexts, far fewer than its characters; these are dealt to shards by hash and looked up in the
+model's shards, and what is found goes back, a file for each part, to the shared folder. A second scan scores each
+document in its part with the part's own small table. So memory follows the part, not the model, and no text is shuffled.
 
 Defined results: null text and text without characters have no score and are not kept. A null
 language is a language of its own. A language without trusted documents takes the threshold of all.
@@ -25,13 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import map_text, maybe_in, slices, staged, table, trimmed
+from .common import file_system, maybe_in, shared_path, slices, staged, table, trimmed
 
-ORDER, QUANTILE, SLACK, HELD = 5, 0.99, 1.05, 6_000_000
+ORDER, QUANTILE, SLACK = 5, 0.99, 1.05
+#: Trusted ids up to which they are broadcast (8 bytes each; beyond, documents and ids are shuffled); n-grams that a part gathers before it names them.
+IDS, GATHERED = 1_000_000, 1 << 19
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"[0-9]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Places of the direct table.
@@ -55,15 +62,6 @@ def hashes(codes: np.ndarray, n: int) -> np.ndarray:
     return h if n else np.zeros(len(codes) + 1, np.uint64)
 
 
-def grams(codes: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """Of every character of a text: the hash of the n-gram that ends in it, of its context, of its suffix, of the suffix's context."""
-    size, first = len(codes) - (ORDER - 1), ORDER - n
-    full = hashes(codes, n)[first : first + size]
-    context = hashes(codes, n - 1)[first : first + size]
-    shorter = hashes(codes, n - 1)[first + 1 : first + 1 + size]
-    return full, context, shorter
-
-
 def _counted(docs: DataFrame) -> DataFrame:
     """(n, g, ctx, low, c): the n-grams of the documents; low is the n-gram without its first character; c counts the longest.
 
@@ -76,10 +74,7 @@ def _counted(docs: DataFrame) -> DataFrame:
                 texts = [c for t in part.column("text").to_pylist() if len(c := characters(t)) >= ORDER]
                 if not texts:
                     continue
-                codes = np.concatenate(texts)
-                real = np.ones(len(codes) - ORDER + 1, bool)  # not the n-grams that end in a later text's marks
-                for end in np.cumsum([len(c) for c in texts])[:-1]:
-                    real[end - ORDER + 1 : end] = False
+                codes, real = _joined(texts)
                 _, at, count = np.unique(hashes(codes, ORDER)[real], return_index=True, return_counts=True)
                 at = np.flatnonzero(real)[at]
                 runs = np.lib.stride_tricks.sliding_window_view(codes.astype("<u4"), ORDER)[at]
@@ -147,22 +142,29 @@ def train(trusted: DataFrame) -> DataFrame:
     return staged(every.join(weights, ["n", "g"], "full"), "model")
 
 
+def shard(g: np.ndarray, n: int) -> np.ndarray:
+    """The shard of n-grams, as `model_shard` has it."""
+    return (g.view(np.int64) >> 17) % n
+
+
+def model_shard(n: int):
+    return F.pmod(F.shiftright("g", 17), F.lit(n)).cast("int")
+
+
 class Table:
-    """The model as sorted arrays; scores texts."""
+    """A part's rows of the model as sorted arrays; scores texts. Hashes tell n-grams of all orders apart."""
 
-    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], unknown: float):
-        self.g, self.p, self.b, self.unknown = {}, {}, {}, unknown
-        for n, g, p, b in rows:
-            order = np.argsort(g)
-            self.g[n], self.p[n], self.b[n] = g[order], np.log(p[order]), np.log(b[order])
+    def __init__(self, g: np.ndarray, p: np.ndarray, b: np.ndarray, unknown: float):
+        order = np.argsort(g)
+        self.g, self.unknown = g[order], unknown
+        self.p, self.b = (np.log(x[order].astype(np.float64)) for x in (p, b))
 
-    def look(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = self.g.get(n)
-        if known is None or not len(known):
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.g):
             return np.full(len(keys), np.nan), np.full(len(keys), np.nan)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        hit = known[at] == keys
-        return np.where(hit, self.p[n][at], np.nan), np.where(hit, self.b[n][at], np.nan)
+        at = np.minimum(np.searchsorted(self.g, keys), len(self.g) - 1)
+        hit = self.g[at] == keys
+        return np.where(hit, self.p[at], np.nan), np.where(hit, self.b[at], np.nan)
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each character; codes may hold several texts end to end, each behind its marks."""
@@ -176,14 +178,13 @@ class Table:
         return logs
 
     def direct(self) -> tuple[np.ndarray, np.ndarray]:
-        """The longest n-grams by their lowest bits, one for each place; built once a process."""
+        """n-grams with a probability by their lowest bits, one for each place."""
         if not hasattr(self, "_direct"):
-            key, value = np.zeros(DIRECT, np.int64), np.zeros(DIRECT, np.float32)
-            g = self.g.get(ORDER, np.empty(0, np.int64))
+            key, value = np.zeros(DIRECT, np.int64), np.zeros(DIRECT, np.float64)
             key[0] = 1  # no hash that belongs to place 0
-            fits = ~np.isnan(self.p[ORDER]) if len(g) else np.empty(0, bool)
-            key[g[fits] & (DIRECT - 1)] = g[fits]
-            value[g[fits] & (DIRECT - 1)] = self.p[ORDER][fits] if len(g) else 0
+            fits = ~np.isnan(self.p)
+            key[self.g[fits] & (DIRECT - 1)] = self.g[fits]
+            value[self.g[fits] & (DIRECT - 1)] = self.p[fits]
             self._direct = key, value
         return self._direct
 
@@ -193,105 +194,191 @@ class Table:
         out, rest, left = np.full(len(known), np.nan), np.zeros(len(known)), np.arange(len(known))
         for n in range(ORDER, 0, -1):
             at = first[left] + ORDER - n
-            p, _ = self.look(n, hashes(codes, n).view(np.int64)[at])
+            p, _ = self.look(hashes(codes, n).view(np.int64)[at])
             hit = ~np.isnan(p)
             out[left[hit]] = p[hit] + rest[left[hit]]
             left, at = left[~hit], at[~hit]
             if not len(left):
                 break
-            _, b = self.look(n - 1, hashes(codes, n - 1).view(np.int64)[at])
+            _, b = self.look(hashes(codes, n - 1).view(np.int64)[at])
             rest[left] += np.where(np.isnan(b), 0.0, b)
         out[left] = self.unknown + rest[left]
         return out[which]
 
 
-def held(model: DataFrame) -> Table:
-    """The whole model on the driver; only called for models of at most HELD rows."""
-    got = model.select("n", "g", F.coalesce("p", F.lit(float("nan"))).cast("float").alias("p"), F.coalesce("b", F.lit(float("nan"))).cast("float").alias("b")).toArrow()
-    n = got["n"].to_numpy()
-    cols = [got[c].to_numpy() for c in ("g", "p", "b")]
-    return Table([(int(k), *(c[n == k] for c in cols)) for k in np.unique(n)], unknown_character(model))
-
-
 def unknown_character(model: DataFrame) -> float:
     kinds = model.filter("n = 1 AND p IS NOT NULL").count()
-    weight = model.filter("n = 0").agg(F.max("b")).first()[0] or 1.0
     return math.log(1.0 / (kinds + 1)) if kinds else _FLOOR
 
 
-def _scored_held(docs: DataFrame, table_: Table) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(table_)  # at most HELD rows
-
-    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = [characters(t) for t in batch.column("text").to_pylist()]
-        every = np.concatenate(codes)
-        logs = shared.value.log_probability(every) if len(every) >= ORDER else np.empty(0)
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
-        ends = np.cumsum([len(c) for c in codes])
-        size = np.array([max(0, len(c) - ORDER + 1) for c in codes])
-        stop = np.maximum(ends - ORDER + 1, 0)
-        total = sums[stop] - sums[np.maximum(stop - size, 0)]
-        out = [batch.column(c) for c in batch.schema.names if c != "text"]
-        return pa.RecordBatch.from_arrays([*out, pa.array(size, pa.int64()), pa.array(total)], [*(c for c in batch.schema.names if c != "text"), "n_characters", "log_p"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return map_text(docs, f"{kept}, n_characters long, log_p double", score)
-
-
-def _scored_joined(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by joins: each document's different n-grams with their counts, backing off order by order."""
-    rest = [f for f in docs.schema.fields if f.name != "text"]
-    docs = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, counts, cols = [], [], [[] for _ in range(ORDER * 2)]
-        for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist()):
-            codes = characters(text)
-            if len(codes) < ORDER:
+def parted(docs: DataFrame) -> DataFrame:
+    """docs with _part, the stretch of a file that a row was read from; rows that come from no file are written first."""
+    part = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    try:
+        loose = not docs.filter(F.input_file_name() == "").limit(1).isEmpty()
+    except AnalysisException:  # rows of several sources
+        loose = True
+    return (staged(docs, "docs") if loose else docs).withColumn("_part", part)
+
+
+def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of texts end to end, and for each run of ORDER codes whether it ends in a character and not in a later text's marks."""
+    codes = np.concatenate(texts)
+    real = np.ones(len(codes) - ORDER + 1, bool)
+    for end in np.cumsum([len(c) for c in texts])[:-1]:
+        real[end - ORDER + 1 : end] = False
+    return codes, real
+
+
+def _named(docs: DataFrame, shards: int) -> DataFrame:
+    """(r, _part, blob): for each part and shard the hashes of the n-grams and contexts that its texts hold."""
+
+    def every(windows: np.ndarray) -> np.ndarray:
+        """The n-grams and contexts within runs of ORDER codes, one run a row."""
+        flat, at = np.ascontiguousarray(windows).reshape(-1).astype(np.uint64), np.arange(len(windows)) * ORDER
+        own = [hashes(flat, n)[at + ORDER - n] for n in range(1, ORDER + 1)] + [hashes(flat, n - 1)[at + ORDER - n] for n in range(1, ORDER + 1)]
+        return np.unique(np.concatenate(own))
+
+    def out(part: int, windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not windows:
+            return
+        keys = every(np.concatenate(windows))
+        to = shard(keys, shards)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        blobs = [keys[order[cuts[r] : cuts[r + 1]]].tobytes() for r in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), part)), pa.array(blobs, pa.binary())], ["r", "_part", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen, windows, held = None, np.zeros(DIRECT, np.uint64), [], 0
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for part, own in _by_part(piece):
+                    if part != now or held > GATHERED:
+                        yield from out(now, windows)
+                        now, windows, held = part, [], 0
+                        seen[:] = 0
+                        seen[0] = 1  # no hash that belongs to place 0
+                    texts = [c for t in own.column("text").to_pylist() if len(c := characters(t)) >= ORDER]
+                    if not texts:
+                        continue
+                    codes, real = _joined(texts)
+                    h = hashes(codes, ORDER)
+                    place = h & np.uint64(DIRECT - 1)
+                    new = np.flatnonzero(real & (seen[place] != h))
+                    _, first = np.unique(h[new], return_index=True)
+                    at = new[first]
+                    seen[place[at]] = h[at]
+                    windows.append(np.lib.stride_tricks.sliding_window_view(codes.astype("<u4"), ORDER)[at])
+                    held += len(at)
+        yield from out(now, windows)
+
+    return docs.select("_part", "text").mapInArrow(trimmed(run), "r int, _part long, blob binary")
+
+
+def _by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    parts = batch.column("_part").to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield int(parts[a]), batch.slice(a, b - a)
+
+
+def _looked_up(model: DataFrame, named: DataFrame, shards: int) -> DataFrame:
+    """(_part, blob): what the model's shards know of the n-grams that the parts name: hashes, probabilities, weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, known = [], None
+        for batch in batches:
+            own = batch.filter(pc.is_null(batch.column("blob")))
+            if own.num_rows:  # the model's rows come before the parts'
+                rows.append([own.column(c).to_numpy(zero_copy_only=False) for c in ("g", "p", "b")])
+            asked = batch.filter(pc.is_valid(batch.column("blob")))
+            if not asked.num_rows or not rows:
                 continue
-            _, at, c = np.unique(hashes(codes, ORDER), return_index=True, return_counts=True)
-            rows.append(np.full(len(at), row))
-            counts.append(c)
-            for n in range(1, ORDER + 1):
-                g, ctx, _ = grams(codes, n)
-                cols[2 * n - 2].append(g[at].view(np.int64))
-                cols[2 * n - 1].append(ctx[at].view(np.int64))
-        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
-        return pa.RecordBatch.from_arrays([join(rows), join(counts), *map(join, cols)], names)
-
-    names = ["_row", "_c", *(f"{k}{n}" for n in range(1, ORDER + 1) for k in ("g", "x"))]
-    open_ = staged(map_text(docs.select("_row", "text"), ", ".join(f"{c} long" for c in names), count).withColumn("_log", F.lit(0.0)), "grams")
-    unknown, sums = unknown_character(model), []
-    for n in range(ORDER, 0, -1):
-        probabilities = model.filter((F.col("n") == n) & F.col("p").isNotNull()).select(F.col("g").alias(f"g{n}"), F.log(F.col("p").cast("float")).alias("_p"))
-        found = open_.join(probabilities, f"g{n}", "left")
-        sums.append(found.filter("_p IS NOT NULL").groupBy("_row").agg(F.sum((F.col("_log") + F.col("_p")) * F.col("_c")).alias("_s")))
-        weights = model.filter((F.col("n") == n - 1) & F.col("b").isNotNull()).select(F.col("g").alias(f"x{n}"), F.log(F.col("b").cast("float")).alias("_b"))
-        open_ = staged(found.filter("_p IS NULL").drop("_p").join(weights, f"x{n}", "left").withColumn("_log", F.col("_log") + F.coalesce("_b", F.lit(0.0))).drop("_b"), "open")
-    sums.append(open_.groupBy("_row").agg(F.sum((F.col("_log") + unknown) * F.col("_c")).alias("_s")))
-    total = sums[0]
-    for more in sums[1:]:
-        total = total.unionByName(more)
-    size = map_text(docs.select("_row", "text"), "_row long, n_characters long", lambda b: pa.RecordBatch.from_arrays([b.column("_row"), pa.array([max(0, len(characters(t)) - ORDER + 1) for t in b.column("text").to_pylist()], pa.int64())], ["_row", "n_characters"]))
-    total = total.groupBy("_row").agg(F.sum("_s").alias("log_p"))
-    return docs.drop("text").join(size, "_row").join(total, "_row", "left").select(*(f.name for f in rest), "n_characters", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
-
-
-def judge(docs: DataFrame, trusted_ids: DataFrame, held_rows: int = HELD) -> DataFrame:
+            if known is None:
+                g, p, b = (np.concatenate(x) for x in zip(*rows))
+                order = np.argsort(g)
+                known = [x[order] for x in (g, p.astype("<f4"), b.astype("<f4"))]
+            out = []
+            for blob in asked.column("blob"):
+                keys = np.frombuffer(blob.as_buffer(), "<i8")
+                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+                at = at[known[0][at] == keys]
+                out.append(b"".join(x[at].tobytes() for x in known))
+            yield pa.RecordBatch.from_arrays([asked.column("_part"), pa.array(out, pa.binary())], ["_part", "blob"])
+
+    own = model.select(model_shard(shards).alias("r"), F.lit(None).cast("long").alias("_part"), F.lit(None).cast("binary").alias("blob"), "g", "p", "b")
+    asked = named.select("r", "_part", "blob", *(F.lit(None).cast(k).alias(c) for c, k in (("g", "long"), ("p", "double"), ("b", "double"))))
+    dealt = own.unionByName(asked).repartitionById(shards, F.col("r")).sortWithinPartitions(F.col("_part").asc_nulls_first())
+    return dealt.mapInArrow(trimmed(run), "_part long, blob binary")
+
+
+def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
+    """docs without text, with n_characters and log_p (natural log of the probability of all its characters)."""
+    spark = docs.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs, unknown = parted(docs), unknown_character(model)
+    path = shared_path(spark, "parts")
+    _looked_up(model, _named(docs, shards), shards).repartition(shards, "_part").write.partitionBy("_part").parquet(path)
+
+    def table_of(part: int) -> Table:
+        fs, base = file_system(path)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/_part={part}", allow_not_found=True))
+        blobs = [bytes(x.as_buffer()) for f in found if f.path.endswith(".parquet") for x in _blobs(fs, f.path)]
+        cols = [[], [], []]
+        for blob in blobs:
+            n = len(blob) // 16
+            for into, kind, at in zip(cols, ("<i8", "<f4", "<f4"), (0, 8 * n, 12 * n)):
+                into.append(np.frombuffer(blob, kind, n, at))
+        return Table(*(np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, ("<i8", "<f4", "<f4"))), unknown)
+
+    names = [f.name for f in docs.schema.fields if f.name not in ("text", "_part")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table_ = None, None
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                for part, own in _by_part(piece):
+                    if part != now:
+                        now, table_ = part, table_of(part)
+                    codes = [characters(t) for t in own.column("text").to_pylist()]
+                    every = np.concatenate(codes)
+                    logs = table_.log_probability(every) if len(every) >= ORDER else np.empty(0)
+                    sums = np.concatenate([[0.0], np.cumsum(logs)])
+                    ends = np.cumsum([len(c) for c in codes])
+                    size = np.array([max(0, len(c) - ORDER + 1) for c in codes])
+                    stop = np.maximum(ends - ORDER + 1, 0)
+                    total = sums[stop] - sums[np.maximum(stop - size, 0)]
+                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(size, pa.int64()), pa.array(total)], [*names, "n_characters", "log_p"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
+    return docs.mapInArrow(trimmed(run), f"{kept}, n_characters long, log_p double")
+
+
+def _blobs(fs: pyarrow.fs.FileSystem, path: str) -> pa.ChunkedArray:
+    with fs.open_input_file(path) as f:
+        return pyarrow.parquet.read_table(f, columns=["blob"])["blob"]
+
+
+def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """doc_id, lang, n_characters, perplexity, threshold, keep. trusted_ids: doc_id of the trusted documents."""
     ship(docs.sparkSession)
     trusted_ids = staged(trusted_ids.select("doc_id").distinct(), "trusted")
     docs = docs.select("doc_id", "lang", "text")
-    model = train(maybe_in(docs, "doc_id", trusted_ids, "doc_id").join(trusted_ids, "doc_id", "left_semi"))
-    known = model.count()
-    scored = _scored_held(docs, held(model)) if known <= held_rows else _scored_joined(docs, model)
+    if trusted_ids.count() <= IDS:
+        trusted = docs.join(F.broadcast(trusted_ids), "doc_id", "left_semi")
+    else:
+        trusted = maybe_in(docs, "doc_id", trusted_ids, "doc_id").join(trusted_ids, "doc_id", "left_semi")
+    judged = scored(docs, train(trusted))
     perplexity = F.when(F.col("n_characters") > 0, F.exp(-F.col("log_p") / F.col("n_characters")))
-    scored = staged(scored.select("doc_id", "lang", "n_characters", perplexity.alias("perplexity")), "scores")
-    base = scored.filter("perplexity IS NOT NULL").join(trusted_ids, "doc_id", "left_semi")
+    judged = staged(judged.select("doc_id", "lang", "n_characters", perplexity.alias("perplexity")), "scores")
+    base = judged.filter("perplexity IS NOT NULL").join(trusted_ids, "doc_id", "left_semi")
     edge = (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("threshold")
     by_lang = base.groupBy("lang").agg(edge).select(F.col("lang").alias("_lang"), "threshold")
     overall = base.agg(edge).first()[0]
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    out = judged.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(overall).cast("double")))
     return out.withColumn("keep", F.coalesce(F.col("perplexity").isNotNull() & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))), F.lit(False)))
 

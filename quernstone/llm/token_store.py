@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import shared_path, slices, table
+from .common import file_system, shared_path, slices, table
 
 BLOCK, MAGIC, VERSION, LEVEL = 1 << 16, b"QBPS", 1, 3
 _HEAD, _FOOT = struct.Struct("<4sBBI"), struct.Struct("<QQQQ4s")
@@ -294,17 +294,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder that Spark names, and the path in it: s3a and s3n are s3; what pyarrow has no name for goes to Hadoop's library."""
-    scheme, colon, rest = uri.partition("://")
-    if not colon or scheme in ("file", "hdfs", "viewfs", "gs", "gcs", "abfs", "abfss", "s3"):
-        return pyarrow.fs.FileSystem.from_uri(uri if colon else f"file://{uri.removeprefix('file:')}")
-    if scheme in ("s3a", "s3n"):
-        return pyarrow.fs.FileSystem.from_uri(f"s3://{rest}")
-    host, slash, path = rest.partition("/")
-    return pyarrow.fs.HadoopFileSystem(f"{scheme}://{host}"), slash + path
-
-
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, planes: int = 4) -> list[dict]:
     """Encode docs into files below folder, in ascending doc_id order. Returns a row per file, in order: file, first id's place, docs, ids."""
     spark, path = docs.sparkSession, path or default_path()
