@@ -43,6 +43,8 @@ from .components import connected_components
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Runs up to this length are tested pair by pair at once.
 SHORT = 6
+#: Nodes of a run that are compared in one piece of work: longer runs are cut into slices of about so many, each pair of slices a piece.
+SLICE = 2048
 #: A node's first runs, by which a pair's run is chosen; nearest nodes that are tested before all.
 FIRSTS, NEAREST = 8, 1
 #: Nodes up to which a table of two numbers for each is broadcast, and bytes of sketches up to which theirs is; beyond, they are shuffled.
@@ -405,7 +407,8 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
     """Of runs (run, node, component): (run, a, b) pairs of different components whose sizes and sketches allow a link.
 
     nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
-    among their `FIRSTS` first ones, so that a pair isn't given by every run it is in.
+    among their `FIRSTS` first ones, so that a pair isn't given by every run it is in. A long run is dealt by pairs of its slices, so
+    that no task has to take it whole.
     """
     if nearest:  # they don't choose a pair's run
         known = sets.select("node", "n", "sketch", F.lit(None).cast("array<long>").alias("firsts")).join(runs.select("node").distinct(), "node", "left_semi")
@@ -415,10 +418,14 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
     known = staged(known, "known")
     held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
     rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
+    long_ = runs.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).filter("slices > 1")
+    rows = rows.join(long_, "run", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node", F.lit(12)), F.col("slices")).cast("int"))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k")).drop("slices", "_k")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs(run_id: int, rows: list[tuple]) -> Iterator[np.ndarray]:
-        node, comp, size = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+    def pairs(piece: tuple[int, int, int], rows: list[tuple]) -> Iterator[np.ndarray]:
+        run_id, lo, hi = piece
+        node, comp, size, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 5))
         raw = [np.frombuffer(r[3], "<u8") for r in rows]
         words = min(map(len, raw))
         sketch = np.stack([folded(x, words) for x in raw])
@@ -429,6 +436,8 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
             both = size[part, None] + size[None, :]
             ok = (comp[part, None] != comp[None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= both * (DENOMINATOR - NUMERATOR))
             ok &= np.minimum(size[part, None], size[None, :]) * DENOMINATOR >= np.maximum(size[part, None], size[None, :]) * NUMERATOR
+            if lo != hi:
+                ok &= side[part, None] != side[None, :]
             if nearest:
                 apart[~ok] = 1 << 40
                 k = min(nearest, len(rows) - 1)
@@ -436,7 +445,10 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
                 i = np.repeat(np.arange(len(apart)), k)
                 j = j.reshape(-1)
                 keep = ok[i, j]
-                i, j = i[keep] + at, j[keep]
+                i, j, far = i[keep] + at, j[keep], apart[i[keep], j[keep]]
+                if len(i):
+                    yield np.stack([node[i], node[j], far])
+                continue
             else:
                 ok &= np.arange(len(rows))[None, :] > np.arange(at, at + len(apart))[:, None]
                 i, j = np.nonzero(ok)
@@ -444,7 +456,7 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
                 first = [not any(r < run_id for r in set(rows[a][4]) & set(rows[b][4])) for a, b in zip(i.tolist(), j.tolist())]
                 i, j = i[first], j[first]
             if len(i):
-                yield np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+                yield np.stack([node[i], node[j], np.zeros(len(i), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -452,18 +464,21 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             for got in pairs(now, held) if len(held) > 1 else ():
                 for at in range(0, got.shape[1], 50_000):
-                    a, b = got[0, at : at + 50_000], got[1, at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), now)), pa.array(a), pa.array(b)], ["run", "a", "b"])
+                    i, j, far = (x[at : at + 50_000] for x in got)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), now[0])), pa.array(i), pa.array(j), pa.array(far)], ["run", "i", "j", "far"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("run", "node", "component", "n", "sketch", "firsts"))):
-                if key != now:
+            for run_id, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("run", "lo", "hi", "node", "component", "n", "sketch", "firsts", "side"))):
+                if (run_id, lo, hi) != now:
                     yield from out()
-                    now, held = key, []
+                    now, held = (run_id, lo, hi), []
                 held.append(tuple(row))
         yield from out()
 
-    return rows.repartition(n, "run").sortWithinPartitions("run").mapInArrow(trimmed(run), "run long, a long, b long")
+    found = rows.repartition(n, "run", "lo", "hi").sortWithinPartitions("run", "lo", "hi").mapInArrow(trimmed(run), "run long, i long, j long, far long")
+    if nearest:  # of a node's nearest in its pieces the nearest
+        found = found.groupBy("run", "i").agg(F.min(F.struct("far", "j")).alias("x")).select("run", "i", F.col("x.j").alias("j"))
+    return found.select("run", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
 def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:

@@ -490,7 +490,9 @@ def brute_components(rows):
     return {d: (len(s), least[find(i)]) for i, (d, s) in enumerate(sets)}
 
 
-def test_jaccard_join(spark):
+@pytest.mark.parametrize("piece", [2048, 7])
+def test_jaccard_join(spark, monkeypatch, piece):
+    monkeypatch.setattr(jaccard_join, "SLICE", piece)  # 7: the long runs are cut
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
 
