@@ -123,7 +123,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, dense: bool = False):
         """dense: N is the number of documents, for ids that are no count."""
-        docs = spread(docs.select("doc_id", "text").filter("text IS NOT NULL"))
+        docs = spread(docs.select("doc_id", "text").filter("text IS NOT NULL AND doc_id IS NOT NULL"))
         self.docs, self.lengths, self.dense = docs, doc_lengths(docs), dense
         self.stats, self.postings = corpus_stats(self.lengths, dense), postings(docs)
 

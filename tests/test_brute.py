@@ -178,7 +178,7 @@ def test_markdown_rows(spark, sf):
 
 def test_scoring_equals_joins(spark, monkeypatch):
     texts = ["the quick brown fox", "the quick brown dog", "中文测试文档", "中文", "a", "", None, "quikc borwn", "ＦＵＬＬ fox ﬁne", "zzz" * 500]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (None, "the quick fox")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "quick fox"), (2, "中文测"), (3, "full fine"), (4, "a"), (5, "nothing at all 123"), (6, "quikc")], "qid long, text string")
     index = retrieval.Index(docs)
     q = retrieval.query_terms(queries).withColumn("one", F.lit(1))
