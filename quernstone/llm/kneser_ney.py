@@ -39,6 +39,8 @@ from .common import file_system, maybe_in, shared_path, slices, staged, table, t
 ORDER, QUANTILE, SLACK = 5, 0.99, 1.05
 #: Trusted ids up to which they are broadcast (8 bytes each; beyond, documents and ids are shuffled); n-grams that a part gathers before it names them.
 IDS, GATHERED = 1_000_000, 1 << 19
+#: Bytes of text that are named or scored at once: a character takes some ten numbers of eight bytes.
+PIECE = 1 << 20
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"[0-9]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Places of the direct table.
@@ -152,12 +154,17 @@ def model_shard(n: int):
 
 
 class Table:
-    """A part's rows of the model as sorted arrays; scores texts. Hashes tell n-grams of all orders apart."""
+    """A part's rows of the model as sorted arrays; scores texts. Hashes tell n-grams of all orders apart. places: room for DIRECT keys and values, used anew."""
 
-    def __init__(self, g: np.ndarray, p: np.ndarray, b: np.ndarray, unknown: float):
+    def __init__(self, g: np.ndarray, p: np.ndarray, b: np.ndarray, unknown: float, places: tuple[np.ndarray, np.ndarray]):
         order = np.argsort(g)
-        self.g, self.unknown = g[order], unknown
+        self.g, self.unknown, self.key, self.value = g[order], unknown, *places
         self.p, self.b = (np.log(x[order].astype(np.float64)) for x in (p, b))
+        self.key[:] = 0
+        self.key[0] = 1  # no hash that belongs to place 0
+        fits = ~np.isnan(self.p)
+        self.key[self.g[fits] & (DIRECT - 1)] = self.g[fits]
+        self.value[self.g[fits] & (DIRECT - 1)] = self.p[fits]
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.g):
@@ -169,25 +176,13 @@ class Table:
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each character; codes may hold several texts end to end, each behind its marks."""
         own = hashes(codes, ORDER).view(np.int64)
-        key, value = self.direct()
         at = own & (DIRECT - 1)
-        logs = value[at].astype(np.float64)
-        rest = np.flatnonzero(key[at] != own)
+        logs = self.value[at].astype(np.float64)
+        rest = np.flatnonzero(self.key[at] != own)
         if len(rest):
             logs[rest] = self._backed_off(codes, own[rest], rest)
         return logs
 
-    def direct(self) -> tuple[np.ndarray, np.ndarray]:
-        """n-grams with a probability by their lowest bits, one for each place."""
-        if not hasattr(self, "_direct"):
-            key, value = np.zeros(DIRECT, np.int64), np.zeros(DIRECT, np.float64)
-            key[0] = 1  # no hash that belongs to place 0
-            fits = ~np.isnan(self.p)
-            key[self.g[fits] & (DIRECT - 1)] = self.g[fits]
-            value[self.g[fits] & (DIRECT - 1)] = self.p[fits]
-            self._direct = key, value
-        return self._direct
-
     def _backed_off(self, codes: np.ndarray, own: np.ndarray, where: np.ndarray) -> np.ndarray:
         known, first, which = np.unique(own, return_index=True, return_inverse=True)
         first = where[first]
@@ -253,7 +248,7 @@ def _named(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen, windows, held = None, np.zeros(DIRECT, np.uint64), [], 0
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 for part, own in _by_part(piece):
                     if part != now or held > GATHERED:
                         yield from out(now, windows)
@@ -323,7 +318,7 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
     path = shared_path(spark, "parts")
     _looked_up(model, _named(docs, shards), shards).repartition(shards, "_part").write.partitionBy("_part").parquet(path)
 
-    def table_of(part: int) -> Table:
+    def table_of(part: int, places: tuple[np.ndarray, np.ndarray]) -> Table:
         fs, base = file_system(path)
         found = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/_part={part}", allow_not_found=True))
         blobs = [bytes(x.as_buffer()) for f in found if f.path.endswith(".parquet") for x in _blobs(fs, f.path)]
@@ -332,17 +327,17 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
             n = len(blob) // 16
             for into, kind, at in zip(cols, ("<i8", "<f4", "<f4"), (0, 8 * n, 12 * n)):
                 into.append(np.frombuffer(blob, kind, n, at))
-        return Table(*(np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, ("<i8", "<f4", "<f4"))), unknown)
+        return Table(*(np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, ("<i8", "<f4", "<f4"))), unknown, places)
 
     names = [f.name for f in docs.schema.fields if f.name not in ("text", "_part")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, table_ = None, None
+        now, table_, places = None, None, (np.zeros(DIRECT, np.int64), np.zeros(DIRECT, np.float32))
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", PIECE):
                 for part, own in _by_part(piece):
                     if part != now:
-                        now, table_ = part, table_of(part)
+                        now, table_ = part, table_of(part, places)
                     codes = [characters(t) for t in own.column("text").to_pylist()]
                     every = np.concatenate(codes)
                     logs = table_.log_probability(every) if len(every) >= ORDER else np.empty(0)
@@ -359,7 +354,7 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 def _blobs(fs: pyarrow.fs.FileSystem, path: str) -> pa.ChunkedArray:
     with fs.open_input_file(path) as f:
-        return pyarrow.parquet.read_table(f, columns=["blob"])["blob"]
+        return pyarrow.parquet.read_table(f, columns=["blob"], use_threads=False, pre_buffer=False)["blob"]
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
