@@ -404,23 +404,22 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
-    """Of runs (run, node, component): (run, a, b) pairs of different components whose sizes and sketches allow a link.
+    """Of runs (run, node, component, size: at least its nodes): (run, a, b) pairs of different components whose sizes and sketches allow a link.
 
     nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
     among their `FIRSTS` first ones, so that a pair isn't given by every run it is in. A long run is dealt by pairs of its slices, so
     that no task has to take it whole.
     """
-    if nearest:  # they don't choose a pair's run
-        known = sets.select("node", "n", "sketch", F.lit(None).cast("array<long>").alias("firsts")).join(runs.select("node").distinct(), "node", "left_semi")
+    known = sets.select("node", "n", "sketch")
+    if nearest:  # first runs don't choose a pair's run
+        known = known.withColumn("firsts", F.lit(None).cast("array<long>"))
     else:
         firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
-        known = sets.select("node", "n", "sketch").join(firsts, "node")
-    known = staged(known, "known")
+        known = staged(known.join(firsts, "node"), "known")
     held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
-    rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "n", "sketch", "firsts")
-    long_ = runs.groupBy("run").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).filter("slices > 1")
-    rows = rows.join(long_, "run", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("node", F.lit(12)), F.col("slices")).cast("int"))
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k")).drop("slices", "_k")
+    rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "size", "n", "sketch", "firsts")
+    rows = rows.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node", F.lit(12)), F.col("slices")).cast("int"))
+    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k")).drop("slices", "size", "_k")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs(piece: tuple[int, int, int], rows: list[tuple]) -> Iterator[np.ndarray]:
@@ -482,8 +481,8 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
 
 
 def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:
-    """The runs (run, node, component) that still lie in more than one component."""
-    rows = runs.select("run", "node").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
+    """The runs (run, node, component, size) that still lie in more than one component."""
+    rows = runs.select("run", "node", "size").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"), "size")
     open_ = rows.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
     return rows.join(open_, "run", "left_semi")
 
@@ -516,9 +515,9 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = staged(_sets(docs, staged(wanted, "wanted"), unnamed(nodes)), "sets")
     short = runs.filter(F.col("size") <= SHORT)
     pairs = short.select("run", F.col("node").alias("a")).join(short.select("run", F.col("node").alias("b")), "run").filter("a < b").select("a", "b")
-    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node"), "long")
+    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node", F.col("size").cast("int").alias("size")), "long")
     lead = long.groupBy("run").agg(F.min("node").alias("a"))
-    pairs = pairs.unionByName(long.join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    pairs = pairs.unionByName(long.drop("size").join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     pairs = pairs.filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).filter(F.pandas_udf(_allowed, "boolean")("n_a", "s_a", "n_b", "s_b")).select("a", "b")
