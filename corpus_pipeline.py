@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame; `run` applies them in turn, and each result is
 written to the folder the cluster shares and read again. All but the last keep the columns of documents.
+
+Defined results: a table without rows gives none at every stage. Language ID drops null texts, texts without letters and those in
+no language that it learned; a null or repeated doc_id is kept. The Jaccard join keeps every row without words. PII leaves a null text
+null. Mixing takes a null source for a source of its own, and rows that repeat doc_id and source as one item. BPE gives a null or empty text no ids.
 """
 
 from __future__ import annotations
