@@ -39,6 +39,10 @@ from pyspark.sql import functions as F
 from ..plans.shipping import ship
 from .common import map_text, maybe_in, slices, staged, table, trimmed
 from .components import connected_components
+from .words import BASE as _C1
+from .words import STIR as _C2
+from .words import TURN as _C3
+from .words import hashed_words, mix
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Runs up to this length are tested pair by pair at once.
@@ -51,43 +55,13 @@ FIRSTS, NEAREST = 8, 1
 HELD, HELD_BYTES = 100_000, 16 << 20
 #: Parts of the signatures for each shuffle partition: one part is held in arrays.
 FINER = 1
-_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_LETTER = np.random.default_rng(10).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _NO_FLAGS = ~np.uint64(3)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
 _TURN = np.random.default_rng(11).integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _C2
-    x = (x ^ (x >> np.uint64(27))) * _C3
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> np.ndarray:
-    """1, B, B^2, ... modulo 2^64."""
-    out = np.ones(n, np.uint64)
-    if n > 1:
-        out[1:] = _C1
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
 def word_hashes(raw: bytes) -> np.ndarray:
     """A 64-bit hash of every word of UTF-8 text, A-Z as a-z."""
-    data = np.frombuffer(raw.lower(), np.uint8)
-    inside = np.empty(len(data) + 2, bool)
-    inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
-    step = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = step[::2], step[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    size = ends - starts
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    terms = _LETTER[data[inside[1:-1]]] * _powers(int(size.max()))[at]
-    return mix(np.add.reduceat(terms, np.cumsum(size) - size) + size.astype(np.uint64))
+    return hashed_words(raw.lower())[0]
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:

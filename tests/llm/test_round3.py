@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from quernstone.llm import periodic_runs, whitening
+from quernstone.llm import periodic_runs, recompression, whitening
 
 ODD = [(1, None), (2, ""), (3, "word"), (3, "word"), (None, "a b c"), (4, "x y z " * 40), (5, "\x1c \x85 é " * 30)]
 
@@ -137,3 +137,76 @@ def test_periodic_runs_odd_table(spark, tmp_path):
 def test_long_text_with_runs():
     words = [b"%d" % (i % 7001) for i in range(70_000)] + [b"x"] * 30
     assert periodic_runs.runs_of(words).tolist() == [[0, 70_000, 7001], [70_000, 30, 1]]
+
+
+# recompression
+
+
+def plain_removals(texts: list[str | None]) -> list[tuple[int, int, str]]:
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen: dict[tuple, int] = {}
+    for w in words:
+        for i in range(len(w) - 34):
+            seen[tuple(w[i : i + 35])] = seen.get(tuple(w[i : i + 35]), 0) + 1
+    out = []
+    for w in words:
+        gone = {i + k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(35)}
+        out.append((len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()))
+    return out
+
+
+def made_texts(rng: random.Random, n: int) -> list[str | None]:
+    """Copies, near copies, shared passages, words in runs and periods."""
+    word = lambda: f"w{rng.randrange(rng.choice([2, 30, 3000]))}"
+    passages = [[word() for _ in range(rng.randint(20, 90))] for _ in range(8)]
+    texts: list[str | None] = [None, "", "one"]
+    while len(texts) < n:
+        kind, w = rng.randrange(6), [word() for _ in range(rng.randint(0, 200))]
+        if kind == 0 and texts[-1]:
+            w = texts[-1].split()
+            if w and rng.random() < 0.7:
+                w[rng.randrange(len(w))] = word()
+        elif kind == 1:
+            w += [word()] * rng.randint(30, 90) + w[:50]
+        elif kind == 2:
+            w += (w[: rng.randint(1, 9)] or ["x"]) * rng.randint(5, 15)
+        elif kind > 3:
+            at = rng.randint(0, len(w))
+            w[at:at] = rng.choice(passages)
+        texts.append(rng.choice([" ", "  ", "\t"]).join(w))
+    return texts
+
+
+def test_equal_windows_have_equal_anchors():
+    rng = random.Random(3)
+    words = np.array([rng.randrange(9) for _ in range(3000)] + [1] * 80 + [5, 6, 7] * 40, np.uint64)
+    words = recompression.mix(np.concatenate([words, words[::-1], words[500:2500]]) + np.uint64(1))
+    sizes = np.array([1000, len(words) - 1000])
+    name, place, _, lo, hi = recompression.anchored(words, sizes)
+    seen: dict[bytes, tuple] = {}
+    starts = 0
+    for k in range(len(name)):
+        for i in range(lo[k], hi[k] + 1):
+            assert i <= place[k] < i + 35
+            assert seen.setdefault(words[i : i + 35].tobytes(), (name[k], place[k] - i)) == (name[k], place[k] - i)
+            starts += 1
+    assert starts == (sizes - 34).sum()
+
+
+@pytest.mark.parametrize("seed, rounds", [(1, 5), (2, 1), (3, 12)])
+def test_recompression(spark, monkeypatch, seed, rounds):
+    monkeypatch.setattr(recompression, "ROUNDS", rounds)
+    texts = made_texts(random.Random(seed), 150)
+    rows = [(7 if i % 10 == 0 else None if i % 10 == 1 else i, t) for i, t in enumerate(texts)]
+    got = recompression.remove_repeats(odd_docs(spark, rows).repartition(3))
+    want = [(i, *x) for (i, _), x in zip(rows, plain_removals(texts))]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str) and sum(w[2] > 0 for w in want) > 20
+
+
+def test_recompression_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = [(r[0], *x) for r, x in zip(docs, plain_removals([r[1] for r in docs]))]
+    assert sorted(tuple(r) for r in recompression.op13_recompression_dedup(spark, sf).collect()) == sorted(want)
+    assert recompression.remove_repeats(odd_docs(spark, [])).count() == 0
+    got = recompression.remove_repeats(odd_docs(spark)).collect()
+    assert sorted((r["n_words"], r["n_removed"]) for r in got) == [(0, 0), (0, 0), (1, 0), (1, 0), (3, 0), (90, 90), (120, 120)]
