@@ -8,10 +8,10 @@ result is a table of probabilities of seen n-grams and weights of seen contexts.
 that of all its characters. Documents above the `QUANTILE` of their language's trusted documents,
 stretched by `SLACK`, are not kept.
 
-The table is never held as a whole. A part of the documents (a stretch of a file, which tasks read alike each time) names its
-different n-grams and contexts, far fewer than its characters; these are dealt to shards by hash and looked up in the
-model's shards, and what is found goes back, a file for each part, to the shared folder. A second scan scores each
-document in its part with the part's own small table. So memory follows the part, not the model, and no text is shuffled.
+The table is never held as a whole. A part of the documents (so many rows of a file by their place in it, whatever tasks read them and
+however files are split) names its different n-grams and contexts, far fewer than its characters; these are dealt to shards by hash and looked up in the
+model's shards, and what is found goes back to the shared folder, in a fixed number of files sorted by part. A second scan scores each
+document in its part with the part's own small table, which it must find there. So memory follows the part, not the model, and no text is shuffled.
 
 Defined results: null text and text without characters have no score and are not kept. A null
 language is a language of its own. A language without trusted documents takes the threshold of all.
@@ -41,6 +41,8 @@ ORDER, QUANTILE, SLACK = 5, 0.99, 1.05
 IDS, GATHERED = 1_000_000, 1 << 19
 #: Bytes of text that are named or scored at once: a character takes some ten numbers of eight bytes.
 PIECE = 1 << 20
+#: Bytes of text of a part, about; bytes of a row group of the files of parts, which a task reads whole.
+PART_BYTES, GROUP_BYTES = 32 << 20, 1 << 20
 _SPACE, _DIGIT = re.compile(r"\s+"), re.compile(r"[0-9]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Places of the direct table.
@@ -159,7 +161,7 @@ class Table:
     def __init__(self, g: np.ndarray, p: np.ndarray, b: np.ndarray, unknown: float, places: tuple[np.ndarray, np.ndarray]):
         order = np.argsort(g)
         self.g, self.unknown, self.key, self.value = g[order], unknown, *places
-        self.p, self.b = (np.log(x[order].astype(np.float64)) for x in (p, b))
+        self.p, self.b = (np.log(x[order].astype(np.float64)).astype(np.float32).astype(np.float64) for x in (p, b))  # as the direct table has them
         self.key[:] = 0
         self.key[0] = 1  # no hash that belongs to place 0
         fits = ~np.isnan(self.p)
@@ -207,13 +209,21 @@ def unknown_character(model: DataFrame) -> float:
 
 
 def parted(docs: DataFrame) -> DataFrame:
-    """docs with _part, the stretch of a file that a row was read from; rows that come from no file are written first."""
-    part = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    """docs with _part, named by file and place of the row in it: some PART_BYTES of text. Rows that come from no file are written first."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.withColumns({"_file": at["file_path"], "_row": at["row_index"]})
+
     try:
-        loose = not docs.filter(F.input_file_name() == "").limit(1).isEmpty()
-    except AnalysisException:  # rows of several sources
-        loose = True
-    return (staged(docs, "docs") if loose else docs).withColumn("_part", part)
+        found = placed(docs)
+        if not found.filter("_file IS NULL OR _row IS NULL").limit(1).isEmpty():
+            raise ValueError
+    except (AnalysisException, ValueError):  # rows of several sources, or of none
+        found = placed(staged(docs, "docs"))
+    mean = docs.agg(F.avg(F.coalesce(F.octet_length("text"), F.lit(0)))).first()[0] or 0
+    rows = max(1, int(PART_BYTES / max(mean, 64)))
+    return found.withColumn("_part", F.xxhash64("_file", F.floor(F.col("_row") / rows))).drop("_file", "_row")
 
 
 def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +244,10 @@ def _named(docs: DataFrame, shards: int) -> DataFrame:
         own = [hashes(flat, n)[at + ORDER - n] for n in range(1, ORDER + 1)] + [hashes(flat, n - 1)[at + ORDER - n] for n in range(1, ORDER + 1)]
         return np.unique(np.concatenate(own))
 
-    def out(part: int, windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not windows:
+    def out(part: int | None, windows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not windows:  # a part without characters is known too
+            if part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([part]), pa.array([b""], pa.binary())], ["r", "_part", "blob"])
             return
         keys = every(np.concatenate(windows))
         to = shard(keys, shards)
@@ -290,17 +302,19 @@ def _looked_up(model: DataFrame, named: DataFrame, shards: int) -> DataFrame:
             if own.num_rows:  # the model's rows come before the parts'
                 rows.append([own.column(c).to_numpy(zero_copy_only=False) for c in ("g", "p", "b")])
             asked = batch.filter(pc.is_valid(batch.column("blob")))
-            if not asked.num_rows or not rows:
+            if not asked.num_rows:
                 continue
             if known is None:
-                g, p, b = (np.concatenate(x) for x in zip(*rows))
+                g, p, b = (np.concatenate(x) for x in zip(*rows)) if rows else (np.empty(0, np.int64), np.empty(0), np.empty(0))
                 order = np.argsort(g)
                 known = [x[order] for x in (g, p.astype("<f4"), b.astype("<f4"))]
             out = []
             for blob in asked.column("blob"):
                 keys = np.frombuffer(blob.as_buffer(), "<i8")
-                at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
-                at = at[known[0][at] == keys]
+                at = np.empty(0, np.int64)
+                if len(known[0]):
+                    at = np.minimum(np.searchsorted(known[0], keys), len(known[0]) - 1)
+                    at = at[known[0][at] == keys]
                 out.append(b"".join(x[at].tobytes() for x in known))
             yield pa.RecordBatch.from_arrays([asked.column("_part"), pa.array(out, pa.binary())], ["_part", "blob"])
 
@@ -316,18 +330,21 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs, unknown = parted(docs), unknown_character(model)
     path = shared_path(spark, "parts")
-    _looked_up(model, _named(docs, shards), shards).repartition(shards, "_part").write.partitionBy("_part").parquet(path)
+    found = _looked_up(model, _named(docs, shards), shards).withColumn("_file", F.pmod("_part", F.lit(shards)).cast("int"))
+    found.repartition(shards, "_file").sortWithinPartitions("_file", "_part").write.partitionBy("_file").option("parquet.block.size", GROUP_BYTES).parquet(path)
 
     def table_of(part: int, places: tuple[np.ndarray, np.ndarray]) -> Table:
         fs, base = file_system(path)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/_part={part}", allow_not_found=True))
-        blobs = [bytes(x.as_buffer()) for f in found if f.path.endswith(".parquet") for x in _blobs(fs, f.path)]
+        found = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/_file={part % shards}", allow_not_found=True))
+        blobs = [bytes(x.as_buffer()) for f in found if f.path.endswith(".parquet") for x in _blobs(fs, f.path, part)]
+        if not blobs:
+            raise RuntimeError(f"part {part} was not named; the documents have changed between two scans")
         cols = [[], [], []]
         for blob in blobs:
             n = len(blob) // 16
             for into, kind, at in zip(cols, ("<i8", "<f4", "<f4"), (0, 8 * n, 12 * n)):
                 into.append(np.frombuffer(blob, kind, n, at))
-        return Table(*(np.concatenate(c) if c else np.empty(0, k) for c, k in zip(cols, ("<i8", "<f4", "<f4"))), unknown, places)
+        return Table(*(np.concatenate(c) for c in cols), unknown, places)
 
     names = [f.name for f in docs.schema.fields if f.name not in ("text", "_part")]
 
@@ -341,20 +358,25 @@ def scored(docs: DataFrame, model: DataFrame) -> DataFrame:
                     codes = [characters(t) for t in own.column("text").to_pylist()]
                     every = np.concatenate(codes)
                     logs = table_.log_probability(every) if len(every) >= ORDER else np.empty(0)
-                    sums = np.concatenate([[0.0], np.cumsum(logs)])
                     ends = np.cumsum([len(c) for c in codes])
                     size = np.array([max(0, len(c) - ORDER + 1) for c in codes])
                     stop = np.maximum(ends - ORDER + 1, 0)
-                    total = sums[stop] - sums[np.maximum(stop - size, 0)]
+                    total = np.array([logs[b - n : b].sum() if n else 0.0 for b, n in zip(stop.tolist(), size.tolist())])  # alike, whatever texts stand before
                     yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(size, pa.int64()), pa.array(total)], [*names, "n_characters", "log_p"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
     return docs.mapInArrow(trimmed(run), f"{kept}, n_characters long, log_p double")
 
 
-def _blobs(fs: pyarrow.fs.FileSystem, path: str) -> pa.ChunkedArray:
+def _blobs(fs: pyarrow.fs.FileSystem, path: str, part: int) -> Iterator[pa.Scalar]:
+    """The blobs of a part, from the row groups that may hold it."""
     with fs.open_input_file(path) as f:
-        return pyarrow.parquet.read_table(f, columns=["blob"], use_threads=False, pre_buffer=False)["blob"]
+        file = pyarrow.parquet.ParquetFile(f)
+        for k in range(file.metadata.num_row_groups):
+            held = file.metadata.row_group(k).column(file.schema_arrow.get_field_index("_part")).statistics
+            if held is None or not held.has_min_max or held.min <= part <= held.max:
+                rows = file.read_row_group(k, use_threads=False)
+                yield from rows["blob"].filter(pc.equal(rows["_part"], part))
 
 
 def judge(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:

@@ -218,6 +218,30 @@ def test_kneser_ney(spark, monkeypatch, parts):
     assert got[4]["perplexity"] is None and not got[5]["keep"] and got[0]["keep"]
 
 
+def test_kneser_ney_parts_do_not_follow_splits(spark, sf, monkeypatch, tmp_path):
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", 40_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.coalesce(1).write.option("parquet.block.size", 20_000).option("parquet.page.size", 2_000).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "lang", "text")
+    model = kneser_ney.train(docs.filter("doc_id % 2 = 0"))
+    want = {r["doc_id"]: r["log_p"] for r in kneser_ney.scored(spark.createDataFrame(docs.collect(), docs.schema), model).collect()}
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+        found = kneser_ney.scored(docs, model)
+        for size in ("30k", "100k", "1g"):  # other splits than when parts were named
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+            got = found.select("*")
+            assert {r["doc_id"]: r["log_p"] for r in got.collect()} == want
+        monkeypatch.setattr(kneser_ney, "_looked_up", lambda model, named, shards: named.select("_part", "blob").filter("_part % 3 = 0"))
+        with pytest.raises(Exception, match="was not named"):
+            kneser_ney.scored(docs, model).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 # --- nearest neighbours
 
 
