@@ -90,6 +90,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Tables written to the shared folder by name; they can be dropped when what is made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        self.held[name] = _written[-1][1]
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.held.pop(name)
+            drop_path(self.spark, path)
+            _written.remove((self.spark, path))
+
+
 def trimmed(fn: Callable) -> Callable:
     """A function for mapInArrow that gives memory back when its task ends: workers stay and wait for the next."""
 

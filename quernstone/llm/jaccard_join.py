@@ -33,11 +33,11 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import map_text, maybe_in, slices, staged, table, trimmed
+from .common import Tables, map_text, maybe_in, slices, staged, table, trimmed
 from .components import connected_components
 from .words import BASE as _C1
 from .words import STIR as _C2
@@ -306,8 +306,8 @@ def _distinct_runs(rows: DataFrame) -> DataFrame:
     """
     members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(10)), 20)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")]
     sums = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), *members).filter("size > 1")
-    one = sums.groupBy("x", "s", "lo", "hi", "size").agg(F.min("run").alias("run"))
-    return rows.join(one.select("run", "size"), "run")
+    one = staged(sums.groupBy("x", "s", "lo", "hi", "size").agg(F.min("run").alias("run")).select("run", "size"), "distinct")  # written, so that the join's hot runs can be split
+    return rows.join(one, "run")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, many: DataFrame | None) -> DataFrame:
@@ -377,12 +377,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(trimmed(run), "a long, b long")
 
 
+def _slots(runs: DataFrame) -> DataFrame:
+    """(run, component, base, own, pool, total): how the nodes of a run are dealt to slices 0 to total - 1.
+
+    A component of over `SLICE` nodes has slices of its own, `own` of them from `base`; the others share the first `pool` slices, a component in one of them.
+    """
+    parts = staged(runs.groupBy("run", "component").agg(F.count(F.lit(1)).alias("c")), "parts")
+    large = parts.filter(F.col("c") > SLICE).withColumn("own", F.ceil(F.col("c") / SLICE))
+    before = F.sum("own").over(Window.partitionBy("run").orderBy("component").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("own")
+    totals = parts.groupBy("run").agg(F.ceil(F.sum(F.when(F.col("c") <= SLICE, F.col("c")).otherwise(0)) / SLICE).alias("pool"), F.sum(F.when(F.col("c") > SLICE, F.ceil(F.col("c") / SLICE)).otherwise(0)).alias("more"))
+    totals = staged(totals.select("run", "pool", (F.col("pool") + F.col("more")).alias("total")), "totals")
+    found = parts.drop("c").join(totals, "run").join(large.select("run", "component", before.alias("base"), "own"), ["run", "component"], "left")
+    return found.withColumn("base", F.col("base") + F.col("pool"))
+
+
 def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
-    """Of runs (run, node, component, size: at least its nodes): (run, a, b) pairs of different components whose sizes and sketches allow a link.
+    """Of runs (run, node, component): (run, a, b) pairs of different components whose sizes and sketches allow a link.
 
     nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
     among their `FIRSTS` first ones, so that a pair isn't given by every run it is in. A long run is dealt by pairs of its slices, so
-    that no task has to take it whole.
+    that no task has to take it whole; two slices of one component are no pair, so that a large component costs its nodes times the slices of others.
     """
     known = sets.select("node", "n", "sketch")
     if nearest:  # first runs don't choose a pair's run
@@ -391,9 +405,13 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
         firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
         known = staged(known.join(firsts, "node"), "known")
     held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
-    rows = runs.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "size", "n", "sketch", "firsts")
-    rows = rows.withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int")).withColumn("side", F.pmod(F.xxhash64("node", F.lit(12)), F.col("slices")).cast("int"))
-    rows = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k")).drop("slices", "size", "_k")
+    rows = runs.join(staged(_slots(runs), "slots"), ["run", "component"]).join(F.broadcast(known) if held <= HELD_BYTES else known, "node")
+    pooled = F.col("own").isNull()
+    side = F.when(pooled, F.pmod(F.xxhash64("component", F.lit(12)), F.col("pool"))).otherwise(F.col("base") + F.pmod(F.xxhash64("node", F.lit(12)), F.col("own")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("total") - 1)
+    others = F.when(pooled, every).otherwise(F.filter(every, lambda k: (k < F.col("base")) | (k >= F.col("base") + F.col("own"))))
+    rows = rows.withColumn("side", side).withColumn("_k", F.explode(others)).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k"))
+    rows = rows.select("run", "node", "component", "n", "sketch", "firsts", "side", "lo", "hi")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs(piece: tuple[int, int, int], rows: list[tuple]) -> Iterator[np.ndarray]:
@@ -402,34 +420,32 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
         raw = [np.frombuffer(r[3], "<u8") for r in rows]
         words = min(map(len, raw))
         sketch = np.stack([folded(x, words) for x in raw])
-        step = max(1, (1 << 19) // (len(rows) * words))
-        for at in range(0, len(rows), step):
-            part = slice(at, at + step)
-            apart = np.bitwise_count(sketch[part, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
-            both = size[part, None] + size[None, :]
-            ok = (comp[part, None] != comp[None, :]) & (apart * (DENOMINATOR + NUMERATOR) <= both * (DENOMINATOR - NUMERATOR))
-            ok &= np.minimum(size[part, None], size[None, :]) * DENOMINATOR >= np.maximum(size[part, None], size[None, :]) * NUMERATOR
-            if lo != hi:
-                ok &= side[part, None] != side[None, :]
-            if nearest:
-                apart[~ok] = 1 << 40
-                k = min(nearest, len(rows) - 1)
-                j = np.argpartition(apart, k - 1, axis=1)[:, :k]
-                i = np.repeat(np.arange(len(apart)), k)
-                j = j.reshape(-1)
-                keep = ok[i, j]
-                i, j, far = i[keep] + at, j[keep], apart[i[keep], j[keep]]
-                if len(i):
-                    yield np.stack([node[i], node[j], far])
-                continue
-            else:
-                ok &= np.arange(len(rows))[None, :] > np.arange(at, at + len(apart))[:, None]
-                i, j = np.nonzero(ok)
-                i = i + at
+        low, high = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+        for ours, theirs in [(low, high), (high, low)] if nearest and lo != hi else [(low, high)]:
+            step = max(1, (1 << 19) // (max(1, len(theirs)) * words))
+            for at in range(0, len(ours) if len(theirs) else 0, step):
+                part = ours[at : at + step]
+                apart = np.bitwise_count(sketch[part, None, :] ^ sketch[None, theirs, :]).sum(axis=2, dtype=np.int64)
+                both = size[part, None] + size[None, theirs]
+                ok = (comp[part, None] != comp[None, theirs]) & (apart * (DENOMINATOR + NUMERATOR) <= both * (DENOMINATOR - NUMERATOR))
+                ok &= np.minimum(size[part, None], size[None, theirs]) * DENOMINATOR >= np.maximum(size[part, None], size[None, theirs]) * NUMERATOR
+                if nearest:
+                    apart[~ok] = 1 << 40
+                    k = min(nearest, len(theirs))
+                    j = np.argpartition(apart, k - 1, axis=1)[:, :k].reshape(-1)
+                    i = np.repeat(np.arange(len(part)), k)
+                    keep = ok[i, j]
+                    i, j = i[keep], j[keep]
+                    if len(i):
+                        yield np.stack([node[part[i]], node[theirs[j]], apart[i, j]])
+                    continue
+                if lo == hi:
+                    ok &= theirs[None, :] > part[:, None]
+                i, j = (x[y] for x, y in zip((part, theirs), np.nonzero(ok)))
                 first = [not any(r < run_id for r in set(rows[a][4]) & set(rows[b][4])) for a, b in zip(i.tolist(), j.tolist())]
                 i, j = i[first], j[first]
-            if len(i):
-                yield np.stack([node[i], node[j], np.zeros(len(i), np.int64)])
+                if len(i):
+                    yield np.stack([node[i], node[j], np.zeros(len(i), np.int64)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -455,9 +471,9 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
 
 
 def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:
-    """The runs (run, node, component, size) that still lie in more than one component."""
-    rows = runs.select("run", "node", "size").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"), "size")
-    open_ = rows.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run")
+    """The runs (run, node, component) that still lie in more than one component."""
+    rows = runs.select("run", "node").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
+    open_ = staged(rows.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run"), "open")
     return rows.join(open_, "run", "left_semi")
 
 
@@ -482,16 +498,20 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     ship(spark)
     parts = FINER * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    first = staged(_shared(_first_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts), parts), "shared")
-    nodes = first.filter("blob IS NULL").select("doc_id", "n", "node")
-    runs = staged(_distinct_runs(staged(_prefixes(first.filter("blob IS NOT NULL"), parts), "prefixes")), "runs")
+    tables = Tables(spark)
+    first = tables.write(_shared(_first_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), parts), parts), "shared")
+    nodes = staged(first.filter("blob IS NULL").select("doc_id", "n", "node"), "nodes")
+    prefixes = tables.write(_prefixes(first.filter("blob IS NOT NULL"), parts), "prefixes")
+    tables.drop("shared")
+    runs = staged(_distinct_runs(prefixes), "runs")
+    tables.drop("prefixes")
     wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = staged(_sets(docs, staged(wanted, "wanted"), unnamed(nodes)), "sets")
     short = runs.filter(F.col("size") <= SHORT)
     pairs = short.select("run", F.col("node").alias("a")).join(short.select("run", F.col("node").alias("b")), "run").filter("a < b").select("a", "b")
-    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node", F.col("size").cast("int").alias("size")), "long")
+    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node"), "long")
     lead = long.groupBy("run").agg(F.min("node").alias("a"))
-    pairs = pairs.unionByName(long.drop("size").join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    pairs = pairs.unionByName(long.join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     pairs = pairs.filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).filter(F.pandas_udf(_allowed, "boolean")("n_a", "s_a", "n_b", "s_b")).select("a", "b")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from .common import drop_path, maybe_in, shared_path, slices, table, trimmed
+from .common import Tables, maybe_in, slices, table, trimmed
 from .words import BASE, hashed_words, mix, powers
 
 WINDOW, ROUNDS = 35, 5
@@ -249,28 +249,6 @@ def _removals(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(trimmed(run), "t binary, n_removed long, kept string")
 
 
-class Tables:
-    """Tables written to the shared folder, dropped when what is made of them is written."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        path = shared_path(self.spark, label)
-        held = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)  # rows may be long
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
-        self.paths[label] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *labels: str) -> None:
-        for label in labels:
-            drop_path(self.spark, self.paths.pop(label))
-
-
 def _fetched(docs: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
     """(t, text, column) of the texts wanted (t, home, column), one document each but for rows that repeat id and text."""
     some = maybe_in(docs.withColumn("home", _home()), "t", wanted, "t")
