@@ -103,6 +103,11 @@ def kept_terms(terms: DataFrame, stats: DataFrame, threshold: float = STOP) -> D
     return joined.filter(few & ~F.col("term").rlike(r"\A\p{P}+\z")).drop("n")
 
 
+def without_stops(found: dict[str, tuple[int, int]], n: int) -> dict[str, tuple[int, int]]:
+    """As kept_terms: {term: (df, cf)} without stop n-grams."""
+    return {t: x for t, x in found.items() if (STOP <= 0 or x[0] <= n * STOP) and not all(unicodedata.category(c)[0] == "P" for c in t)}
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
@@ -140,8 +145,7 @@ class Index:
         """({term: (df, cf)} of those of the terms that are in the index, N, average length)."""
         found, docs, last, total = scoring.statistics(self.docs, names)
         n = docs if self.dense else last + 1
-        kept = {t: x for t, x in found.items() if (STOP <= 0 or x[0] <= n * STOP) and not all(unicodedata.category(c)[0] == "P" for c in t)}
-        return kept, n, total / max(docs, 1)
+        return without_stops(found, n), n, total / max(docs, 1)
 
     def matching(self, q: DataFrame) -> DataFrame:
         """q (qid, term, ...) with doc_id, tf, df, cf: the few query terms reach the tokens before they are counted."""
@@ -322,19 +326,11 @@ def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.join(terms, "term", "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"), F.col("df").isNotNull().alias("has_term"))
 
 
-def q_qpp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """avg_idf, max_idf, scope, scq and hardness of each query over its different terms in the index."""
-    index = Index(table(spark, sf_dir, "documents"))
-    q = query_terms(queries_of(spark, sf_dir))
-    terms = q.join(index.terms(q.select("term").distinct()), "term").crossJoin(F.broadcast(index.stats))
-    i = idf(F.col("n"), F.col("df"))
-    base = terms.groupBy("qid").agg(F.avg(i).alias("avg_idf"), F.max(i).alias("max_idf"), F.avg(i * F.log1p("cf")).alias("scq"))
-    ready = index.blocks(q, "qtf")
-    if ready is None:
-        scope = index.matching(q).groupBy("qid").agg(F.count_distinct("doc_id").alias("docs"))
-    else:
-        scope = scoring.matched(index.docs, ready[0]) if ready[0] else q.select("qid", F.lit(0).alias("docs")).distinct()
-    scope = scope.crossJoin(F.broadcast(index.stats)).select("qid", (F.col("docs") / F.col("n")).alias("scope"))
+def performance(q: DataFrame, terms: DataFrame, matched: DataFrame, n: int) -> DataFrame:
+    """avg_idf, max_idf, scope, scq and hardness of queries (qid, term). terms: (term, df, cf); matched: (qid, docs)."""
+    i = idf(F.lit(n), F.col("df"))
+    base = q.join(terms, "term").groupBy("qid").agg(F.avg(i).alias("avg_idf"), F.max(i).alias("max_idf"), F.avg(i * F.log1p("cf")).alias("scq"))
+    scope = matched.select("qid", (F.col("docs") / F.lit(n)).alias("scope"))
     out = q.select("qid").distinct().join(base, "qid", "left").join(scope, "qid", "left")
     cols = [F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("avg_idf", "max_idf", "scope", "scq")]
     return out.select("qid", *cols, (F.coalesce("avg_idf", F.lit(0.0)) < 2.0).alias("is_hard"))
@@ -444,27 +440,25 @@ QUERIES = {
     "g01_doc_profile": q_doc_profile,
     "g03_collection_lm": q_collection_lm,
     "q04_term_lookup": q_lookup,
-    "q05_bm25_topk": bm25_topk,
-    "q06_search_min_match": search,
     "q06_search_fuzzy": search_fuzzy,
     "t02_all_scores": q_all_scores,
     "q01_ngram_tokens": q_tokens,
     "q02_cjk": q_cjk,
     "b17_prune_df": q_pruned,
-    "q20_query_performance": q_qpp,
     "q21_clarity": q_clarity,
     "q14_rm3": q_rm3,
     "q15_rocchio": q_rocchio,
     "q19_ndcg": q_ndcg,
     "q24_history_search": q_history,
 }
+SQL_BM25 = f"WITH {_TOK}, {_top_sql('b', 'hits', 'qtf')} SELECT * FROM b"
 ORACLES = {
     "q03_term_stats": f"WITH {_TOK} SELECT term, df, cf FROM kept",
     "g02_corpus_stats": f"WITH {_TOK} SELECT n, round(avgdl, 6) AS avgdl, total FROM stats",
     "g01_doc_profile": f"WITH {_TOK} SELECT doc_id, dl, coalesce(terms, 0) AS terms, coalesce(max_tf, 0) AS max_tf FROM lens LEFT JOIN (SELECT doc_id, count(*) AS terms, max(tf) AS max_tf FROM post GROUP BY doc_id) USING (doc_id)",
     "g03_collection_lm": f"WITH {_TOK} SELECT term, round(cf / total, 10) AS p FROM kept, stats",
     "q04_term_lookup": f"WITH {_TOK} SELECT qid, term, coalesce(df, 0) AS df, df IS NOT NULL AS has_term FROM qt LEFT JOIN kept USING (term)",
-    "q05_bm25_topk": f"WITH {_TOK}, {_top_sql('b', 'hits', 'qtf')} SELECT * FROM b",
+    "q05_bm25_topk": SQL_BM25,
     "q06_search_min_match": f"""WITH {_TOK}, need AS (SELECT qid, greatest(1, ceil(count(*) * 0.5)) AS need FROM qt GROUP BY qid),
 have AS (SELECT qid, doc_id, count(DISTINCT term) AS have FROM hits GROUP BY qid, doc_id), cand AS (SELECT qid, doc_id FROM have JOIN need USING (qid) WHERE have >= need),
 ch AS (SELECT hits.* FROM hits SEMI JOIN cand USING (qid, doc_id)), {_top_sql("b", "ch", "1")} SELECT * FROM b""",

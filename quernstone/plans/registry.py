@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import repairs, similarity, structured, text, words
-from ..operators import corpus, events, graphs, messages, neardup, records, rerank, retrieval, sessions, stores, trace
+from ..operators import corpus, events, graphs, messages, neardup, records, rerank, retrieval, segments, sessions, stores, trace
 from ..sources import archives, logs, pages
 from ..streaming import folds
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval, events, trace, stores, neardup, corpus, sessions, graphs, messages, records, similarity, words, structured, repairs, text, rerank, pages, archives, logs, folds)
+MODULES = (retrieval, segments, events, trace, stores, neardup, corpus, sessions, graphs, messages, records, similarity, words, structured, repairs, text, rerank, pages, archives, logs, folds)
 QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
-FLAGSHIP: Query = retrieval.search
+FLAGSHIP: Query = segments.search

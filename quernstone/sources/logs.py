@@ -112,18 +112,7 @@ def q_wire_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_wire(spark, path, "event_id long, type string")
 
 
-def q_saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index saved and loaded again: postings of the query terms, read from the saved table alone."""
-    from ..operators.retrieval import Index, queries_of, query_terms
-
-    path = new_path(spark, "index")
-    save_index(Index(table(spark, sf_dir, "documents")), path)
-    posts, lengths = load_index(spark, path)
-    wanted = query_terms(queries_of(spark, sf_dir)).select("term").distinct()
-    return posts.join(wanted, "term", "left_semi").join(lengths, "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.sum("dl").alias("length"))
-
-
-QUERIES |= {"a04_context_round_trip": q_log_round_trip, "a06_wire_round_trip": q_wire_round_trip, "a01_a02_saved_index": q_saved_index}
+QUERIES |= {"a04_context_round_trip": q_log_round_trip, "a06_wire_round_trip": q_wire_round_trip}
 _GRAMS = r"""docs AS (SELECT doc_id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM documents WHERE text IS NOT NULL), tok AS (SELECT doc_id, unnest(CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: c[i] || c[i+1] || c[i+2]) WHEN length(t) > 0 THEN [t] ELSE [] END) AS term FROM (SELECT *, string_split(t, '') AS c FROM docs)),
 lens AS (SELECT doc_id, CASE WHEN length(t) >= 3 THEN length(t) - 2 WHEN length(t) > 0 THEN 1 ELSE 0 END AS dl FROM docs), q AS (SELECT DISTINCT unnest(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))) AS term FROM (SELECT lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS t FROM benchmark))"""
 ORACLES |= {
