@@ -4,8 +4,8 @@ A text is lower-cased; every maximal run of letters is a word with a mark before
 runs of `GRAMS` characters within marked words are subwords, hashed to `BUCKETS` rows of an
 embedding table; a text's vector is the mean of its subwords' rows, and a linear softmax over it gives
 the languages. Table and softmax are learned by stochastic gradient descent in numpy, from a stated and
-bounded sample: at most about `SAMPLE_ROWS` labelled rows, drawn by hash and evenly from the (at most `LANGUAGES`, the most
-frequent) languages, of each row `PIECES` stretches drawn from its whole text; executors cut them, so
+bounded sample: at most `SAMPLE_ROWS` labelled rows (one of each language, where there are more languages), drawn by hash and evenly from the
+languages, a repeated row once, of each row `PIECES` stretches drawn from its whole text; executors cut them, so
 that the driver gets at most `PIECES` stretches of 2,000 subwords for a row and no whole text.
 
 Stretches of a tenth of the rows are set aside. A temperature fitted on them calibrates the score. Rejection is calibrated on
@@ -29,13 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_text, table
 
 BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (3, 4)
-SAMPLE_ROWS, LANGUAGES, PIECES, EPOCHS, RATE = 1600, 1000, 8, 6, 2.0
+SAMPLE_ROWS, PIECES, EPOCHS, RATE = 1600, 8, 6, 2.0
+#: Rows of a language that are looked at for each that is drawn, and more of them, lest a language comes away empty.
+OVER, MORE = 4, 32
 #: Lengths of the stretches; the last number of subwords of each band but the longest one's; rejection.
 STRETCHES, BANDS, DEVIATIONS, SPREAD, LEAST = (12, 60, 300, 2000), (20, 100, 600), 6.0, 0.025, 0.4
 OWN = ["held_out", "lang_pred", "score", "rejected"]
@@ -77,17 +79,22 @@ def band_of(n: int) -> int:
 
 @dataclass
 class Model:
-    """langs, the softmax input of each bucket (table times weights), bias, temperature, whether a language's training holds a bucket, least share of such in each band."""
+    """langs, table and weights (None: the table is multiplied already), bias, temperature, bits of the buckets that a language's training holds, least share of such in each band."""
 
     langs: list[str]
-    logits: np.ndarray
+    table: np.ndarray
+    weights: np.ndarray | None
     bias: np.ndarray
     heat: float
     seen: np.ndarray
     least: list[float]
 
     def probabilities(self, ids: np.ndarray) -> np.ndarray:
-        z = (self.logits[ids].mean(axis=0) + self.bias if len(ids) else self.bias) / self.heat
+        z = self.bias
+        if len(ids):
+            x = self.table[ids].mean(axis=0)
+            z = (x if self.weights is None else x @ self.weights) + z
+        z = z / self.heat
         e = np.exp(z - z.max())
         return e / e.sum()
 
@@ -97,7 +104,11 @@ class Model:
         ids = subwords(text)
         p = self.probabilities(ids)
         k = int(p.argmax())
-        return self.langs[k], float(p[k]), bool(p[k] < LEAST or not len(ids) or self.seen[ids, k].mean() < self.least[band_of(len(ids))])
+        return self.langs[k], float(p[k]), bool(p[k] < LEAST or not len(ids) or familiar(self.seen[k], ids).mean() < self.least[band_of(len(ids))])
+
+
+def familiar(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return bits[ids >> 3] >> (7 - (ids & 7)).astype(np.uint8) & 1
 
 
 def stretches(text: str) -> tuple[list[np.ndarray], bool]:
@@ -116,7 +127,7 @@ def train(pieces: list[tuple[str, bool, np.ndarray]], seed: int = 9) -> Model:
     names = sorted({lang for lang, _, _ in pieces})
     rng = np.random.default_rng(seed)
     if not names:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, np.zeros((BUCKETS, 0), bool), [0.0] * (len(BANDS) + 1))
+        return Model([], np.zeros((BUCKETS, 0), np.float32), None, np.zeros(0), 1.0, np.zeros((0, BUCKETS // 8), np.uint8), [0.0] * (len(BANDS) + 1))
     label = {x: k for k, x in enumerate(names)}
     data = []
     for lang, aside, ids in pieces:
@@ -140,9 +151,8 @@ def train(pieces: list[tuple[str, bool, np.ndarray]], seed: int = 9) -> Model:
             weights -= rate * np.outer(x, g)
             bias -= 0.1 * rate * g
             table_[rows] -= rate * share[:, None] * back
-    logits = table_ @ weights
     kept = [x for x in data if x[3]] or fit
-    z = np.array([share @ logits[rows] + bias for rows, share, *_ in kept])
+    z = np.array([share @ table_[rows] for rows, share, *_ in kept]) @ weights + bias
     k, bands = np.array([x[2] for x in kept]), np.array([x[4] for x in kept])
 
     def loss(heat: float) -> float:
@@ -151,16 +161,17 @@ def train(pieces: list[tuple[str, bool, np.ndarray]], seed: int = 9) -> Model:
         return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(k)), k]))
 
     heat = min(np.geomspace(0.25, 8, 41), key=loss)
-    seen = np.zeros((BUCKETS, len(names)), bool)
+    seen = np.zeros((len(names), BUCKETS // 8), np.uint8)
     for rows, _, k_, *_ in fit:
-        seen[rows, k_] = True
-    known = np.array([share @ seen[rows, top] for (rows, share, *_), top in zip(kept, z.argmax(axis=1))])
+        np.bitwise_or.at(seen[k_], rows >> 3, np.uint8(128) >> (rows & 7).astype(np.uint8))
+    known = np.array([share @ familiar(seen[top], rows) for (rows, share, *_), top in zip(kept, z.argmax(axis=1))])
     least = [0.0] * (len(BANDS) + 1)
     for band in range(len(least)):
         at = known[bands == band]
         if len(at) >= 20:  # too few say nothing of a band
             least[band] = float(at.mean() - DEVIATIONS * max(SPREAD, at.std()))
-    return Model(names, logits, bias, float(heat), seen, least)
+    small = len(names) <= WIDTH
+    return Model(names, table_ @ weights if small else table_, None if small else weights, bias, float(heat), seen, least)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -170,19 +181,22 @@ def is_held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, bool, np.ndarray]]:
     """(language, set aside, subwords) of the stretches of at most about `rows` labelled rows that aren't held out, as many of each language, chosen by hash."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    name = F.col("doc_id").cast("string")  # the same draw whatever the width of the ids
+    mark = F.xxhash64(name, F.col("text"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct(mark).alias("count")).collect()  # a row a language
     if not counts:
         return []
     each = max(1, rows // len(counts))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
-    name = F.col("doc_id").cast("string")  # the same draw whatever the width of the ids
+    share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (OVER * each + MORE) / r["count"])) for r in counts], "lang string, share double")
     place = F.xxhash64(name, F.lit(5)).bitwiseAND((1 << 30) - 1) / float(1 << 30)
-    mark = F.xxhash64(name, F.col("text"))
-    drawn = labelled.filter(place < F.element_at(share, F.col("lang"))).select(mark.alias("mark"), "lang")
-    edge = drawn.select("mark").orderBy("mark").limit(2 * rows).agg(F.max("mark")).first()[0]  # a repeated id may draw many rows
-    if edge is None:
+    marked = labelled.select("lang", "text", mark.alias("mark"), place.alias("place")).join(F.broadcast(share), "lang").filter(F.col("place") <= F.col("share"))  # a row a language
+    once = marked.groupBy("lang", "mark").agg(F.min("place").alias("place"))  # a repeated row is one
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "mark"))
+    chosen = [(r["lang"], r["mark"]) for r in once.withColumn("turn", turn).filter(F.col("turn") <= each).collect()]  # at most each of a language
+    if not chosen:
         return []
-    drawn = labelled.filter((place < F.element_at(share, F.col("lang"))) & (mark <= edge)).select(mark.alias("mark"), "lang", "text")
+    picked = F.broadcast(labelled.sparkSession.createDataFrame(chosen, "lang string, mark long"))
+    drawn = marked.join(picked, ["lang", "mark"], "left_semi").select("mark", "lang", "text").dropDuplicates(["mark", "lang"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -192,7 +206,7 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str,
         cols = list(zip(*out)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.binary()))], ["mark", "lang", "aside", "ids"])
 
-    got = map_text(drawn, "mark long, lang string, aside boolean, ids binary", cut).limit(2 * rows * PIECES).collect()
+    got = map_text(drawn, "mark long, lang string, aside boolean, ids binary", cut).collect()  # PIECES of each chosen row
     got = sorted(got, key=lambda r: (r["mark"], r["lang"], bytes(r["ids"])))
     return [(r["lang"], r["aside"], np.frombuffer(r["ids"], "<i4")) for r in got]
 
@@ -205,7 +219,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Every row of docs with held_out, lang_pred, score (0 to 1, calibrated) and rejected."""
     docs = docs.drop(*OWN)
     model = model or fitted(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x WIDTH floats, and BUCKETS bits and WIDTH floats a language
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         said = [shared.value.predict(t) for t in batch.column("text").to_pylist()]

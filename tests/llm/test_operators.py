@@ -480,11 +480,22 @@ def test_unknown_language_is_rejected():
 def test_language_sample_is_bounded(spark):
     long_ = "wort und text " * 60_000  # of a long text PIECES stretches go to the driver
     df = spark.createDataFrame([(i, long_, "de") for i in range(8)] + [(20 + i, "short text", "en") for i in range(8)], "doc_id long, text string, lang string")
-    got = langid.training_sample(df)
+    got = langid.training_sample(df.unionByName(df))
     assert max(len(ids) for _, _, ids in got) <= max(langid.STRETCHES) and len(got) <= 16 * langid.PIECES
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_many_languages_and_a_hot_row(spark):
+    words = lambda k: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}{x}" for x in ("umo", "eri", "ast", "olu", "ink") * 4)
+    few = spark.createDataFrame([(k, words(k), f"l{k}") for k in range(1001)], "doc_id long, text string, lang string")
+    hot = spark.range(200_000).selectExpr("cast(7 as bigint) as doc_id", f"'{words(7)}' as text", "'l7' as lang")
+    trained = few.filter(~langid.is_held_out(few.doc_id)).count()
+    model = langid.fitted(few)
+    assert len(model.langs) == trained and model.weights is not None and model.predict(words(900))[0] in model.langs
+    samples = [[(lang, ids.tolist()) for lang, _, ids in langid.training_sample(few.unionByName(hot).repartition(n), 40)] for n in (3, 5)]
+    assert samples[0] == samples[1] and len({lang for lang, _ in samples[0]}) == trained
+
+
 # --- Jaccard join
 
 
