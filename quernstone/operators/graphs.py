@@ -1,4 +1,4 @@
-"""Dependency graphs: faults, cycles, reach, failures, execution; flows and their validation; folders by depth.
+"""Dependency graphs: faults, cycles, reach, failures; flows and their validation; folders by depth.
 
 A graph is a table of edges (node, dep). Every step is a join on keys, and each round's table is cut from its plan.
 """
@@ -6,8 +6,7 @@ A graph is a table of edges (node, dep). Every step is a join on keys, and each
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,45 +72,6 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(fresh))
 
 
-class DependencyError(Exception):
-    """A node wasn't run because one that it depends on failed."""
-
-
-def execute(deps: dict[str, set[str]], run: Callable[[str], object], workers: int = 4, retries: int = 0) -> tuple[dict[str, object], dict[str, Exception]]:
-    """Run every node when all that it depends on are done, several at a time (each may be a Spark job); returns results and errors.
-
-    A node that fails is run again up to `retries` times; what depends on a failed one, directly or not, gets a DependencyError.
-    """
-    deps = {n: set(d) for n, d in deps.items()} | {d: set() for ds in deps.values() for d in ds if d not in deps}
-    results: dict[str, object] = {}
-    errors: dict[str, Exception] = {}
-    tries: dict[str, int] = {}
-    with ThreadPoolExecutor(workers) as pool:
-        running = {}
-        while True:
-            for n in [n for n in deps if n not in results and n not in errors and n not in running.values()]:
-                bad = [d for d in deps[n] if d in errors]
-                if bad:
-                    errors[n] = DependencyError(f"{n} needs {min(bad)}")
-                elif deps[n] <= results.keys():
-                    running[pool.submit(run, n)] = n
-            if not running:
-                if any(d in errors for n in deps if n not in results and n not in errors for d in deps[n]):
-                    continue
-                break
-            for future in wait(running, return_when=FIRST_COMPLETED).done:
-                n = running.pop(future)
-                try:
-                    results[n] = future.result()
-                except Exception as e:
-                    tries[n] = tries.get(n, 0) + 1
-                    if tries[n] > retries:
-                        errors[n] = e
-    for n in deps.keys() - results.keys() - errors.keys():
-        errors[n] = DependencyError(f"{n} is on or behind a cycle")
-    return results, errors
-
-
 def flow_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(flow, fault) of flows with nodes (flow, id, kind) and edges (flow, src, dst, label).
 
@@ -135,54 +95,78 @@ _EDGE = re.compile(rf"^\s*{_NODE}\s*(?:--\s*([^->|][^>|]*?)\s*-->|-->(?:\s*\|([^
 _ALONE = re.compile(rf"^\s*{_NODE}\s*;?\s*$")
 
 
-def parse_mermaid(text: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str, str | None]]]:
-    """({id: (kind, label)}, [(from, to, label)]) of a flowchart with an edge or node a line; ids that read BEGIN or END are such, braces a decision."""
-    nodes: dict[str, tuple[str, str]] = {}
-    edges = []
-
-    def add(name: str, opened: str | None, label: str | None) -> str:
-        if name not in nodes or opened:
-            words = (label or name).strip()
-            kind = {"BEGIN": "begin", "END": "end"}.get(words.upper(), "decision" if opened == "{" else "task")
-            nodes[name] = (kind, words)
-        return name
-
-    for line in text.splitlines():
-        if not line.strip() or line.strip().startswith(("%%", "flowchart", "graph", "style", "classDef")):
-            continue
-        if m := _EDGE.match(line):
-            label = m[4] or m[5]
-            edges.append((add(m[1], m[2], m[3]), add(m[6], m[7], m[8]), label.strip() if label else None))
-        elif m := _ALONE.match(line):
-            add(m[1], m[2], m[3])
-        else:
-            raise ValueError(f"can't read {line.strip()!r}")
-    return nodes, edges
+def _mermaid(line: str) -> Iterator[tuple]:
+    """What a line of a flowchart says: (node, opened, label) and ("->", from, to, label)."""
+    if not line.strip() or line.strip().startswith(("%%", "flowchart", "graph", "style", "classDef")):
+        return
+    if m := _EDGE.match(line):
+        label = m[4] or m[5]
+        yield m[1], m[2], m[3]
+        yield m[6], m[7], m[8]
+        yield "->", m[1], m[6], label.strip() if label else None
+    elif m := _ALONE.match(line):
+        yield m[1], m[2], m[3]
+    else:
+        raise ValueError(f"can't read {line.strip()!r}")
 
 
-def parse_d2(text: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str, str | None]]]:
+_D2_NAME = re.compile(r'"[^"]+"|[^":=<>]+')
+
+
+def _d2(line: str) -> Iterator[tuple]:
     """The same of "a -> b -> c: label" and "a: Label" lines; text behind # is a comment."""
-    nodes: dict[str, tuple[str, str]] = {}
-    edges = []
-
-    def add(name: str, label: str | None = None) -> str:
-        name = name.strip().strip('"')
-        if name not in nodes or label:
-            words = (label or name).strip().strip('"')
-            nodes[name] = ({"BEGIN": "begin", "END": "end"}.get(words.upper(), "task"), words)
-        return name
-
-    for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        if not line:
+    line = line.split("#", 1)[0].strip()
+    if not line:
+        return
+    head, colon, label = line.partition(":")
+    names = [x.strip() for x in head.split("->")]
+    if not all(_D2_NAME.fullmatch(x) for x in names):
+        raise ValueError(f"can't read {line!r}")
+    names, label = [x.strip('"') for x in names], label.strip().strip('"')
+    for x in names:
+        yield x, None, label if colon and len(names) == 1 else None
+    for a, b in zip(names, names[1:]):
+        yield "->", a, b, label if colon else None
+
+
+def flow_lines(text: str, style: str) -> list[tuple]:
+    """(part, id, dst, kind, label, line): nodes, edges and errors of a flow text (style: mermaid or d2); ids that read BEGIN or END are such, braces a decision."""
+    nodes: dict[str, tuple] = {}
+    rows = []
+    for number, line in enumerate(text.splitlines(), 1):
+        try:
+            found = list((_mermaid if style == "mermaid" else _d2)(line))
+        except ValueError as e:
+            rows.append(("error", None, None, None, str(e), number))
             continue
-        head, colon, label = line.partition(":")
-        names = [add(x) for x in head.split("->")] if "->" in head else []
-        for a, b in zip(names, names[1:]):
-            edges.append((a, b, label.strip().strip('"') if colon else None))
-        if not names:
-            add(head, label.strip() if colon else None)
-    return nodes, edges
+        for x in found:
+            if x[0] == "->":
+                rows.append(("edge", x[1], x[2], None, x[3], number))
+                continue
+            name, opened, label = x
+            if name not in nodes or opened or label:
+                words = (label or name).strip()
+                kind = {"BEGIN": "begin", "END": "end"}.get(words.upper(), "decision" if opened == "{" else "task")
+                nodes[name] = ("node", name, None, kind, words, nodes[name][5] if name in nodes else number)
+    return [*nodes.values(), *rows]
+
+
+def _parsed(text: str, style: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str, str | None]]]:
+    rows = flow_lines(text, style)
+    for r in rows:
+        if r[0] == "error":
+            raise ValueError(f"line {r[5]}: {r[4]}")
+    return {r[1]: (r[3], r[4]) for r in rows if r[0] == "node"}, [(r[1], r[2], r[4]) for r in rows if r[0] == "edge"]
+
+
+def parse_mermaid(text: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str, str | None]]]:
+    """({id: (kind, label)}, [(from, to, label)]) of a flowchart with an edge or node a line; the first line that can't be read is an error."""
+    return _parsed(text, "mermaid")
+
+
+def parse_d2(text: str) -> tuple[dict[str, tuple[str, str]], list[tuple[str, str, str | None]]]:
+    """The same of a D2 text."""
+    return _parsed(text, "d2")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -238,9 +222,16 @@ QUERIES = {"d01_faults": q_faults, "d02_cycle": q_cycle, "s08_reached": q_reache
 ORACLES = {
     "d01_faults": f"""WITH RECURSIVE {_G}, e AS (SELECT * FROM g WHERE node <> dep), r AS (SELECT node, dep FROM e UNION SELECT r.node, e.dep FROM r JOIN e ON r.dep = e.node), bad AS (SELECT DISTINCT node FROM r WHERE node IN (SELECT node FROM r x WHERE x.node = x.dep) OR dep IN (SELECT node FROM r x WHERE x.node = x.dep))
 SELECT 'unknown' AS fault, node, dep FROM g WHERE dep NOT IN (SELECT node FROM n) UNION ALL SELECT 'self', node, dep FROM g WHERE node = dep UNION ALL SELECT 'cycle', e.node, e.dep FROM e WHERE node IN (SELECT node FROM bad) AND dep IN (SELECT node FROM bad)""",
-    "d02_cycle": "SELECT * FROM (VALUES (0, 7), (1, 14)) t(position, node)",
+    "d02_cycle": f"""WITH RECURSIVE {_G}, e AS (SELECT * FROM g WHERE node <> dep AND dep <= 24), r AS (SELECT node, dep FROM e UNION SELECT r.node, e.dep FROM r JOIN e ON r.dep = e.node), on_ AS (SELECT DISTINCT node FROM r WHERE node = dep),
+behind AS (SELECT node FROM on_ UNION SELECT e.node FROM behind b JOIN e ON e.dep = b.node), s AS (SELECT node, min(dep) AS dep FROM e WHERE dep IN (SELECT node FROM behind) GROUP BY node), w AS (SELECT min(node) AS node, 0 AS steps FROM s UNION ALL SELECT s.dep, steps + 1 FROM w JOIN s USING (node) WHERE steps < 60),
+ring AS (SELECT DISTINCT node FROM w WHERE steps >= 30), go AS (SELECT 0 AS position, min(node) AS node FROM ring UNION ALL SELECT position + 1, s.dep FROM go JOIN s USING (node) WHERE position + 1 < (SELECT count(*) FROM ring)) SELECT position, node FROM go""",
     "s08_reached": f"WITH RECURSIVE {_G}, r AS (SELECT 11::BIGINT AS node, 0 AS steps UNION SELECT g.dep, steps + 1 FROM r JOIN g USING (node) WHERE steps < 30) SELECT node, min(steps) AS steps FROM r GROUP BY 1",
-    "d06_flow_faults": "SELECT * FROM (VALUES (1, 'begin'), (2, 'end'), (3, 'unreached'), (4, 'unlabelled'), (4, 'same label')) t(flow, fault)",
+    "d06_flow_faults": """WITH RECURSIVE n AS (SELECT n_regionkey AS flow, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+k AS (SELECT flow, id, r, CASE WHEN r = 1 OR flow = 1 AND r = 2 THEN 'begin' WHEN r = 5 AND flow <> 2 THEN 'end' ELSE 'task' END AS kind FROM n), e AS (SELECT a.flow, a.id AS src, b.id AS dst, CASE WHEN b.r = a.r + 1 OR a.r = 1 AND a.flow = 4 THEN 'next' WHEN a.r = 1 THEN 'skip' ELSE ' ' END AS label
+  FROM k a JOIN k b ON a.flow = b.flow AND (b.r = a.r + 1 AND NOT (a.flow = 3 AND a.r = 4) OR a.r = 1 AND b.r = 3 AND a.flow IN (0, 4) OR a.r = 2 AND b.r = 4 AND a.flow = 4)),
+seen AS (SELECT flow, id FROM k WHERE kind = 'begin' UNION SELECT e.flow, e.dst FROM seen s JOIN e ON e.flow = s.flow AND e.src = s.id), o AS (SELECT e.flow, src, count(*) AS m, count(nullif(trim(label), '')) AS named, count(DISTINCT nullif(trim(label), '')) AS kinds FROM e JOIN seen s ON s.flow = e.flow AND s.id = e.src GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT flow, kind AS fault FROM (SELECT flow, unnest(['begin', 'end']) AS kind FROM (SELECT DISTINCT flow FROM k)) x WHERE (SELECT count(*) FROM k WHERE k.flow = x.flow AND k.kind = x.kind) <> 1
+UNION SELECT flow, 'unreached' FROM k WHERE kind = 'end' AND (flow, id) NOT IN (SELECT (flow, id) FROM seen) UNION SELECT flow, 'unlabelled' FROM o WHERE named < m UNION SELECT flow, 'same label' FROM o WHERE kinds < named""",
     "d08_shallow_files": r"""WITH f AS (SELECT CASE WHEN doc_id % 3 = 0 THEN source || '/' || doc_id || '.txt' ELSE source || '/' || lang || '/' || doc_id || '.txt' END AS path, CASE WHEN doc_id % 3 = 0 THEN source ELSE source || '/' || lang END AS dir, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS depth FROM documents),
 d AS (SELECT DISTINCT dir, depth FROM f ORDER BY depth, dir LIMIT 40) SELECT path, f.depth FROM f SEMI JOIN d USING (dir) ORDER BY f.depth, dir, path LIMIT 100""",
 }

@@ -251,20 +251,6 @@ def test_history_and_wire(spark, tmp_path):
     assert {tuple(r) for r in logs.read_wire(spark, str(tmp_path / "wire"), "n long, type string").collect()} == {(1, "a"), (2, "b")}
 
 
-def test_execute():
-    tried = []
-
-    def run(n):
-        tried.append(n)
-        if n == "bad" or (n == "flaky" and tried.count(n) < 2):
-            raise RuntimeError(n)
-        return n.upper()
-
-    done, errors = graphs.execute({"a": set(), "b": {"a"}, "bad": {"a"}, "c": {"bad"}, "d": {"c", "b"}, "flaky": {"b"}, "x": {"y"}, "y": {"x"}}, run, retries=1)
-    assert done == {"a": "A", "b": "B", "flaky": "FLAKY"} and tried.index("a") < tried.index("b") and tried.count("bad") == 2
-    assert isinstance(errors["bad"], RuntimeError) and all(isinstance(errors[n], graphs.DependencyError) for n in "cdxy")
-
-
 def test_cycles(spark):
     edges = lambda pairs: spark.createDataFrame(pairs, "node long, dep long")
     assert graphs.cycle(edges([(1, 2), (2, 3)])).count() == 0
@@ -280,7 +266,32 @@ def test_flow_texts():
     assert edges == [("A", "B", None), ("B", "C", None), ("C", "D", "yes"), ("C", "B", "no")]
     nodes, edges = graphs.parse_d2('a: BEGIN\na -> b -> c: go # note\nc: "END"\n')
     assert nodes == {"a": ("begin", "BEGIN"), "b": ("task", "b"), "c": ("end", "END")} and edges == [("a", "b", "go"), ("b", "c", "go")]
+    with pytest.raises(ValueError, match="line 3: can't read 'x => y'"):
+        graphs.parse_mermaid("flowchart TD\nA --> B\nx => y\n")
+
+
+def test_components(spark):
+    import random
 
+    from quernstone.operators import large_graphs
+
+    rng = random.Random(8)
+    for n, m in ((60, 75), (64, 63)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] if n < 64 else [(i, i + 1) for i in range(m)] + [(63, 20)]
+        after = {i: {b for a, b in pairs if a == i} for i in range(n)}
+
+        def leads(i):
+            seen, todo = set(), [i]
+            while todo:
+                for b in after[todo.pop()] - seen:
+                    seen.add(b)
+                    todo.append(b)
+            return seen
+
+        to = {i: leads(i) for i in range(n)}
+        want = {(i, min(same)) for i in range(n) if len(same := {i} | {j for j in to[i] if i in to[j]}) > 1}
+        got = large_graphs.components(spark.createDataFrame(pairs, "src long, dst long"))
+        assert {tuple(r) for r in got.collect()} == want
 
 def test_loose_json():
     for text, want in (("{'a': [1, 2,], b: None}", '{"a":[1,2],"b":null}'), ('{"a": "x\\n\\u00e9", } // c', '{"a":"x\\né"}'), ("[1 2 3", "[1,2,3]"), ("-1.5e3", "-1500.0"), ("", None), ("{a}", None), ("] x", None)):
@@ -296,7 +307,7 @@ def test_sensitive_names(spark):
     assert got == [True, True, False, True, False, False]
 
 
-# --- archives, bus, cache
+# --- archives
 
 
 def test_archives(spark, tmp_path):
@@ -308,56 +319,3 @@ def test_archives(spark, tmp_path):
     assert {tuple(r)[1:3] for r in archives.zip_entries(files).collect()} == {("x/y.txt", 5), ("z", 0)}
     assert archives.unpack(archives.pack({"../up": b"1", "/abs": b"2", "ok": b"3"})) == {"ok": b"3"}
     assert archives.docx_to_markdown(b"no") is None and archives.entries(None) == []
-
-
-def test_bus():
-    import asyncio
-
-    from quernstone.streaming.bus import Bus
-
-    bus, seen = Bus(most=2), []
-    bus.publish("a", 0)
-    end = bus.on("a", seen.append)
-    bus.on("a", lambda e: 1 / 0)
-    q = bus.queue("a")
-    assert [bus.publish("a", i) for i in (1, 2, 3)] == [2, 2, 1]
-    end()
-    bus.publish("a", 4)
-    assert seen == [1, 2, 3] and list(q) == [1, 2]
-
-    async def main():
-        waited = bus.queue_async("b")
-        for i in range(4):
-            bus.publish("b", i)
-        await asyncio.sleep(0)
-        return [await waited.get(), await waited.get(), waited.empty()]
-
-    assert asyncio.run(main()) == [0, 1, True]
-
-
-def test_cache():
-    import threading
-    import time
-
-    from quernstone.streaming.bus import Cache
-
-    now, made = [0.0], []
-    cache = Cache(5.0, lambda: now[0])
-
-    def make():
-        made.append(1)
-        time.sleep(0.05)
-        return len(made)
-
-    got = []
-    threads = [threading.Thread(target=lambda: got.append(cache.get("k", make))) for _ in range(8)]
-    for t in threads:
-        t.start()
-    for t in threads:
-        t.join()
-    assert got == [1] * 8 and cache.get("k", make) == 1
-    now[0] = 6.0
-    assert cache.get("k", make) == 2
-    with pytest.raises(ZeroDivisionError):
-        cache.get("e", lambda: 1 / 0)
-    assert cache.get("e", lambda: 7) == 7
