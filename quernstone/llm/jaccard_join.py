@@ -53,6 +53,8 @@ SLICE = 2048
 FIRSTS, NEAREST = 8, 1
 #: Nodes up to which a table of two numbers for each is broadcast, and bytes of sketches up to which theirs is; beyond, they are shuffled.
 HELD, HELD_BYTES = 100_000, 16 << 20
+#: Rows of three numbers (pairs, runs) up to which they are broadcast to the larger table that they are joined with.
+FEW = 1 << 19
 #: Parts of the signatures for each shuffle partition: one part is held in arrays.
 FINER = 1
 _NO_FLAGS = ~np.uint64(3)
@@ -307,7 +309,7 @@ def _distinct_runs(rows: DataFrame) -> DataFrame:
     members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(10)), 20)).alias("s"), F.min("node").alias("lo"), F.max("node").alias("hi")]
     sums = rows.groupBy("run").agg(F.count(F.lit(1)).alias("size"), *members).filter("size > 1")
     one = staged(sums.groupBy("x", "s", "lo", "hi", "size").agg(F.min("run").alias("run")).select("run", "size"), "distinct")  # written, so that the join's hot runs can be split
-    return rows.join(one, "run")
+    return rows.join(F.broadcast(one) if one.count() <= FEW else one, "run")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, many: DataFrame | None) -> DataFrame:
@@ -354,10 +356,13 @@ def _allowed(n_a: pd.Series, s_a: pd.Series, n_b: pd.Series, s_b: pd.Series) ->
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked. The set of b travels once for a pair, a's once for each part of its pairs."""
     spark = pairs.sparkSession
-    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / 256))
-    keyed = pairs.join(heads, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
-    right = keyed.join(sets.select(F.col("node").alias("b"), "tokens"), "b").select("a", "part", "b", "tokens")
-    left = heads.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(sets.select(F.col("node").alias("a"), "tokens"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
+    few = pairs.count() <= FEW
+    heads = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).select("a", F.ceil(F.col("c") / 256).alias("parts"))
+    keyed = pairs.join(heads, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    parts_ = heads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    keyed, parts_ = (F.broadcast(x) if few else x for x in (keyed, parts_))  # no more rows than pairs; the sets stay where they lie
+    right = sets.select(F.col("node").alias("b"), "tokens").join(keyed, "b").select("a", "part", "b", "tokens")
+    left = sets.select(F.col("node").alias("a"), "tokens").join(parts_, "a").select("a", "part", F.lit(None).cast("long").alias("b"), "tokens")
     both = left.unionByName(right)
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -392,7 +397,7 @@ def _slots(runs: DataFrame) -> DataFrame:
 
 
 def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
-    """Of runs (run, node, component): (run, a, b) pairs of different components whose sizes and sketches allow a link.
+    """Of runs (run, node, component, size: at least its nodes): (run, a, b) pairs of different components whose sizes and sketches allow a link.
 
     nearest > 0: only each node's nearest by sketch; 0: all, each in the first run that both nodes name
     among their `FIRSTS` first ones, so that a pair isn't given by every run it is in. A long run is dealt by pairs of its slices, so
@@ -405,13 +410,17 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
         firsts = runs.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("run")), 1, FIRSTS).alias("firsts"))
         known = staged(known.join(firsts, "node"), "known")
     held = known.agg(F.sum(F.octet_length("sketch") + 100)).first()[0] or 0
-    rows = runs.join(staged(_slots(runs), "slots"), ["run", "component"]).join(F.broadcast(known) if held <= HELD_BYTES else known, "node")
+    big = runs.filter(F.col("size") > SLICE)
+    slots = staged(_slots(big), "slots")
     pooled = F.col("own").isNull()
     side = F.when(pooled, F.pmod(F.xxhash64("component", F.lit(12)), F.col("pool"))).otherwise(F.col("base") + F.pmod(F.xxhash64("node", F.lit(12)), F.col("own")))
     every = F.sequence(F.lit(0).cast("long"), F.col("total") - 1)
     others = F.when(pooled, every).otherwise(F.filter(every, lambda k: (k < F.col("base")) | (k >= F.col("base") + F.col("own"))))
-    rows = rows.withColumn("side", side).withColumn("_k", F.explode(others)).withColumn("lo", F.least("side", "_k")).withColumn("hi", F.greatest("side", "_k"))
-    rows = rows.select("run", "node", "component", "n", "sketch", "firsts", "side", "lo", "hi")
+    dealt = big.join(slots, ["run", "component"]).withColumn("side", side).withColumn("_k", F.explode(others))
+    dealt = dealt.select("run", "node", "component", "side", F.least("side", "_k").alias("lo"), F.greatest("side", "_k").alias("hi"))
+    zero = F.lit(0).cast("long")
+    rows = runs.filter(F.col("size") <= SLICE).select("run", "node", "component", zero.alias("side"), zero.alias("lo"), zero.alias("hi")).unionByName(dealt)
+    rows = rows.join(F.broadcast(known) if held <= HELD_BYTES else known, "node").select("run", "node", "component", "n", "sketch", "firsts", "side", "lo", "hi")
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs(piece: tuple[int, int, int], rows: list[tuple]) -> Iterator[np.ndarray]:
@@ -470,11 +479,14 @@ def _pairs_apart(runs: DataFrame, sets: DataFrame, nearest: int) -> DataFrame:
     return found.select("run", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
-def _open_runs(runs: DataFrame, components: DataFrame) -> DataFrame:
-    """The runs (run, node, component) that still lie in more than one component."""
-    rows = runs.select("run", "node").join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"))
+def _open_runs(runs: DataFrame, components: DataFrame, tables: Tables) -> DataFrame:
+    """The runs (run, node, component, size) that still lie in more than one component."""
+    rows = runs.join(components, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"), "size")
+    rows = tables.write(rows, "placed")
     open_ = staged(rows.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("run"), "open")
-    return rows.join(open_, "run", "left_semi")
+    left = staged(rows.join(open_, "run", "left_semi"), "left")
+    tables.drop("placed")
+    return left
 
 
 def unnamed(nodes: DataFrame) -> DataFrame | None:
@@ -509,18 +521,18 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = staged(_sets(docs, staged(wanted, "wanted"), unnamed(nodes)), "sets")
     short = runs.filter(F.col("size") <= SHORT)
     pairs = short.select("run", F.col("node").alias("a")).join(short.select("run", F.col("node").alias("b")), "run").filter("a < b").select("a", "b")
-    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node"), "long")
+    long = staged(runs.filter(F.col("size") > SHORT).select("run", "node", F.col("size").cast("int").alias("size")), "long")
     lead = long.groupBy("run").agg(F.min("node").alias("a"))
-    pairs = pairs.unionByName(long.join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
+    pairs = pairs.unionByName(long.drop("size").join(lead, "run").filter("node <> a").select("a", F.col("node").alias("b"))).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     pairs = pairs.filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).filter(F.pandas_udf(_allowed, "boolean")("n_a", "s_a", "n_b", "s_b")).select("a", "b")
     edges = staged(_verified(staged(pairs, "pairs"), sets), "links")
     components = staged(connected_components(edges), "components")
     for nearest in (NEAREST, 0):
-        left = staged(_open_runs(long, components), "open")
+        left = _open_runs(long, components, tables)
         found = staged(_pairs_apart(left, sets, nearest), "apart")
-        linked_ = staged(_verified(found.select("a", "b").distinct(), sets), "links")
+        linked_ = staged(_verified(staged(found.select("a", "b").distinct(), "pairs"), sets), "links")
         if not linked_.isEmpty():  # the old components are stars, so that their number of edges is small
             stars = components.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             components = staged(connected_components(stars.unionByName(linked_)), "components")
