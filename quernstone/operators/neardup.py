@@ -147,14 +147,14 @@ _SETS = "s AS (SELECT item_id, text AS t FROM benchmark), p AS (SELECT a.item_id
 _BI = "list_distinct(list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)))"
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> ''))"
 
-_SIM = f"""w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda i: substring(md5(w), i, 2)), ''))::UBIGINT AS h FROM w),
+SIM_SQL = f"""w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), h AS (SELECT doc_id, ('0x' || array_to_string(list_transform([15, 13, 11, 9, 7, 5, 3, 1], lambda i: substring(md5(w), i, 2)), ''))::UBIGINT AS h FROM w),
 v AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN 1 ELSE -1 END) AS votes FROM h, range(0, 64) t(i) GROUP BY ALL),
 sim AS (SELECT doc_id, CAST(CASE WHEN s >= 9223372036854775808::HUGEINT THEN s - 18446744073709551616::HUGEINT ELSE s END AS BIGINT) AS simhash FROM (SELECT doc_id, sum(CASE WHEN votes > 0 THEN 1::HUGEINT << i::INT ELSE 0 END) AS s FROM v GROUP BY 1))"""
 _SLOTS = ", ".join("min((h % {0} * {1} + {2}) % {0})".format(PRIME, *slot(i)) for i in range(64))
 QUERIES = {"q09_simhash": q_simhash, "j05_simhash_near_classes": q_simhash_classes, "q11_i_match": q_i_match, "q08_minhash": q_minhash, "c05_c07_similarities": q_similarities, "c08_cosine": q_cosine}
 ORACLES = {
-    "q09_simhash": f"WITH {_SIM} SELECT * FROM sim",
-    "j05_simhash_near_classes": f"WITH {_SIM}, c AS (SELECT simhash, min(doc_id) AS rep, count(*) AS docs FROM sim GROUP BY 1) SELECT a.rep AS rep_a, b.rep AS rep_b, a.docs AS docs_a, b.docs AS docs_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS bits FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.simhash, b.simhash)) <= 3",
+    "q09_simhash": f"WITH {SIM_SQL} SELECT * FROM sim",
+    "j05_simhash_near_classes": f"WITH {SIM_SQL}, c AS (SELECT simhash, min(doc_id) AS rep, count(*) AS docs FROM sim GROUP BY 1) SELECT a.rep AS rep_a, b.rep AS rep_b, a.docs AS docs_a, b.docs AS docs_b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS bits FROM c a JOIN c b ON a.rep < b.rep AND bit_count(xor(a.simhash, b.simhash)) <= 3",
     "q08_minhash": f"""WITH t AS (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) > 0), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN length(t) >= 3 THEN list_transform(range(1, length(t) - 1), lambda i: c[i] || c[i+1] || c[i+2]) ELSE [t] END) AS s FROM (SELECT *, string_split(t, '') AS c FROM t)),
 h AS (SELECT doc_id, ('0x' || left(md5(s), 8))::BIGINT AS h FROM s), m AS (SELECT doc_id, [{_SLOTS}] AS m FROM h GROUP BY 1) SELECT doc_id, 64 AS slots, coalesce(array_to_string(m, ','), array_to_string(list_transform(range(0, 64), lambda i: 0), ',')) AS signature FROM documents LEFT JOIN m USING (doc_id)""",
     "q11_i_match": f"""WITH f AS (SELECT doc_id, md5(array_to_string(list_sort(list_filter({_WORDS}, lambda w: w NOT IN ('the', 'of', 'and', 'de', 'la', 'le'))), ' ')) AS fingerprint FROM documents)

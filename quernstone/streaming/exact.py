@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.neardup import BLOCKS, NEAR, simhash
+from ..operators.neardup import BLOCKS, NEAR, SIM_SQL, simhash
 from ..plans.shipping import ship
 from ..plans.staging import new_path
 from ..sources.snapshots import Snapshots
@@ -225,6 +225,7 @@ from ..sources.tables import WIRE_SQL  # noqa: E402
 
 QUERIES = {"z03_broadcast": q_broadcast, "q10_candidate_changes": q_candidates, "z05_stale_claims": q_queue}
 ORACLES = {
+    "q10_candidate_changes": f"WITH {SIM_SQL}, c AS (SELECT DISTINCT simhash FROM sim ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)) SELECT a.simhash AS a, b.simhash AS b, CAST(bit_count(xor(a.simhash, b.simhash)) AS INTEGER) AS bits FROM c a JOIN c b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 3",
     "z03_broadcast": f"""WITH {WIRE_SQL}, n AS (SELECT *, CASE WHEN type = 'StatusUpdate' AND lag(type) OVER (PARTITION BY session_id ORDER BY idx) = 'StatusUpdate' THEN 0 ELSE 1 END AS c FROM wire)
 SELECT type, count(*) AS events, CAST(sum(tokens_in) AS BIGINT) AS tokens, CAST(sum(c) AS BIGINT) AS runs, count(*) AS parts FROM n GROUP BY type""",
 }
