@@ -515,7 +515,7 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = staged(first.filter("blob IS NULL").select("doc_id", "n", "node"), "nodes")
     prefixes = tables.write(_prefixes(first.filter("blob IS NOT NULL"), parts), "prefixes")
     tables.drop("shared")
-    runs = staged(_distinct_runs(prefixes), "runs")
+    runs = tables.write(_distinct_runs(prefixes), "runs")
     tables.drop("prefixes")
     wanted = nodes.join(runs.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = staged(_sets(docs, staged(wanted, "wanted"), unnamed(nodes)), "sets")
@@ -527,7 +527,9 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
     pairs = pairs.filter(F.least("n_a", "n_b") * DENOMINATOR >= F.greatest("n_a", "n_b") * NUMERATOR).filter(F.pandas_udf(_allowed, "boolean")("n_a", "s_a", "n_b", "s_b")).select("a", "b")
-    edges = staged(_verified(staged(pairs, "pairs"), sets), "links")
+    pairs = staged(pairs, "pairs")
+    tables.drop("runs")
+    edges = staged(_verified(pairs, sets), "links")
     components = staged(connected_components(edges), "components")
     for nearest in (NEAREST, 0):
         left = _open_runs(long, components, tables)
