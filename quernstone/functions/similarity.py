@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
+from ..plans.staging import cut
 from ..sources.tables import table
 
 
@@ -154,14 +155,28 @@ def q_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary(spark, sf_dir).select("term", _single(soundex, "string")("term").alias("soundex"))
 
 
-def q_jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jaro and Jaro-Winkler of words with the five that follow in order, within a first letter."""
+def followers(terms: DataFrame, most: int) -> DataFrame:
+    """Each of the different terms with `after`, the up to `most` terms that follow it in the whole order.
+
+    Terms are range-partitioned; a partition gets the first terms beyond its end, which are all that the
+    driver sees: at most `most` a partition."""
     from pyspark.sql import Window
 
+    placed = cut(terms.select("term").repartitionByRange("term").withColumn("part", F.spark_partition_id()))
+    order = Window.partitionBy("part").orderBy("term")
+    heads = sorted(placed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("part", "term").collect())
+    parts = sorted({h["part"] for h in heads})
+    starts = {p: i for i, h in reversed(list(enumerate(heads))) for p in [h["part"]]}
+    beyond = [(p, h["term"], False) for p, q in zip(parts, parts[1:]) for h in heads[starts[q] : starts[q] + most]]
+    both = placed.select("part", "term", F.lit(True).alias("own")).unionByName(terms.sparkSession.createDataFrame(beyond, "part int, term string, own boolean"))
+    after = F.filter(F.array(*[F.lead("term", k).over(order) for k in range(1, most + 1)]), lambda t: t.isNotNull())
+    return both.withColumn("after", after).filter("own").select("term", "after")
+
+
+def q_jaro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jaro and Jaro-Winkler of words with the five that follow in order, within a first letter."""
     ship(spark)
-    order = Window.partitionBy(F.substring("term", 1, 1)).orderBy("term")
-    after = dictionary(spark, sf_dir).select("term", F.array(*[F.lead("term", k).over(order) for k in range(1, 6)]).alias("after"))
-    pairs = after.select("term", F.explode("after").alias("other")).filter("other IS NOT NULL")
+    pairs = followers(dictionary(spark, sf_dir), 5).select("term", F.explode("after").alias("other")).filter(F.substring("term", 1, 1) == F.substring("other", 1, 1))
     return pairs.select("term", "other", F.round(_pairwise(jaro, "double")("term", "other"), 6).alias("jaro"), F.round(_pairwise(jaro_winkler, "double")("term", "other"), 6).alias("jaro_winkler"))
 
 

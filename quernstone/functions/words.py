@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegerType, StringType
 
 from ..plans.shipping import ship
 from ..sources.tables import table
-from .similarity import dictionary, osa_distance
+from .similarity import dictionary, followers, osa_distance
 
 # The phonetic rules in order, as (letters with what stands around them, sound). The first that fits at a place is taken and
 # its letters are passed over. What "end" allows beside letters comes from the code's own habit of taking the end of a word for any letter.
@@ -143,16 +143,15 @@ def q_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_osa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each word to the one after it in order, and to itself with its first letters swapped."""
-    from pyspark.sql import Window
-
+    """Distance of each word to the one after it in order, within a first letter, and to itself with its first letters swapped."""
     ship(spark)
 
     def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if y is None else osa_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
 
     distance = F.pandas_udf(pairs, IntegerType())
-    words = dictionary(spark, sf_dir).select("term", F.lead("term").over(Window.partitionBy(F.substring("term", 1, 1)).orderBy("term")).alias("other"))
+    after = F.get("after", F.lit(0))
+    words = followers(dictionary(spark, sf_dir), 1).select("term", F.when(F.substring(after, 1, 1) == F.substring("term", 1, 1), after).alias("other"))
     swapped = F.concat(F.substring("term", 2, 1), F.substring("term", 1, 1), F.expr("substring(term, 3)"))
     return words.select("term", distance("term", "other").alias("next"), distance(F.col("term"), swapped).alias("swapped"))
 

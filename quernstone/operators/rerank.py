@@ -142,8 +142,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training(feats: DataFrame, rows: int = 5000) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Features and grades of the even queries, a query an entry; a bounded set of at most `rows` results."""
-    sample = feats.filter("qid % 2 = 0").orderBy("qid", "doc_id").limit(rows).toPandas()
+    """Features and grades of the even queries, a query an entry; a bounded set of at most `rows` results, of queries in the order of their hash."""
+    sample = feats.filter("qid % 2 = 0").orderBy(F.xxhash64("qid"), "qid", "doc_id").limit(rows).toPandas()
     groups = [g for _, g in sample.groupby("qid")]
     return [g[["f0", "f1", "f2"]].to_numpy() for g in groups], [g["grade"].to_numpy() for g in groups]
 

@@ -52,6 +52,19 @@ def test_jaro_rows(spark, sf):
     assert similarity.jaro("abcdef", "bcadef") == pytest.approx((1 + 1 + (6 - 1.5) / 6) / 3)  # three out of place: one and a half
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_followers_across_partitions(spark, parts):
+    terms = sorted({f"{c}{k:02}" for c in "abz" for k in range(9)})  # partitions of fewer terms than follow, and empty ones
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["term"]: list(r["after"]) for r in similarity.followers(spark.createDataFrame([(t,) for t in terms], "term string"), 5).collect()}
+        none = similarity.followers(spark.createDataFrame([], "term string"), 5).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert got == {t: terms[i + 1 : i + 6] for i, t in enumerate(terms)} and none == []
+
+
 def plain_osa(a, b):
     d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
     for i in range(len(a)):
