@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,6 +101,8 @@ def queued(events: list[tuple], held: dict[int, list], stale: float, limit: int)
 # near-duplicate candidates with removals
 
 CANDIDATES = "a long, b long, delta long"
+#: Parts that the keys of each choice of blocks are dealt into. A part is one group, with one state for all of its keys.
+PARTS = 64
 
 
 def _masks() -> list[int]:
@@ -110,40 +113,49 @@ def _masks() -> list[int]:
     return masks
 
 
+def changed_pairs(h: np.ndarray, was: np.ndarray, now: np.ndarray, masks: list[int], band: int) -> pd.DataFrame:
+    """(a, b, delta) of near fingerprints that share the key of this band and of none before. h: different and ascending; was, now: whether each was and is there."""
+    key = h & masks[band]
+    some = np.isin(key, key[was != now]) & (was | now)
+    order = np.flatnonzero(some)[np.argsort(key[some], kind="stable")]
+    h, key, was, now = h[order], key[order], was[order], now[order]
+    out, i, ahead = [np.empty((0, 3), np.int64)], np.arange(len(h)), 0
+    while len(i):  # each with the one `ahead` places on, as long as there is one of its key
+        ahead += 1
+        i = i[i + ahead < len(h)]
+        i = i[key[i + ahead] == key[i]]
+        j = i + ahead
+        delta, differ = (now[i] & now[j]).astype(np.int64) - (was[i] & was[j]), h[i] ^ h[j]
+        told = (delta != 0) & (np.bitwise_count(differ.view(np.uint64)) <= NEAR)
+        for mask in masks[:band]:
+            told &= (differ & mask) != 0
+        out.append(np.column_stack([h[i], h[j], delta])[told])
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b", "delta"])
+
+
 def candidate_stream(changes: DataFrame) -> DataFrame:
     """Changes (a, b, delta) to the pairs of different fingerprints within NEAR bits, of a stream of changes (simhash, delta: 1 added, -1 removed).
 
-    A fingerprint is keyed by each choice of its blocks; the state of a key counts its fingerprints, so that copies are one and a key's state is its different
-    fingerprints. A pair is told when both are there and untold when one goes, by the first of the keys that they share, so once. The pairs that there are now are those whose deltas sum to 1.
+    A fingerprint is keyed by each choice of its blocks, and keys are dealt into PARTS groups a choice, so that a batch wakes no group for each key. The state of a group
+    counts the fingerprints of its keys as two packed columns; copies are one. A pair is told when both are there and untold when one goes, by the first of the keys that
+    they share, so once. The pairs that there are now are those whose deltas sum to 1.
     """
     ship(changes.sparkSession)
     masks = _masks()
-    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(m).cast("long")) for m in masks])
-    rows = changes.select("simhash", F.col("delta").cast("long").alias("delta"), F.posexplode(keys).alias("band", "key"))
+    parts = F.array(*[F.pmod(F.xxhash64(F.col("simhash").bitwiseAND(F.lit(m).cast("long"))), F.lit(PARTS)) for m in masks])
+    rows = changes.select("simhash", F.col("delta").cast("long").alias("delta"), F.posexplode(parts).alias("band", "part"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = dict(state.get[0]) if state.exists else {}
-        before = {h for h, c in count.items() if c > 0}
-        for pdf in batches:
-            for h, delta in pdf[["simhash", "delta"]].itertuples(index=False, name=None):
-                count[h] = count.get(h, 0) + delta
-        count = {h: c for h, c in count.items() if c}  # below 0: a removal that came before its addition
-        after = {h for h, c in count.items() if c > 0}
-
-        def told(new: set[int], old: set[int], delta: int) -> list[tuple]:
-            """Pairs of a fingerprint that is only in new with one of new."""
-            found = []
-            for h in new - old:
-                for g in new:
-                    if (g in old or g > h) and g != h and ((g ^ h) & ((1 << 64) - 1)).bit_count() <= NEAR and next(i for i, m in enumerate(masks) if g & m == h & m) == key[0]:
-                        found.append((min(g, h), max(g, h), delta))
-            return found
-
-        out = told(after, before, 1) + told(before, after, -1)
-        state.update(([(int(h), int(c)) for h, c in count.items()],))
-        yield pd.DataFrame(out, columns=["a", "b", "delta"])
+        held, counts = (np.frombuffer(x, np.int64) for x in state.get) if state.exists else (np.empty(0, np.int64), np.empty(0, np.int64))
+        got = [pdf[["simhash", "delta"]].to_numpy(np.int64) for pdf in batches]
+        h, at = np.unique(np.concatenate([held, *[x[:, 0] for x in got]]), return_inverse=True)
+        n, was = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        np.add.at(n, at, np.concatenate([counts, *[x[:, 1] for x in got]]))
+        was[np.searchsorted(h, held)] = counts > 0
+        state.update((h[n != 0].tobytes(), n[n != 0].tobytes()))  # below 0: a removal that came before its addition
+        yield changed_pairs(h, was, n > 0, masks, int(key[0]))
 
-    return rows.groupBy("band", "key").applyInPandasWithState(step, CANDIDATES, "counts array<struct<simhash: long, n: long>>", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("band", "part").applyInPandasWithState(step, CANDIDATES, "held binary, counts binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def _finished(query) -> None:
@@ -184,9 +196,10 @@ def q_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of near fingerprints of the documents that are no toxic ones: all are added, and the toxic ones are removed, some of them in the batch before they come."""
     docs = simhash(table(spark, sf_dir, "documents"))
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi").select("simhash", F.lit(-1).alias("delta"), F.pmod("doc_id", F.lit(3)).alias("part"))
-    changes = docs.select("simhash", F.lit(1).alias("delta"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part")).unionByName(gone)
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).distinct()
+    change = lambda delta, part: F.struct(F.lit(delta).alias("delta"), F.pmod(part, F.lit(3)).cast("int").alias("part"))
+    added, gone = change(1, F.xxhash64("doc_id")), change(-1, F.col("doc_id"))
+    changes = docs.join(toxic, "doc_id", "left").select("simhash", F.explode(F.when(F.col("toxic"), F.array(added, gone)).otherwise(F.array(added))).alias("c")).select("simhash", "c.*")
     source, root = new_path(spark, "changes"), new_path(spark, "candidates")
     changes.repartition(3, "part").write.parquet(source)
     stream = spark.readStream.schema("simhash long, delta int").option("maxFilesPerTrigger", 1).parquet(source)

@@ -72,6 +72,16 @@ def test_candidates_with_removals(spark, tmp_path):
     assert {(r["a"], r["b"]) for r in got if r[2] == 1} == want and want and all(r[2] in (0, 1) for r in got)
 
 
+def test_candidates_wake_few_groups(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.getrandbits(63), 1) for _ in range(2000)]
+    in_files(spark, rows, "simhash long, delta long", tmp_path / "in", 2000)
+    stream = spark.readStream.schema("simhash long, delta long").parquet(str(tmp_path / "in"))
+    query = exact.Recorder(spark, str(tmp_path / "out"), {"rows": lambda b: b}).start(exact.candidate_stream(stream), str(tmp_path / "c"))
+    query.awaitTermination(200)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 20 * exact.PARTS  # there was a group for each of 40,000 keys
+
+
 def test_recorder_replays(spark, tmp_path):
     fail = [True]
 
