@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from quernstone.functions import similarity as sim
-from quernstone.functions import structured
+from quernstone.functions import structured, words
 from quernstone.operators import neardup, rerank, retrieval
 from quernstone.sources import logs, pages
 from quernstone.streaming import folds
@@ -19,6 +22,22 @@ def test_osa():
     assert sim.osa_distance("abcdef", "uvwxyz", 2) == 3
 
 
+def test_damerau_as_in_sql(spark):
+    terms = ["".join(w) for n in range(1, 5) for w in itertools.product("abc", repeat=n)]
+    pairs = [*itertools.product(terms, terms)][::37] + [("antian", "ainan"), ("ca", "abc")]
+    con = duckdb.connect()
+    assert [sim.damerau_distance(*p) for p in pairs] == [con.execute("SELECT damerau_levenshtein(?, ?)", p).fetchone()[0] for p in pairs]
+    one = lambda x, name: spark.createDataFrame([(x,)], f"{name} string")
+    found = sim.fuzzy_pairs(one("antian", "a"), one("ainan", "b")).collect()
+    assert [tuple(r) for r in found] == [("antian", "ainan", 2)]  # a swap with a letter lost between
+
+
+def test_line_edit_of_a_short_line(spark, tmp_path):
+    spark.createDataFrame([(2, "Thing.\nmore"), (6, "Thing\nmore")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r["item_id"]: (r["how"], r["digest"]) for r in words.q_line_edits(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys((2, 6), ("alike", hashlib.md5(b"NEW\nmore").hexdigest()))
+
+
 def test_jaro():
     assert round(sim.jaro("MARTHA", "MARHTA"), 4) == 0.9444
     assert round(sim.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
