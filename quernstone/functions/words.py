@@ -160,7 +160,10 @@ def q_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of passages: of their first line as it is, with blanks around it, with a letter lost, and of what isn't there."""
     ship(spark)
     first = F.regexp_extract("text", r"\A([^\n]*)", 1)
-    old = F.when(F.col("item_id") % 4 == 0, first).when(F.col("item_id") % 4 == 1, F.concat(F.lit("  "), first, F.lit(" "))).when(F.col("item_id") % 4 == 2, F.concat(F.substring(first, 1, 5), F.expr("substring(regexp_extract(text, '^([^\\n]*)', 1), 7)"))).otherwise(F.lit("0123456789"))
+    # the sixth letter is lost, or the first other one without which the line stands nowhere in the text: "Thing" is a place of "Thing."
+    without = F.transform(F.concat(F.array(F.lit(6)), F.sequence(F.lit(1), F.greatest(F.length(first), F.lit(1)))), lambda k: F.concat(F.substring(first, F.lit(1), k - 1), F.substring(first, k + 1, F.length(first))))
+    lost = F.coalesce(F.get(F.filter(without, lambda w: ~F.contains(F.col("text"), F.trim(w))), F.lit(0)), F.get(without, F.lit(0)))
+    old = F.when(F.col("item_id") % 4 == 0, first).when(F.col("item_id") % 4 == 1, F.concat(F.lit("  "), first, F.lit(" "))).when(F.col("item_id") % 4 == 2, lost).otherwise(F.lit("0123456789"))
 
     def run(parts):
         for pdf in parts:
