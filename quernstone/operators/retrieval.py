@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..plans.staging import cut
 from ..sources.tables import spread, table
 from . import scoring
 
@@ -73,14 +74,9 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """term, df, cf, of all terms or of those wanted, without grouping by document."""
-    rows = prepared(docs).select(grams(F.col("t"), F.col("n")).alias("g"))
-    part = lambda g, d, c: F.struct(g.alias("terms"), F.lit(d).alias("d"), F.lit(c).alias("c"))
-    both = F.array(part(F.col("g"), 0, 1), part(F.array_distinct("g"), 1, 0))
-    rows = rows.select(F.explode(both).alias("x")).select("x.d", "x.c", F.explode("x.terms").alias("term"))
-    if wanted is not None:
-        rows = rows.join(wanted, "term", "left_semi")
-    return rows.groupBy("term").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
+    """term, df, cf, of all terms or of those wanted, without grouping by document: tasks add up their terms before the shuffle."""
+    found = scoring.counts(docs.filter("text IS NOT NULL")).filter("code >= 0").select(scoring.spelt(F.col("code")).alias("term"), "df", "cf")
+    return found if wanted is None else found.join(wanted, "term", "left_semi")
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
@@ -131,16 +127,30 @@ class Index:
         docs = spread(docs.select("doc_id", "text").filter("text IS NOT NULL AND doc_id IS NOT NULL"))
         self.docs, self.lengths, self.dense = docs, doc_lengths(docs), dense
         self.stats, self.postings = corpus_stats(self.lengths, dense), postings(docs)
+        self._counted = None
 
     def terms(self, wanted: DataFrame | None = None) -> DataFrame:
         """term, df, cf of the terms in the index (of those wanted, if given): stop n-grams are not."""
-        if wanted is not None:
-            names = [r["term"] for r in wanted.select("term").limit(scoring.HELD + 1).collect()]
-            if len(names) <= scoring.HELD:
-                rows = [(t, *x) for t, x in self.known(names)[0].items()]
-                return wanted.sparkSession.createDataFrame(rows, "term string, df long, cf long")
+        if wanted is None:
+            kept = self.counted().filter("code >= 0").select(scoring.spelt(F.col("code")).alias("term"), "df", "cf")
+            return kept_terms(kept, self.totals())
+        names = [r["term"] for r in wanted.select("term").limit(scoring.HELD + 1).collect()]
+        if len(names) <= scoring.HELD:
+            rows = [(t, *x) for t, x in self.known(names)[0].items()]
+            return wanted.sparkSession.createDataFrame(rows, "term string, df long, cf long")
         return kept_terms(term_counts(self.docs, wanted), self.stats)
 
+    def counted(self) -> DataFrame:
+        """Codes, df and cf of all terms, from one pass over the texts that is done once."""
+        if self._counted is None:
+            self._counted = cut(scoring.counts(self.docs))
+        return self._counted
+
+    def totals(self) -> DataFrame:
+        """As `stats`, from what was counted with the terms."""
+        all_ = self.counted().filter("code = -1")
+        return all_.select((F.col("df") if self.dense else F.col("last") + 1).alias("n"), (F.col("cf") / F.col("df")).alias("avgdl"), F.col("cf").alias("total"))
+
     def known(self, names: list[str]) -> tuple[dict[str, tuple[int, int]], int, float]:
         """({term: (df, cf)} of those of the terms that are in the index, N, average length)."""
         found, docs, last, total = scoring.statistics(self.docs, names)
@@ -199,6 +209,17 @@ class Index:
         scores = hits.dropDuplicates(["qid", "term", "doc_id"]).groupBy("qid", "doc_id").agg(F.sum("part").alias("score")).join(have, ["qid", "doc_id"])
         return top(scores if share is None else enough(scores, q, share), k)
 
+    def repeated(self) -> bool:
+        """Whether several rows share a doc_id: these are one document to what groups by it."""
+        return not self.docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+    def all_scores(self, q: DataFrame) -> DataFrame:
+        """qid, doc_id, score of every document with a term of the query: where the documents lie, if the queries can be sent there."""
+        ready = None if self.repeated() else self.blocks(q, "qtf")
+        if ready is None:
+            return self.scored(self.matching(q)).select("qid", "doc_id", "score")
+        return scoring.every(self.docs, *ready, K1, B)
+
     def weighed(self, posts: DataFrame) -> DataFrame:
         """Postings with what one query occurrence of the term adds to the document's score: computed once for all queries."""
         rows = posts.join(self.lengths, "doc_id").crossJoin(F.broadcast(self.stats))
@@ -272,7 +293,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with a score, for each query."""
     index = Index(table(spark, sf_dir, "documents"))
-    scores = index.scored(index.matching(query_terms(queries_of(spark, sf_dir))))
+    scores = index.all_scores(query_terms(queries_of(spark, sf_dir)))
     return scores.select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -308,6 +329,8 @@ def q_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document its length, different terms and largest tf."""
     index = Index(table(spark, sf_dir, "documents"))
+    if not index.repeated():
+        return scoring.profiles(index.docs)
     found = index.postings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("terms"), F.max("tf").alias("max_tf"))
     return index.lengths.join(found, "doc_id", "left").select("doc_id", "dl", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("max_tf", F.lit(0)).alias("max_tf"))
 
@@ -315,7 +338,7 @@ def q_doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_collection_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Index(table(spark, sf_dir, "documents"))
     kept = index.terms()
-    return kept.crossJoin(F.broadcast(index.stats)).select("term", F.round(F.col("cf") / F.col("total"), 10).alias("p"))
+    return kept.crossJoin(F.broadcast(index.totals())).select("term", F.round(F.col("cf") / F.col("total"), 10).alias("p"))
 
 
 def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

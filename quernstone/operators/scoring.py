@@ -15,13 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
 
 #: Rows (query, term) up to which the queries are sent; cells of one block's matrix; documents and characters weighed at once.
 HELD, CELLS, DOCS, CHARACTERS = 400_000, 1 << 22, 64, 4 << 20
+#: Counts of terms that a task gathers before it adds them up, different terms that it keeps then, and scores in a batch that leaves it.
+GATHERED, KEPT, ROWS = 1 << 21, 1 << 20, 1 << 16
 
 
 # First and last code points of the CJK ranges that choose the size of n-grams.
@@ -171,6 +173,93 @@ def statistics(docs: DataFrame, terms: list[str]) -> tuple[dict[str, tuple[int,
     return {names[c]: (r["df"], r["cf"]) for c, r in found.items()}, *((all_["df"], all_["last"], all_["cf"]) if all_ else (0, -1, 0))
 
 
+def _tallies(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, lengths, different terms, their codes, their frequencies) of some documents, codes and frequencies document by document."""
+    for ids, lengths, _, code in _chunks(batch):
+        found = [np.unique(x, return_counts=True) for x in np.split(code, np.cumsum(lengths)[:-1])]
+        yield ids, lengths, np.array([len(x) for x, _ in found]), np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(code, df, cf, last) of all packed terms of docs (doc_id, text); behind code -1 the numbers of documents and tokens and the largest doc_id. One pass.
+
+    A task adds up its documents' terms and passes on what it has whenever that is more than KEPT terms, so that Spark groups a few rows a term."""
+    ship(docs.sparkSession)
+    names = ["code", "df", "cf", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.empty(0, np.int64)
+        held, parts, size, n, last, total = (none, none, none), [], 0, 0, -1, 0
+
+        def added() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            code, at = np.unique(np.concatenate([held[0], *[x for x, _ in parts]]), return_inverse=True)
+            df, cf = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+            np.add.at(df, at, np.concatenate([held[1], *[np.ones(len(x), np.int64) for x, _ in parts]]))
+            np.add.at(cf, at, np.concatenate([held[2], *[y for _, y in parts]]))
+            return code, df, cf
+
+        for batch in batches:
+            for ids, lengths, _, code, tf in _tallies(batch):
+                n, last, total, size = n + len(ids), max(last, int(ids.max())), total + int(lengths.sum()), size + len(code)
+                parts.append((code, tf))
+                if size > GATHERED:
+                    held, parts, size = added(), [], 0
+                    if len(held[0]) > KEPT:
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, held), pa.array(np.full(len(held[0]), -1))], names)
+                        held = (none, none, none)
+        out = [np.append(x, y) for x, y in zip(added(), (-1, n, total))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(np.append(np.full(len(out[0]) - 1, -1), last))], names)
+
+    return docs.mapInArrow(run, "code long, df long, cf long, last long").groupBy("code").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.max("last").alias("last"))
+
+
+def spelt(code: Column) -> Column:
+    """The term of a packed code."""
+
+    def letter(shift: int) -> Column:
+        x = F.shiftright(code, shift).bitwiseAND(F.lit((1 << 21) - 1))
+        return F.when(x > 0, F.decode(F.unhex(F.lpad(F.hex(x - 1), 8, "0")), "UTF-32")).otherwise("")
+
+    return F.concat(letter(42), letter(21), letter(0))
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, dl, terms, max_tf) of docs (doc_id, text): length, different terms and the largest frequency, where the documents lie."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, lengths, terms, _, tf in _tallies(batch):
+                most = np.array([x.max(initial=0) for x in np.split(tf, np.cumsum(terms)[:-1])], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(terms, pa.int64()), pa.array(most)], ["doc_id", "dl", "terms", "max_tf"])
+
+    return docs.mapInArrow(run, "doc_id long, dl long, terms long, max_tf long")
+
+
+def every(docs: DataFrame, queries: list[Block], average: float, k1: float, b: float) -> DataFrame:
+    """(qid, doc_id, score) of all documents with a term of the query, where the documents lie. docs: (doc_id, text)."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(queries)  # at most HELD rows
+    names = ["qid", "doc_id", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for ids, lengths, which, code in _chunks(batch):
+                for block in shared.value:
+                    score = block.scores(which, code, lengths, average, k1, b)[0]
+                    i, j = np.nonzero(score > 0)
+                    held.append((block.qids[i], ids[j], score[i, j]))
+                    size += len(i)
+                    if size > ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+                        held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
+
+    return docs.mapInArrow(run, "qid long, doc_id long, score double")
+
+
 def best(docs: DataFrame, queries: list[Block], average: float, k: int, k1: float, b: float) -> DataFrame:
     """(qid, doc_id, score): of each task the k best of each query, by rounded score, then doc_id. docs: (doc_id, text)."""
     ship(docs.sparkSession)

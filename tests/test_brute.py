@@ -332,3 +332,18 @@ def test_archives(spark, tmp_path):
     assert {tuple(r)[1:3] for r in archives.zip_entries(files).collect()} == {("x/y.txt", 5), ("z", 0)}
     assert archives.unpack(archives.pack({"../up": b"1", "/abs": b"2", "ok": b"3"})) == {"ok": b"3"}
     assert archives.docx_to_markdown(b"no") is None and archives.entries(None) == []
+
+
+def test_terms_come_from_one_pass_without_a_shuffle_of_tokens(spark, sf):
+    docs = spark.createDataFrame([(i, f"some words {i % 3} of text {i}") for i in range(400)] + [(400, "é中文字符测试"), (401, ""), (402, "ab")], "doc_id long, text string")
+    index = retrieval.Index(docs)
+    assert {tuple(r) for r in retrieval.term_counts(docs).collect()} == {tuple(r) for r in retrieval.term_stats(retrieval.postings(docs)).collect()}
+    assert [tuple(r) for r in index.totals().collect()] == [tuple(r) for r in index.stats.collect()]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan(index.terms()) and "Generate" not in plan(retrieval.term_counts(docs))  # tokens were rows
+    q = spark.createDataFrame([(1, "wor", 1), (1, "me ", 2), (2, "ab", 1)], "qid long, term string, qtf long")
+    scores = lambda df: {(r["qid"], r["doc_id"]): round(r["score"], 6) for r in df.collect()}
+    assert scores(index.all_scores(q)) == scores(index.scored(index.matching(q))) and "Generate" not in plan(index.all_scores(q))
+    twice = retrieval.Index(docs.union(docs.filter("doc_id = 402")))
+    assert twice.repeated() and not index.repeated()
+    assert scores(twice.all_scores(q)) == scores(twice.scored(twice.matching(q)))
