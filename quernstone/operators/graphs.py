@@ -16,6 +16,15 @@ from ..sources.tables import table
 from .corpus import files
 
 
+#: Rows up to which the nodes of a step are sent to the edges.
+FEW = 1 << 18
+
+
+def few(nodes: DataFrame) -> DataFrame:
+    """The nodes, broadcast if there are at most FEW."""
+    return F.broadcast(nodes) if nodes.count() <= FEW else nodes
+
+
 def unresolved(edges: DataFrame) -> DataFrame:
     """The edges among nodes that can never run: nodes without open dependencies are peeled off, round by round. Empty if there is no cycle."""
     left = cut(edges.select("node", "dep").distinct())
@@ -62,10 +71,13 @@ def faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(node, steps): everything that start (node) leads to along edges (src, dst), with the least number of steps. Only new nodes are joined again."""
+    """(node, steps): everything that start (node) leads to along edges (src, dst), with the least number of steps. Only new nodes are joined again.
+
+    Edges are made once, not once a step, and stay where they lie as long as the new nodes are few."""
+    edges = cut(edges.select("src", "dst"))
     seen = fresh = cut(start.select("node", F.lit(0).alias("steps")).distinct())
     while True:
-        fresh = edges.join(fresh.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), (F.col("steps") + 1).alias("steps")).distinct()
+        fresh = edges.join(few(fresh.withColumnRenamed("node", "src")), "src").select(F.col("dst").alias("node"), (F.col("steps") + 1).alias("steps")).distinct()
         fresh = cut(fresh.join(seen, "node", "left_anti"))
         if fresh.isEmpty():
             return seen

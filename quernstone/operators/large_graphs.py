@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
@@ -103,13 +103,15 @@ def components(edges: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level) of a graph (node, dep): 0 without dependency, else one more than the highest of them; nodes on or behind a cycle have none."""
     left = cut(edges.select("node", "dep").distinct())
-    done = cut(left.select(F.col("dep").alias("node")).distinct().join(left.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
-    fresh, level = done, 0
+    need = cut(left.groupBy("node").agg(F.count(F.lit(1)).alias("n")))  # dependencies without a level yet
+    fresh = cut(left.select(F.col("dep").alias("node")).distinct().join(need, "node", "left_anti").withColumn("level", F.lit(0)))
+    done, level = fresh, 0
     while not fresh.isEmpty():
         level += 1
-        rest = cut(left.join(fresh.select(F.col("node").alias("dep")), "dep", "left_anti").select("node", "dep"))
-        fresh = cut(left.select("node").distinct().join(rest.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        left, done = rest, cut(done.unionByName(fresh))
+        met = left.join(graphs.few(fresh.select(F.col("node").alias("dep"))), "dep").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+        need = cut(need.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        fresh = need.filter("n = 0").select("node", F.lit(level).alias("level"))
+        need, done = need.filter("n > 0"), done.unionByName(fresh)
     return done
 
 
@@ -120,13 +122,28 @@ def succession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumn("dst", after).filter("l_returnflag = 'R' AND dst IS NOT NULL AND dst <> l_partkey").select(F.col("l_partkey").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).distinct()
 
 
+#: The letters of the kinds of nodes.
+KINDS = "rnscpo"
+
+
+def code(kind: str, key: Column) -> Column:
+    """A node as a number, a third as long as its name: eight times its key and the place of its kind."""
+    return key.cast("long") * 8 + KINDS.index(kind)
+
+
+def named(nodes: DataFrame) -> DataFrame:
+    """Nodes with their names for their codes: the kind's letter and the key."""
+    kind = F.substring(F.lit(KINDS), F.pmod(F.col("node"), F.lit(8)).cast("int") + 1, F.lit(1))
+    return nodes.withColumn("node", F.concat(kind, F.shiftright("node", 3).cast("string")))
+
+
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, dep): orders need their customer and parts, parts their suppliers, these and customers their nation, nations their region."""
+    """(node, dep), coded as in `code`: orders need their customer and parts, parts their suppliers, these and customers their nation, nations their region."""
     t = lambda name: table(spark, sf_dir, name)
-    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("node"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dep"))
+    edge = lambda df, a, x, b, y: df.select(code(a, F.col(x)).alias("node"), code(b, F.col(y)).alias("dep")).distinct()
     out = edge(t("orders"), "o", "o_orderkey", "c", "o_custkey").unionByName(edge(t("lineitem"), "o", "l_orderkey", "p", "l_partkey")).unionByName(edge(t("lineitem"), "p", "l_partkey", "s", "l_suppkey"))
     out = out.unionByName(edge(t("customer"), "c", "c_custkey", "n", "c_nationkey")).unionByName(edge(t("supplier"), "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(t("nation"), "n", "n_nationkey", "r", "n_regionkey"))
-    return out.distinct()
+    return out  # kinds keep the parts apart
 
 
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +156,13 @@ def q_never(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels(supply(spark, sf_dir))
+    return named(levels(supply(spark, sf_dir)))
 
 
 def q_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What suppliers of little means hold up, and how far away it is."""
-    failed = table(spark, sf_dir, "supplier").filter("s_acctbal < 1000").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
-    return graphs.reached(supply(spark, sf_dir).select(F.col("dep").alias("src"), F.col("node").alias("dst")), failed).filter("steps > 0")
+    failed = table(spark, sf_dir, "supplier").filter("s_acctbal < 1000").select(code("s", F.col("s_suppkey")).alias("node"))
+    return named(graphs.reached(supply(spark, sf_dir).select(F.col("dep").alias("src"), F.col("node").alias("dst")), failed).filter("steps > 0"))
 
 
 def q_reached(spark: SparkSession, sf_dir: str) -> DataFrame:

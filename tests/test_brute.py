@@ -347,3 +347,22 @@ def test_terms_come_from_one_pass_without_a_shuffle_of_tokens(spark, sf):
     twice = retrieval.Index(docs.union(docs.filter("doc_id = 402")))
     assert twice.repeated() and not index.repeated()
     assert scores(twice.all_scores(q)) == scores(twice.scored(twice.matching(q)))
+
+
+def test_edges_are_made_once_and_nodes_are_numbers(spark, sf):
+    from quernstone.operators import large_graphs
+
+    made = spark.sparkContext.accumulator(0)
+
+    def chain(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part.assign(dst=part["src"] + 1)
+
+    edges = spark.range(10).select(F.col("id").alias("src")).mapInPandas(chain, "src long, dst long")
+    got = {tuple(r) for r in graphs.reached(edges, spark.range(1).select(F.col("id").alias("node"))).collect()}
+    assert got == {(i, i) for i in range(11)} and made.value == 10  # before, ten a step
+    supply = large_graphs.supply(spark, sf)
+    assert dict(supply.dtypes) == {"node": "bigint", "dep": "bigint"} and supply.count() == supply.distinct().count()
+    known = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "x"), ("z", "x"), ("z", "c")], "node string, dep string")
+    assert {tuple(r) for r in large_graphs.levels(known).collect()} == {("c", 0), ("b", 1), ("a", 2)}
