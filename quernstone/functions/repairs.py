@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,16 +244,23 @@ def hash_diff(old: str, new: str, around: int = 5) -> str:
     return "\n".join(out)
 
 
+#: Rows that are made into Python objects at once.
+SOME = 128
+
+
 def mapped(rows: DataFrame, fn, schema: str) -> DataFrame:
-    """fn over the rows as dicts, in Arrow-batched pandas frames."""
+    """fn over the rows as dicts, SOME at a time: a task holds an Arrow batch of its input, and of objects and results only these."""
     ship(rows.sparkSession)
-    names = [c.split()[0] for c in schema.split(", ")]
+    names, kinds = zip(*[c.split() for c in schema.split(", ")])
+    types = [{"long": pa.int64(), "string": pa.string()}[k] for k in kinds]
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            yield pd.DataFrame([fn(r) for r in pdf.to_dict("records")], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SOME):
+                done = zip(*[fn(r) for r in batch.slice(at, SOME).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, types)], list(names))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def q_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,11 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.functions import similarity as sim
-from quernstone.functions import structured, words
+from quernstone.functions import repairs, structured, words
 from quernstone.operators import neardup, rerank, retrieval
 from quernstone.sources import logs, pages
 from quernstone.streaming import folds
@@ -38,6 +39,27 @@ def test_line_edit_of_a_short_line(spark, tmp_path):
     assert got == dict.fromkeys((2, 6), ("alike", hashlib.md5(b"NEW\nmore").hexdigest()))
 
 
+def test_mapped_holds_few_rows(spark):
+    class Rows:
+        """Takes a function of batches instead of running it."""
+
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+        def mapInPandas(self, run, schema):
+            return lambda batches: run(b.to_pandas() for b in batches)
+
+    asked = []
+    run = repairs.mapped(Rows(), lambda r: asked.append(r["id"]) or (r["id"], r["text"]), "id long, text string")
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1000)), "text": [None, "é"] * 500})
+    out = run(iter([batch]))
+    first = next(out)
+    assert len(asked) < 1000  # before, results of a whole batch were held at once
+    assert pa.Table.from_batches([first, *out]).to_pydict() == batch.to_pydict()
+
+
 def test_jaro():
     assert round(sim.jaro("MARTHA", "MARHTA"), 4) == 0.9444
     assert round(sim.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
