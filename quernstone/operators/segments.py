@@ -32,17 +32,20 @@ from ..sources.tables import spread, table
 from . import retrieval, scoring
 
 #: Documents and tokens of a range; bytes of a row group; stretches of codes in a filter; segments of a tier that are merged; queries scored at once.
-RANGE, TOKENS, GROUP_BYTES, STRETCHES, FAN, TOGETHER = 2048, 4 << 20, 1 << 18, 128, 8, 256
+#: (A filter of 64 stretches or more makes a method that the JVM does not compile: four times as slow as one of 32.)
+RANGE, TOKENS, GROUP_BYTES, STRETCHES, FAN, TOGETHER = 2048, 4 << 20, 1 << 18, 32, 8, 256
 #: Times that a search looks for documents to leave out.
 LOOKS = 8
+#: Places of the dead that one deletion sends to the tasks; more are joined.
+SENT = 1 << 20
 BLOCKS = "range long, code long, df int, cf long, max_tf int, min_dl int, places array<int>, tfs array<int>, ids array<long>"
 _SCHEMA = pa.schema([("range", pa.int64()), ("code", pa.int64()), ("df", pa.int32()), ("cf", pa.int64()), ("max_tf", pa.int32()), ("min_dl", pa.int32()), ("places", pa.list_(pa.int32())), ("tfs", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64()))])
 _DOCS = -1
 
 
 def _block_rows(range_: int, ids: np.ndarray, lengths: np.ndarray, code: np.ndarray, place: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
-    """The rows of a range: a block for each term, by code, behind the row of its documents (code -1: ids, and lengths as tfs)."""
-    order = np.lexsort((place, code))
+    """The rows of a range: a block for each term, by code, behind the row of its documents (code -1: ids, and lengths as tfs). Places ascend within a code."""
+    order = np.argsort(code, kind="stable")
     code, place, tf = code[order], place[order], tf[order]
     first = np.flatnonzero(np.diff(code, prepend=_DOCS)) if len(code) else np.empty(0, np.int64)
     n, size = len(first), np.diff(first, append=len(code))
@@ -92,6 +95,18 @@ def _indexed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, BLOCKS)
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list begins in the values of all, and these."""
+    at = lists.offsets.to_numpy()
+    return at - at[0], lists.values.to_numpy()[at[0] : at[-1]]
+
+
+def _stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each stretch of rows with equal keys."""
+    cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys[0])]))
+
+
 def near(column: Column, codes: np.ndarray) -> Column:
     """Whether a code lies in one of at most STRETCHES stretches around the sorted codes, cut at their widest gaps: what scans can check by statistics."""
     if not len(codes):
@@ -286,21 +301,35 @@ class StoredIndex:
         found = docs.join(ids.select(F.col("doc_id").cast("long").alias("id")).distinct(), F.col("x.ids") == F.col("id"), "left_semi")
         found.select("segment", "range", "place", F.col("x.tfs").alias("dl"), F.col("x.ids").alias("doc_id")).write.parquet(f"{path}/places")
         places = self.spark.read.parquet(f"{path}/places")
+        sums = places.groupBy("segment").agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens")).collect()  # a row a segment
+        if not sums:
+            self.open()
+            return
         hit = places.groupBy("segment", "range").agg(F.collect_list("place").alias("gone"))  # at most RANGE places
-        blocks = self._blocks(f"code <> {_DOCS}").join(hit, ["segment", "range"])
+        blocks = self._blocks(f"code <> {_DOCS}").filter(F.col("segment").isin([r["segment"] for r in sums])).select("segment", "range", "code", "places", "tfs")
+        sent = None
+        if sum(r["docs"] for r in sums) <= SENT:  # blocks stay where they lie
+            sent = self.spark.sparkContext.broadcast({(r["segment"], r["range"]): np.array(r["gone"]) for r in hit.collect()})
+        else:
+            blocks = blocks.join(hit, ["segment", "range"])
 
         def lost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows_ = []
-                for s, c, place, tf, gone in zip(*(batch.column(x) for x in ("segment", "code", "places", "tfs", "gone"))):
-                    out = np.isin(place.values.to_numpy(), gone.values.to_numpy())
-                    if out.any():
-                        rows_.append((s.as_py(), c.as_py(), int(out.sum()), int(tf.values.to_numpy()[out].sum())))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], pa.int64()) for i in range(4)], ["segment", "code", "df", "cf"])
-
-        less = blocks.select("segment", "code", "places", "tfs", "gone").mapInArrow(lost, "segment long, code long, df long, cf long").groupBy("segment", "code").agg((-F.sum("df")).alias("df"), (-F.sum("cf")).alias("cf"))
+                if not batch.num_rows:
+                    continue
+                segment, range_, code = (batch.column(c).to_numpy() for c in ("segment", "range", "code"))
+                (at, place), (_, tf) = _flat(batch.column("places")), _flat(batch.column("tfs"))
+                out = np.zeros(len(place), bool)
+                for a, b in _stretches(segment, range_):
+                    gone = batch.column("gone")[a].values.to_numpy() if sent is None else sent.value.get((int(segment[a]), int(range_[a])))
+                    if gone is not None:
+                        out[at[a] : at[b]] = np.isin(place[at[a] : at[b]], gone)
+                df, cf = (np.add.reduceat(x, at[:-1]) for x in (out.astype(np.int64), np.where(out, tf, 0).astype(np.int64)))
+                own = df > 0
+                yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (segment, code, df, cf)], ["segment", "code", "df", "cf"])
+
+        less = blocks.mapInArrow(lost, "segment long, code long, df long, cf long").groupBy("segment", "code").agg((-F.sum("df")).alias("df"), (-F.sum("cf")).alias("cf"))
         less.repartitionByRange("code").sortWithinPartitions("code").write.parquet(f"{path}/terms")
-        sums = places.groupBy("segment").agg(F.count(F.lit(1)).alias("docs"), F.sum("dl").alias("tokens")).collect()  # a row a segment
         entry = {"path": path, "of": {str(r["segment"]): [r["docs"], r["tokens"]] for r in sums}}
 
         def dead(m: dict) -> dict:
@@ -308,8 +337,7 @@ class StoredIndex:
                 raise RuntimeError("segments were merged meanwhile; delete again")
             return m | {"dead": [*m["dead"], entry]}
 
-        if entry["of"]:
-            self.snapshots.change(dead)
+        self.snapshots.change(dead)
         self.open()
 
     def merge(self, every: bool = False) -> int:
@@ -336,22 +364,21 @@ class StoredIndex:
 
         def joined(rows_: list[pa.RecordBatch], into_: int) -> pa.RecordBatch:
             whole = pa.Table.from_batches(rows_).combine_chunks().to_batches()[0]
-            kept, ids, lengths, code, place, tf = {}, [], [], [], [], []
-            for nth, shift, c, p, t, i, d in zip(*(whole.column(x) for x in ("nth", "shift", "code", "places", "tfs", "ids", "dead"))):
-                nth, shift, c = nth.as_py(), shift.as_py(), c.as_py()
-                if c == _DOCS:
-                    live = np.ones(len(i), bool)
-                    if d.is_valid:
-                        live[d.values.to_numpy()] = False
-                    kept[nth] = np.where(live, shift + np.cumsum(live) - 1, -1)
-                    ids.append(i.values.to_numpy()[live])
-                    lengths.append(t.values.to_numpy()[live])
-                    continue
-                new = kept[nth][p.values.to_numpy()]
+            ids, lengths, code, place, tf = [], [], [], [], []
+            nth, shift, codes = (whole.column(c).to_numpy() for c in ("nth", "shift", "code"))
+            (at, places_), (tf_at, tfs) = _flat(whole.column("places")), _flat(whole.column("tfs"))
+            for a, b in _stretches(nth):  # a range: the row of its documents, then its blocks
+                own_ids, dead = whole.column("ids")[a].values.to_numpy(), whole.column("dead")[a]
+                live = np.ones(len(own_ids), bool)
+                if dead.is_valid:
+                    live[dead.values.to_numpy()] = False
+                new = np.where(live, shift[a] + np.cumsum(live) - 1, -1)[places_[at[a + 1] : at[b]]]
                 own = new >= 0
-                code.append(np.full(int(own.sum()), c))
+                ids.append(own_ids[live])
+                lengths.append(tfs[tf_at[a] : tf_at[a + 1]][live])
+                code.append(np.repeat(codes[a + 1 : b], np.diff(at[a + 1 : b + 1]))[own])
                 place.append(new[own])
-                tf.append(t.values.to_numpy()[own])
+                tf.append(tfs[tf_at[a + 1] : tf_at[b]][own])
             flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
             return _block_rows(into_, flat(ids), flat(lengths).astype(np.int64), flat(code), flat(place), flat(tf))
 
@@ -369,7 +396,7 @@ class StoredIndex:
             if held_:
                 yield joined(held_, now)
 
-        dealt = rows.join(to, ["segment", "range"]).select(*names).repartition("into").sortWithinPartitions("into", "nth", "code")
+        dealt = rows.join(F.broadcast(to), ["segment", "range"]).select(*names).repartition("into").sortWithinPartitions("into", "nth", "code")
         dealt.mapInArrow(run, BLOCKS).write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", 1 << 14).parquet(f"{path}/blocks")
         facts, seen = self._facts(path), [d["path"] for d in self.manifest["dead"]]
 
@@ -389,18 +416,27 @@ class StoredIndex:
 
     def _blocks(self, condition: str | Column | None) -> DataFrame:
         """Block rows with segment and, at the row of a range's documents, the places of the dead."""
-        every = None
-        for s in self.manifest["segments"]:
-            rows = self.spark.read.schema(BLOCKS).parquet(f"{s['path']}/blocks")
-            rows = (rows if condition is None else rows.filter(condition)).withColumn("segment", F.lit(s["number"]).cast("long"))
-            every = rows if every is None else every.unionByName(rows)
-        if every is None:
+        if not self.manifest["segments"]:
             return self.spark.createDataFrame([], f"{BLOCKS}, segment long, dead array<int>")
-        if not self.manifest["dead"]:
-            return every.withColumn("dead", F.lit(None).cast("array<int>"))
+
+        def read(more: str | None) -> DataFrame:
+            every = None
+            for s in self.manifest["segments"]:
+                rows = self.spark.read.schema(BLOCKS).parquet(f"{s['path']}/blocks")
+                for c in (condition, more):
+                    rows = rows if c is None else rows.filter(c)
+                rows = rows.withColumn("segment", F.lit(s["number"]).cast("long"))
+                every = rows if every is None else every.unionByName(rows)
+            return every
+
+        none = F.lit(None).cast("array<int>")
+        if not self.manifest["dead"] or (isinstance(condition, str) and condition == f"code <> {_DOCS}"):
+            return read(None).withColumn("dead", none)
+        # only the rows of documents are joined: blocks are many, and none has dead of its own
         places = self.spark.read.parquet(*(f"{d['path']}/places" for d in self.manifest["dead"]))
-        dead = places.groupBy("segment", "range").agg(F.collect_list("place").alias("dead")).withColumn("code", F.lit(_DOCS).cast("long"))
-        return every.join(dead, ["segment", "range", "code"], "left")
+        dead = places.groupBy("segment", "range").agg(F.collect_list("place").alias("dead"))
+        docs = read(f"code = {_DOCS}").join(dead, ["segment", "range"], "left")
+        return docs.unionByName(read(f"code <> {_DOCS}").withColumn("dead", none))
 
     def facts(self) -> tuple[int, int, int]:
         """Documents, N, tokens."""
@@ -455,7 +491,9 @@ class StoredIndex:
 
     def _ranges(self, asked: Asked) -> DataFrame:
         """The blocks of the asked terms, dealt and sorted by range."""
-        rows = self._blocks(near(F.col("code"), np.append([_DOCS], asked.codes)))
+        codes = np.append([_DOCS], asked.codes)
+        wanted = self.spark.createDataFrame(pd.DataFrame({"code": codes}))  # at most HELD
+        rows = self._blocks(near(F.col("code"), codes)).join(F.broadcast(wanted), "code", "left_semi")
         cols = ["segment", "range", "code", "max_tf", "min_dl", "places", "tfs", "ids", "dead"]
         return rows.select(*cols).repartition("segment", "range").sortWithinPartitions("segment", "range", "code")
 

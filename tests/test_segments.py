@@ -160,3 +160,31 @@ def test_snapshots(spark, tmp_path):
     s.change(lambda m: {"path": f"{s.path}/data/kept"})
     s.sweep()
     assert [p.name for p in (tmp_path / "s/data").iterdir()] == ["kept"] and s.version() == 4 and s.read() == {"path": f"{s.path}/data/kept"}
+
+
+def test_blocks_are_not_joined(spark, tmp_path, monkeypatch):
+    """With dead in the index, blocks of terms are read without a join, and a deletion joined or sent to the tasks takes off the same."""
+    rng, found = random.Random(8), []
+    for sent in (segments.SENT, 0):
+        monkeypatch.setattr(segments, "SENT", sent)
+        rng, index = random.Random(8), segments.StoredIndex(spark, str(tmp_path / f"i{sent}"))
+        live = dict(texts(rng, range(150)))
+        index.append(spark.createDataFrame(list(live.items()), DOCS))
+        for gone in ([3, 5, 8, 140], [5, 9, 77]):
+            index.delete(spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+            live = {i: t for i, t in live.items() if i not in gone}
+        assert "Join" not in index._blocks("code <> -1")._jdf.queryExecution().optimizedPlan().toString()
+        same_as_rebuilt(spark, index, live)
+        version = index.snapshots.version()
+        index.delete(spark.createDataFrame([(5,)], "doc_id long"))  # none is left of it
+        assert index.snapshots.version() == version
+        found.append((rows(index.terms()), index.facts()))
+    assert found[0] == found[1]
+
+
+def test_only_asked_blocks_are_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "STRETCHES", 1)  # a stretch holds what lies between its ends
+    index = segments.StoredIndex(spark, str(tmp_path / "i"))
+    index.append(spark.createDataFrame(texts(random.Random(9), range(100)), DOCS))
+    some = index.asked(retrieval.query_terms(spark.createDataFrame([(1, "storm wind")], "qid long, text string")))
+    assert {r["code"] for r in index._ranges(some).collect()} == {-1, *some.codes.tolist()}
