@@ -7,8 +7,10 @@ lists nothing below projects that a filter excludes; hidden folders and those of
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +118,38 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("session_store").load(path)
 
 
+def write_store(rows: DataFrame, path: str, name: str = "log.jsonl") -> int:
+    """Write rows (project, session, turn, value) as a store: the tasks write each session's lines by turn to its file, and nothing passes through the driver.
+
+    A file is written under a hidden name and then takes its own, so that a task that runs again leaves the same. Returns the number of files."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(path)
+        now, out, made, draft = None, None, 0, ""
+
+        def close() -> None:
+            out.close()
+            fs.move(draft, f"{root}/{now[0]}/{now[1]}/{name}")
+
+        for batch in batches:
+            for project, session, value in zip(*(batch.column(c).to_pylist() for c in ("project", "session", "value"))):
+                if (project, session) != now:
+                    if out is not None:
+                        close()
+                    now, made = (project, session), made + 1
+                    fs.create_dir(f"{root}/{project}/{session}", recursive=True)
+                    draft = f"{root}/{project}/{session}/.{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(draft)
+                out.write(value.encode("utf-8", "replace") + b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["files"])
+
+    dealt = rows.repartition("project", "session").sortWithinPartitions("project", "session", "turn").select("project", "session", "value")
+    return dealt.mapInArrow(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 class Log:
     """Rows in the order in which they were appended; an append is there as a whole or not at all."""
 
@@ -168,20 +202,10 @@ def q_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as a store of folders, some of them to be passed by, and read again from it: sessions of two projects."""
     path = new_path(spark, "store")
     c = table(spark, sf_dir, "conversations")
-    project = F.concat(F.lit("p"), (F.col("conv_id") % 7).cast("string"))
+    number = F.col("conv_id") % 7
+    project = F.when(number == 6, "node_modules").otherwise(F.concat(F.lit("p"), number.cast("string")))
     line = F.to_json(F.struct(F.col("role").alias("role"), F.col("text").alias("content")))
-    target = spark._jvm.org.apache.hadoop.fs
-    rows = c.select(project.alias("project"), F.col("conv_id").cast("string").alias("session"), "turn", line.alias("value"))
-    draft = new_path(spark, "draft")
-    rows.repartition("session").sortWithinPartitions("session", "turn").select("project", "session", "value").write.partitionBy("project", "session").text(draft)
-    fs = target.Path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
-    for p in fs.listStatus(target.Path(draft)):
-        name = p.getPath().getName()
-        if name.startswith("project="):
-            name = name.removeprefix("project=")
-            fs.mkdirs(target.Path(f"{path}/{'node_modules' if name == 'p6' else name}"))
-            for s in fs.listStatus(p.getPath()):
-                fs.rename(s.getPath(), target.Path(f"{path}/{'node_modules' if name == 'p6' else name}/{s.getPath().getName().removeprefix('session=')}"))
+    write_store(c.select(project.alias("project"), F.col("conv_id").cast("string").alias("session"), "turn", line.alias("value")), path)
     found = read_store(spark, path).filter(F.col("project").isin("p1", "p3", "node_modules"))
     return found.groupBy("project", "session").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "user").alias("turns"), F.sum(F.length("content")).alias("characters"))
 

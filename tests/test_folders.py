@@ -27,6 +27,17 @@ def test_store_is_pruned(spark, tmp_path):
     assert folders.read_store(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_store_is_written_by_tasks(spark, tmp_path):
+    lines = [(f"p{k % 3}", f"s{k}", t, json.dumps({"role": "user", "content": f"{k}\u00e9 {t}"})) for k in range(40) for t in (2, 0, 1)]
+    rows = spark.createDataFrame(lines, "project string, session string, turn long, value string").repartition(7)
+    for _ in range(2):  # the second run of a task leaves the same
+        assert folders.write_store(rows, str(tmp_path / "s")) == 40
+    assert sorted(p.name for p in (tmp_path / "s").rglob("*") if p.is_file()) == ["log.jsonl"] * 40
+    assert (tmp_path / "s" / "p1" / "s4" / "log.jsonl").read_text().splitlines() == [json.dumps({"role": "user", "content": f"4\u00e9 {t}"}) for t in range(3)]
+    assert {(r["project"], r["session"], r["line"], r["content"]) for r in folders.read_store(spark, str(tmp_path / "s")).collect()} == {(f"p{k % 3}", f"s{k}", t + 1, f"{k}\u00e9 {t}") for k in range(40) for t in range(3)}
+    assert folders.write_store(rows.limit(0), str(tmp_path / "e")) == 0
+
+
 def test_recall_blocks(spark, sf):
     turns = {r["turn_id"]: r for r in retrieval.history_turns(spark.read.parquet(f"{sf}/conversations.parquet")).collect()}
     docs = spark.createDataFrame([(i, r["text"]) for i, r in turns.items()], "doc_id long, text string")
