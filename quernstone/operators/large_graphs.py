@@ -3,7 +3,7 @@
 Components: every node takes the greatest node that leads to it as its colour, along edges and by jumps (the colour of a node's colour leads to it
 too). Nodes with one edge in look back twice as far each round first, so that chains take a logarithmic number of rounds; of a colour, what leads back to the node of that name is a component. All colours are
 worked on at once, edges between colours and nodes that nothing leads to or that lead nowhere are trimmed, and what is left goes on. Each round is a few joins on keys, cut
-from its plan.
+from its plan; where one side has few nodes the edges stay where they lie.
 """
 
 from __future__ import annotations
@@ -15,45 +15,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
-from ..plans.staging import cut
+from ..plans.staging import cut, kept
 from ..sources.tables import table
 from . import graphs
 
 #: Rounds of trimming before each colouring: colouring does the rest.
 TRIMS = 3
+#: Every so many rounds of colouring colours jump as well: a jump costs as much as a round.
+JUMPS = 4
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
     """The edges (src, dst) whose ends have an edge in and an edge out, as far as a few rounds find them."""
     for _ in range(TRIMS):
-        before = edges.count()
-        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if edges.count() == before:
+        ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("out")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("out")))
+        loose = kept(ends.groupBy("node").agg(F.min("out").alias("a"), F.max("out").alias("b")).filter("a = b").select("node"))
+        if loose.isEmpty():
             break
+        loose = graphs.few(loose)
+        edges = kept(edges.join(loose.withColumnRenamed("node", "src"), "src", "left_anti").join(loose.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
     return edges
 
 
 def coloured(edges: DataFrame) -> DataFrame:
-    """(node, colour): the greatest node that leads to each node, itself included."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    """(node, colour): the greatest node that leads to each node, itself included. Only nodes whose colour has just changed hand it on."""
     back = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to")).filter("n = 1")
-    back = cut(back.select("node", "to", F.greatest("node", "to").alias("most")))
+    back = kept(back.select("node", "to", F.greatest("node", "to").alias("most")))
     for _ in range(back.count().bit_length()):
         far = back.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("most").alias("beyond"))
-        new = cut(back.join(far, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.greatest("most", F.coalesce("beyond", "most")).alias("most")))
+        new = kept(back.join(far, "to", "left").select("node", F.coalesce("further", "to").alias("to"), F.greatest("most", F.coalesce("beyond", "most")).alias("most")))
         same = new.join(back, ["node", "to", "most"], "left_anti").isEmpty()
         back = new
         if same:
             break
-    edges = cut(edges.select("src", "dst").unionByName(back.select(F.col("to").alias("src"), F.col("node").alias("dst"))).distinct())
-    colours = cut(nodes.join(back, "node", "left").select("node", F.coalesce("most", "node").alias("colour")))
+    edges = edges.select("src", "dst").unionByName(back.select(F.col("to").alias("src"), F.col("node").alias("dst")))
+    first = edges.select(F.col("src").alias("node"), F.col("src").alias("colour")).unionByName(edges.select(F.col("dst").alias("node"), F.greatest("src", "dst").alias("colour")))
+    first = first.unionByName(back.select("node", F.col("most").alias("colour")))
+    colours = kept(first.groupBy("node").agg(F.max("colour").alias("colour")).select("node", "colour", (F.col("colour") > F.col("node")).alias("fresh")))
+    step = 0
     while True:
-        along = edges.join(colours, edges["src"] == colours["node"]).select(F.col("dst").alias("node"), "colour")
-        jump = colours.join(colours.select(F.col("node").alias("colour"), F.col("colour").alias("far")), "colour").select("node", F.col("far").alias("colour"))
-        new = cut(jump.unionByName(along).groupBy("node").agg(F.max("colour").alias("colour")))
-        if new.join(colours, ["node", "colour"], "left_anti").isEmpty():
-            return new
-        colours = new
+        fresh = colours.filter("fresh").select(F.col("node").alias("src"), "colour")
+        if fresh.isEmpty():
+            return colours.select("node", "colour")
+        step += 1
+        along = edges.join(graphs.few(fresh), "src").select(F.col("dst").alias("node"), "colour", F.lit(None).cast("long").alias("old"))
+        stay = colours.select("node", F.col("colour").alias("old"))
+        if step % JUMPS == 0:  # to the colours of the nodes that colours are named by
+            used = kept(stay.select(F.col("old").alias("node")).distinct())
+            moved = kept(colours.filter("colour > node").join(graphs.few(used), "node", "left_semi").select(F.col("node").alias("old"), F.col("colour").alias("far")))
+            stay = stay.join(graphs.few(moved), "old", "left").select("node", F.coalesce("far", "old").alias("colour"), "old")
+        new = along.unionByName(stay.select("node", F.col("colour" if step % JUMPS == 0 else "old").alias("colour"), "old")).groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old"))
+        colours = kept(new.select("node", "colour", (F.col("colour") > F.col("old")).alias("fresh")))
 
 
 def leading_back(edges: DataFrame) -> DataFrame:
@@ -61,42 +73,41 @@ def leading_back(edges: DataFrame) -> DataFrame:
 
     A node with one edge leads where that edge leads: such nodes point ahead, twice as far each round, and only the others are searched step by step.
     """
-    roots = edges.select(F.col("colour").alias("node"), "colour").distinct()
     out = edges.groupBy("src", "colour").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"))
-    ahead = out.select(F.col("src").alias("node"), "colour", F.when((F.col("n") == 1) & (F.col("src") != F.col("colour")), F.col("to")).otherwise(F.col("src")).alias("to"))
-    ahead = cut(ahead.unionByName(roots.join(ahead, ["node", "colour"], "left_anti").withColumn("to", F.col("node"))))
-    for _ in range(max(1, ahead.count()).bit_length()):
-        new = cut(ahead.alias("a").join(ahead.select(F.col("node").alias("to"), "colour", F.col("to").alias("far")), ["to", "colour"], "left").select("node", "colour", F.coalesce("far", "to").alias("to")))
+    ahead = kept(out.filter("n = 1 AND src <> colour").select(F.col("src").alias("node"), "colour", "to"))
+    for _ in range(ahead.count().bit_length()):
+        far = ahead.select(F.col("node").alias("to"), "colour", F.col("to").alias("far"))
+        new = kept(ahead.join(far, ["to", "colour"], "left").select("node", "colour", F.coalesce("far", "to").alias("to")))
         same = new.join(ahead, ["node", "colour", "to"], "left_anti").isEmpty()
         ahead = new
         if same:
             break
-    stops = ahead.filter("node = to").select(F.col("node").alias("src"), "colour")
-    short = edges.join(stops, ["src", "colour"], "left_semi").join(ahead.select(F.col("node").alias("dst"), "colour", "to"), ["dst", "colour"]).select("src", F.col("to").alias("dst"), "colour").distinct()
-    short = cut(short)
-    fresh = seen = cut(roots)
+    own = graphs.few(ahead)
+    short = edges.join(own.select(F.col("node").alias("src"), "colour"), ["src", "colour"], "left_anti")
+    short = kept(short.join(own.select(F.col("node").alias("dst"), "colour", "to"), ["dst", "colour"], "left").select("src", F.coalesce("to", "dst").alias("dst"), "colour"))
+    fresh = seen = kept(edges.select(F.col("colour").alias("node"), "colour").distinct())
     while not fresh.isEmpty():
-        fresh = short.join(fresh.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-        fresh = cut(fresh.join(seen, ["node", "colour"], "left_anti"))
-        seen = cut(seen.unionByName(fresh))
-    return cut(ahead.join(seen.select(F.col("node").alias("to"), "colour"), ["to", "colour"], "left_semi").select("node", "colour"))
+        fresh = short.join(graphs.few(fresh).select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+        fresh = kept(fresh.join(seen, ["node", "colour"], "left_anti"))
+        seen = kept(seen.unionByName(fresh))
+    return kept(seen.unionByName(ahead.join(seen.select(F.col("node").alias("to"), "colour"), ["to", "colour"], "left_semi").select("node", "colour")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the strongly connected components of several nodes, named by their least node. edges: (src, dst)."""
-    left, found = cut(edges.filter("src <> dst").select("src", "dst").distinct()), None
+    left, found = kept(edges.filter("src <> dst").select("src", "dst").distinct()), None
     while not left.isEmpty():
         left = trimmed(left)
         colours = coloured(left)
         c = colours.select("node", "colour")
         both = left.join(c.toDF("src", "colour"), "src").join(c.toDF("dst", "other"), "dst").filter("colour = other")
-        left = cut(both.select("src", "dst", "colour"))
+        left = kept(both.select("src", "dst", "colour"))
         seen = leading_back(left)
         groups = seen.groupBy("colour").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        part = cut(seen.join(groups, "colour").select("node", "component"))
+        part = kept(seen.join(groups, "colour").select("node", "component"))
         found = part if found is None else found.unionByName(part)
-        done = seen.select("node")
-        left = cut(left.select("src", "dst").join(done.toDF("src"), "src", "left_anti").join(done.toDF("dst"), "dst", "left_anti"))
+        rest = graphs.few(kept(c.select("node").join(seen.select("node"), "node", "left_anti")))
+        left = kept(left.select("src", "dst").join(rest.toDF("src"), "src", "left_semi").join(rest.toDF("dst"), "dst", "left_semi"))
     return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0) if found is None else found
 
 

@@ -306,6 +306,22 @@ def test_components(spark):
         got = large_graphs.components(spark.createDataFrame(pairs, "src long, dst long"))
         assert {tuple(r) for r in got.collect()} == want
 
+
+def test_trimming_and_colours_keep_edges_where_they_lie(spark, monkeypatch):
+    """A few loose nodes are taken off and a few colours handed on without a shuffle of the edges; a table is made once, not counted first."""
+    from quernstone.operators import large_graphs
+
+    made, kept = [], large_graphs.kept
+    monkeypatch.setattr(large_graphs, "kept", lambda df: made.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df))
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2), (2, 1), (7, 0), (1, 8)], "src long, dst long")
+    left = large_graphs.trimmed(edges)
+    assert {tuple(r) for r in left.collect()} == {(0, 1), (1, 2), (2, 0), (0, 2), (2, 1)}
+    assert all("broadcast" in plan for columns, plan in made if columns == ["src", "dst"]) and made
+    made.clear()
+    assert {tuple(r) for r in large_graphs.coloured(left).collect()} == {(0, 2), (1, 2), (2, 2)}
+    assert 1 <= sum(columns == ["node", "colour", "fresh"] for columns, _ in made) <= 3
+
+
 def test_loose_json():
     for text, want in (("{'a': [1, 2,], b: None}", '{"a":[1,2],"b":null}'), ('{"a": "x\\n\\u00e9", } // c', '{"a":"x\\né"}'), ("[1 2 3", "[1,2,3]"), ("-1.5e3", "-1500.0"), ("", None), ("{a}", None), ("] x", None)):
         assert repairs.relaxed(text) == want
