@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 import unicodedata
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..plans.shipping import ship
 from ..sources.tables import table
-from .structured import apply_edits, canonical, line_hashes, repaired, unified
+from .structured import Changes, apply_edits, canonical, line_hashes, repaired, text_lines, unified
 from .words import single
 
 # Keywords that tell a schema's type, in order; characters of no width; punctuation of which a run of three and more is one; symbols that are pictures.
@@ -223,11 +222,11 @@ def plain_output(text: str) -> str:
 
 def hash_diff(old: str, new: str, around: int = 5) -> str:
     """Changed lines of the new text with their hashes, `around` lines about them, "..." between stretches; deleted ones stand by the number that they had."""
-    a, b = old.splitlines(), new.splitlines()
-    marks = line_hashes("\n".join(b)) if b else []
+    a, b = text_lines(old), text_lines(new)
+    marks = line_hashes(new)
     added: set[int] = set()
     gone: set[int] = set()
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
+    for tag, i, j, k, m in Changes(a, b).get_opcodes():
         if tag != "equal":
             gone |= set(range(i + 1, j + 1))
             added |= set(range(k + 1, m + 1))
@@ -335,13 +334,15 @@ def q_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against themselves with the first line replaced: lines that a unified diff and a diff by hashes show."""
+    """Documents against themselves with the first line replaced by another: lines that a unified diff and a diff by hashes show."""
 
     def diff(row: dict) -> tuple:
         text = row["text"] or ""
-        new = "\n".join(["NEW", *text.split("\n")[1:]])
-        shown, marked = unified(text, new).split("\n"), hash_diff(text, new).split("\n")
-        return row["doc_id"], sum(x.startswith("-") and not x.startswith("---") for x in shown), sum(x == "+NEW" for x in shown), sum(x.startswith("+1#") and x.endswith(":NEW") for x in marked)
+        first = text.split("\n", 1)[0]
+        put = "NEWER" if first == "NEW" else "NEW"
+        new = put + text[len(first) :]
+        shown, marked = unified(text, new).split("\n")[2:], hash_diff(text, new).split("\n")  # without the two lines of the header
+        return row["doc_id"], sum(x.startswith("-") for x in shown), sum(x == f"+{put}" for x in shown), sum(x.startswith("+1#") and x.endswith(f":{put}") for x in marked)
 
     return mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), diff, "doc_id long, removed long, added long, marked long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 import itertools
 import math
@@ -60,6 +61,34 @@ def test_mapped_holds_few_rows(spark):
     assert pa.Table.from_batches([first, *out]).to_pydict() == batch.to_pydict()
 
 
+def test_diffs_of_odd_texts(spark, tmp_path):
+    texts = [
+        "first" + "\nx" * 300, "first" + "\nx\ny" * 150, "first\na" + "\nx" * 300 + "\nb\nfirst", "first" + "\nx" * 300 + "\nfirst",  # nearly all lines are frequent
+        None, "", "\n", "a", "a\n\n", "a\r\nb", "a\x0bb\x85c\nd", "--a\nb", "++a\nb", "NEW", "NEW\nNEW\nx", "a\nNEW\nNEW", "first\n" + "x\n" * 12_000,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = repairs.q_diff(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == con.sql(repairs.ORACLES["c28_c30_diffs"] + " ORDER BY doc_id").fetchall()
+
+
+def test_changes():
+    texts = [list(w) for n in range(6) for w in itertools.product("ab", repeat=n)]
+    for a, b in itertools.product(texts, texts):
+        steps = structured.Changes(a, b).get_opcodes()
+        assert [s for tag, i, j, k, m in steps for s in (a[i:j] if tag == "equal" else b[k:m])] == b and all(a[i:j] == b[k:m] for tag, i, j, k, m in steps if tag == "equal")
+        assert [i for _, i, _, _, _ in steps] + [len(a)] == [0] + [j for _, _, j, _, _ in steps]
+    old = [str(i) for i in range(40)]
+    new = ["0", "new", *old[1:10], "ten", *old[11:20], *old[25:39], "last", "39"]
+    for a, b in ((old, new), (new, old), (old, old[:-1]), (old[:1], old[:2])):
+        for n in (0, 1, 3):
+            assert structured.unified("\n".join(a), "\n".join(b), n).split("\n") == list(difflib.unified_diff(a, b, "a", "b", lineterm="", n=n))
+    assert structured.unified("a", "a") == "" and structured.unified(None, "a") == "--- a\n+++ b\n@@ -0,0 +1 @@\n+a"
+    assert structured.unified("\n".join("x" * 5), "\n".join("y" * 6), most=5) == "5 lines against 6"
+    assert repairs.hash_diff("a\x0bb\nc", "a\x0bb\nd").split("\n")[-1] == f"+2#{structured.line_hashes(chr(97) + chr(11) + 'b' + chr(10) + 'd')[1]}:d"
+
+
 def test_jaro():
     assert round(sim.jaro("MARTHA", "MARHTA"), 4) == 0.9444
     assert round(sim.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
